@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import repetition
+from . import near_dup, repetition
 
 
 def queries():
     import corpus_pipeline
 
     return {
+        "op3_near_duplicates": near_dup.op3_near_duplicates,
         "op4_repetition_rules": repetition.op4_repetition_rules,
         "pipeline": corpus_pipeline.run,
     }

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import _text
 
@@ -171,11 +171,11 @@ def repetition_rules(
     keep = [c for c in docs.columns if c.lower() not in names]
     if text.lower() in names:
         raise ValueError(f"the text column can't be named {text}")
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep])
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)])
     at = keep.index(text)
-    schema = rows.schema
+    schema = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in keep])
     for part in SCHEMA.split(", "):
-        schema = schema.add(*part.split())
+        schema.add(*part.split())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

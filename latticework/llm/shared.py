@@ -7,13 +7,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_own: dict[str, str] = {}
+
 
 def folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where that is unset, as in tests on one machine, a temporary folder is set."""
+    """The folder in spark.checkpoint.dir. Where that is unset, as in tests on one machine, a temporary folder of this process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="latticework-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="latticework-"))
     return base.rstrip("/")
 
 
@@ -24,10 +25,9 @@ def path(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again: lineage ends here, and lost executors don't undo it."""
-    spark = df.sparkSession
-    where = path(spark, name)
+    where = path(df.sparkSession, name)
     df.write.parquet(where)
-    return spark.read.schema(df.schema).parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
 
 
 def drop(*tables: DataFrame) -> None:
