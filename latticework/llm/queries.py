@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import near_dup, repetition
+from . import bpe, near_dup, repetition
 
 
 def queries():
     import corpus_pipeline
 
     return {
+        "op2_byte_bpe": bpe.op2_byte_bpe,
         "op3_near_duplicates": near_dup.op3_near_duplicates,
         "op4_repetition_rules": repetition.op4_repetition_rules,
         "pipeline": corpus_pipeline.run,
