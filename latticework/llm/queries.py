@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, near_dup, repetition
+from . import bpe, chat, near_dup, repetition, urls
 
 
 def queries():
@@ -12,9 +12,14 @@ def queries():
         "op2_byte_bpe": bpe.op2_byte_bpe,
         "op3_near_duplicates": near_dup.op3_near_duplicates,
         "op4_repetition_rules": repetition.op4_repetition_rules,
+        "op6_url_filters": urls.op6_url_filters,
+        "op7_preference_format": chat.op7_preference_format,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql():
-    return {}
+    return {
+        "op6_url_filters": urls.OP6_SQL,
+        "op7_preference_format": chat.OP7_SQL,
+    }
