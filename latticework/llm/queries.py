@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, near_dup, repetition, urls
+from . import bpe, chat, near_dup, repetition, urls, warc
 
 
 def queries():
@@ -14,6 +14,7 @@ def queries():
         "op4_repetition_rules": repetition.op4_repetition_rules,
         "op6_url_filters": urls.op6_url_filters,
         "op7_preference_format": chat.op7_preference_format,
+        "op9_warc": warc.op9_warc,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -22,4 +23,5 @@ def oracle_sql():
     return {
         "op6_url_filters": urls.OP6_SQL,
         "op7_preference_format": chat.OP7_SQL,
+        "op9_warc": warc.OP9_SQL,
     }
