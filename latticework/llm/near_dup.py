@@ -7,9 +7,10 @@ Documents are sets of five-word shingles. Equal sets are one class, joined by on
   child named by its minwise value there. A pair of similarity s meets in a child with probability s per position, so at s = 0.75 a tree of any depth
   loses the pair with probability 1/9 at most (the smaller root of q = (1/4 + 3q/4)^2), and six independent trees lose it with less than 2e-6.
 * First every member of a first-level node is compared with the node's pivot, its smallest id. Confirmed links join most copies to one component at once.
-* Then only nodes that still hold two components matter. Those of at most ``leaf`` members are compared exhaustively, across components only;
-  larger ones are branched again. Nodes still large at the last depth are compared exactly in pairs of blocks.
-* Sketches only spare comparisons: a pair goes on unless it disagrees in more than 46 of 128 sketch fields (five standard deviations at similarity 0.75).
+* Then only nodes that still hold two components matter. Those of at most ``leaf`` members are compared exhaustively, across components only, in pairs
+  of blocks of ``block`` members; larger ones are branched again. Nodes still large at the last depth are compared in the same way.
+* Sizes and sketches only spare comparisons: a pair goes on unless its sizes alone rule it out, or it disagrees in more than 46 of 128 sketch fields
+  (five standard deviations at similarity 0.75).
   Every link is confirmed on the full sets, from the texts.
 
 No pair within a component is enumerated, no node's members meet in one task unless they are few, and nothing but counts reaches the driver.
@@ -34,6 +35,7 @@ _XOR = _RNG.integers(0, 1 << 63, POSITIONS, dtype=np.uint64)
 _MUL = _RNG.integers(0, 1 << 62, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _WEIGHTS = [np.uint64(int(x) * 2 + 1) for x in _RNG.integers(0, 1 << 62, SHINGLE)]
 _SKETCH = ["s0", "s1", "s2", "s3"]
+_CARRY = ["n", *_SKETCH]
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,19 +126,24 @@ def _disagree(left: list[str], right: list[str]) -> F.Column:
     return F.expr(" + ".join(parts))
 
 
-def _compared(nodes: DataFrame, most: int) -> DataFrame:
-    """Pairs (a, b) of different components within small nodes whose sketches agree enough. nodes: (node, id, comp, s0 .. s3)."""
+def _alike(left: str, right: str, percent: int) -> F.Column:
+    """Whether two set sizes allow the similarity."""
+    return 100 * F.least(left, right) >= percent * F.greatest(left, right)
+
+
+def _compared(nodes: DataFrame, most: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components within small nodes whose sizes and sketches allow a link. nodes: (node, id, comp, n, s0 .. s3)."""
     odd = np.uint64(0x5555555555555555)
 
     def pairs(table: pa.Table) -> pa.RecordBatch:
-        node, ids, comp = (table.column(k).to_numpy() for k in ("node", "id", "comp"))
+        node, ids, comp, n = (table.column(k).to_numpy() for k in ("node", "id", "comp", "n"))
         bits = np.stack([table.column(k).to_numpy() for k in _SKETCH]).view(np.uint64)
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for d in range(1, len(node)):
             at = np.flatnonzero(node[d:] == node[:-d])
             if not len(at):
                 break
-            at = at[comp[at] != comp[at + d]]
+            at = at[(comp[at] != comp[at + d]) & (100 * np.minimum(n[at], n[at + d]) >= percent * np.maximum(n[at], n[at + d]))]
             x = bits[:, at] ^ bits[:, at + d]
             at = at[np.bitwise_count((x | (x >> np.uint64(1))) & odd).sum(axis=0) <= most]
             left.append(np.minimum(ids[at], ids[at + d]))
@@ -159,7 +166,7 @@ def _compared(nodes: DataFrame, most: int) -> DataFrame:
         if rest is not None and len(rest):
             yield pairs(rest.combine_chunks())
 
-    return nodes.select("node", "id", "comp", *_SKETCH).repartition("node").sortWithinPartitions("node").mapInArrow(run, "a long, b long").distinct()
+    return nodes.select("node", "id", "comp", *_CARRY).repartition("node").sortWithinPartitions("node").mapInArrow(run, "a long, b long").distinct()
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, name: str) -> DataFrame:
@@ -221,13 +228,21 @@ def components(links: DataFrame, name: str) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75, trees: int = 6, leaf: int = 128, depth: int = 16, most: int = 46
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    percent: int = 75,
+    trees: int = 6,
+    leaf: int = 1024,
+    block: int = 128,
+    depth: int = 16,
+    most: int = 46,
 ) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
     Words are lower-cased (A-Z) runs of other than space and \\t..\\r; a set holds the distinct five-word shingles, with fewer words the whole sequence.
     Documents with 100 * intersection >= percent * union are linked; component_id is the smallest doc_id reachable; kept: doc_id = component_id.
-    Null or wordless texts: empty set, linked with nothing, kept. Null doc_id: component of its equals, not kept unless ids agree (null: false).
+    Null or wordless texts: empty set, linked with nothing, kept. Null doc_ids: the component of their equals; never kept.
     Rows of one doc_id are one node of the graph. Other columns are ignored. An empty table gives an empty one.
     """
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
@@ -235,21 +250,21 @@ def near_duplicates(
     classes = shared.written(
         signed.filter("n_shingles > 0")
         .groupBy("k1", "k2")
-        .agg(F.min("doc_id").alias("id"), F.first("minwise").alias("minwise"), *(F.first(s).alias(s) for s in _SKETCH)),
+        .agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("minwise").alias("minwise"), *(F.first(s).alias(s) for s in _SKETCH)),
         "nd-classes",
     )
-    reps = classes.filter("id is not null").select("id", "minwise", *_SKETCH)
+    reps = classes.filter("id is not null").select("id", "minwise", *_CARRY)
 
     roots = reps.withColumn("node", F.explode(F.array(*(F.lit(t).cast("long") for t in range(trees)))))
-    members = _branch(roots, ["id", *_SKETCH])
+    members = _branch(roots, ["id", *_CARRY])
     pivots = (
         members.groupBy("node")
-        .agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("pivot"), *(F.min_by(s, "id").alias(f"p{s}") for s in _SKETCH))
+        .agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("pivot"), *(F.min_by(s, "id").alias(f"p{s}") for s in _CARRY))
         .filter("size > 1")
     )
     shared_nodes = shared.written(members.join(pivots, "node"), "nd-nodes")
     stars = (
-        shared_nodes.filter((F.col("id") != F.col("pivot")) & (_disagree(_SKETCH, [f"p{s}" for s in _SKETCH]) <= most))
+        shared_nodes.filter((F.col("id") != F.col("pivot")) & _alike("n", "pn", percent) & (_disagree(_SKETCH, [f"p{s}" for s in _SKETCH]) <= most))
         .select(F.col("pivot").alias("a"), F.col("id").alias("b"))
         .distinct()
     )
@@ -257,26 +272,25 @@ def near_duplicates(
     links = confirmed(stars, rows, percent, "nd-stars")
     labels = components(links, "nd-stars")
 
-    open_nodes = shared_nodes.select("node", "id", *_SKETCH).join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    left, large_left = [], None
+    open_nodes = shared_nodes.select("node", "id", *_CARRY).join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    leaves = []
     for level in range(1, depth + 1):
         counts = open_nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
         held = shared.written(open_nodes.join(counts.select("node", "size"), "node"), f"nd-level{level}")
-        left.append(held.filter(F.col("size") <= leaf).select("node", "id", "comp", *_SKETCH))
         large = held.filter(F.col("size") > leaf)
-        if not large.limit(1).count():
-            break
-        if level == depth:
-            large_left = large
+        if level == depth or not large.limit(1).count():
+            leaves.append(held.select("node", "size", "id", "comp", *_CARRY))
             break
+        leaves.append(held.filter(F.col("size") <= leaf).select("node", "size", "id", "comp", *_CARRY))
         if "minwise" not in large.columns:
             large = large.join(reps.select("id", "minwise"), "id")
-        open_nodes = _branch(large, ["id", "comp", "minwise", *_SKETCH])
-    if large_left is not None:  # the exact way for nodes that don't come apart: every pair of blocks meets once
-        blocks = F.ceil(F.col("size") / leaf)
-        cut = large_left.withColumn("own", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-        left.append(cut.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "id", "comp", *_SKETCH))
-    pairs = shared.written(reduce(DataFrame.union, [_compared(x, most) for x in left]).distinct(), "nd-pairs")
+        open_nodes = _branch(large, ["id", "comp", "minwise", *_CARRY])
+    # every pair of a node's blocks is a group of its own, so any two members meet
+    blocks = F.ceil(F.col("size") / block)
+    cut = reduce(DataFrame.union, leaves).withColumn("own", F.pmod(F.xxhash64("id"), blocks))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    group = F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))
+    pairs = shared.written(_compared(cut.select(group.alias("node"), "id", "comp", *_CARRY), most, percent), "nd-pairs")
     more = confirmed(pairs, rows, percent, "nd-pairs")
     labels = components(links.union(more), "nd-all")
 
