@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from latticework.llm import repetition, shared
+from latticework.llm import langid, near_dup, packing, repetition, shared
 
+#: (name, function of (spark, docs, sf_dir)); all but the last return the columns of documents.
 STAGES = [
-    ("quality_rules", lambda spark, docs, sf_dir: repetition.clean(spark, docs, sf_dir)),
+    ("quality_rules", repetition.clean),
+    ("language_id", langid.one_language),
+    ("near_duplicates", near_dup.one_of_each),
+    ("best_fit_packing", packing.packed),
 ]
 
-#: The stages run models and a similarity join; tests hold them against brute force.
+#: The stages fit a model and search a packing, which SQL can't; tests hold them against brute force.
 ORACLE_SQL = None
 
 

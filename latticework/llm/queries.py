@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, near_dup, repetition, urls, warc
+from . import bpe, chat, langid, near_dup, packing, repetition, urls, warc
 
 
 def queries():
@@ -14,7 +14,9 @@ def queries():
         "op4_repetition_rules": repetition.op4_repetition_rules,
         "op6_url_filters": urls.op6_url_filters,
         "op7_preference_format": chat.op7_preference_format,
+        "op8_best_fit_packing": packing.op8_best_fit_packing,
         "op9_warc": warc.op9_warc,
+        "op10_language_id": langid.op10_language_id,
         "pipeline": corpus_pipeline.run,
     }
 

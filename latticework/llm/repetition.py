@@ -9,13 +9,11 @@ all maximal repeated substrings of that length cover (what isn't maximal to the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame
 
-from . import _text
+from . import _text, shared
 
 #: Characters counted as symbols by the base rules (fixed value of the contract).
 SYMBOLS = b"#*$%&|<>"
@@ -167,29 +165,16 @@ def repetition_rules(
     the name of a figure are replaced by it; other columns pass through.
     Memory is that of one chunk of texts (about 1 MB, or one longer text) times some 200 bytes a word.
     """
-    names = [x.split()[0] for x in SCHEMA.split(", ")]
-    keep = [c for c in docs.columns if c.lower() not in names]
-    if text.lower() in names:
-        raise ValueError(f"the text column can't be named {text}")
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)])
-    at = keep.index(text)
-    schema = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in keep])
-    for part in SCHEMA.split(", "):
-        schema.add(*part.split())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offs = _text.text_bytes(batch.column(at))
-            parts = [measure(d, o, min_words) for _, _, d, o in _text.chunks(data, offs)]
-            if not parts:
-                continue
-            got = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
-            failed = (got["n_words"] < 20) | (100 * got["n_repeat_words"] > 30 * got["n_words"])
-            got["base_failed"] = failed
-            got["kept"] = ~failed & (got["covered_words"] <= max_covered * got["n_words"]) & (got["longest_repeat"] <= max_longest)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(got[k]) for k in names)], names=[*keep, *names])
-
-    return rows.mapInArrow(run, schema)
+
+    def judge(column: pa.Array) -> list[pa.Array]:
+        data, offs = _text.text_bytes(column)
+        parts = [measure(d, o, min_words) for _, _, d, o in _text.chunks(data, offs)]
+        got = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+        got["base_failed"] = (got["n_words"] < 20) | (100 * got["n_repeat_words"] > 30 * got["n_words"])
+        got["kept"] = ~got["base_failed"] & (got["covered_words"] <= max_covered * got["n_words"]) & (got["longest_repeat"] <= max_longest)
+        return [pa.array(got[x.split()[0]]) for x in SCHEMA.split(", ")]
+
+    return shared.annotated(docs, text, SCHEMA, judge)
 
 
 def op4_repetition_rules(spark, sf_dir: str) -> DataFrame:

@@ -1,11 +1,13 @@
-"""Tables written in the folder that driver and executors share."""
+"""Tables written in the folder that driver and executors share, and columns added to a table in one pass."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 _own: dict[str, str] = {}
 
@@ -38,3 +40,25 @@ def drop(*tables: DataFrame) -> None:
         for parent in {f.rpartition("/")[0] for f in df.inputFiles()}:
             where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(parent)
             where.getFileSystem(hadoop).delete(where, True)
+
+
+def annotated(docs: DataFrame, text: str, schema: str, measure: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
+    """docs with the columns of ``schema``, which measure makes from the text column of a batch. One pass, no shuffle.
+
+    Columns of docs that have the name of a new one are replaced by it; others pass through whatever their names.
+    """
+    new = T._parse_datatype_string(schema)
+    taken = {c.lower() for c in new.names}
+    if text.lower() in taken:
+        raise ValueError(f"the text column can't be named {text}")
+    keep = [f for f in docs.schema.fields if f.name.lower() not in taken]
+    at = [f.name for f in keep].index(text)
+    rows = docs.select(*[F.col(f"`{f.name.replace('`', '``')}`").alias(f"c{i}") for i, f in enumerate(keep)])
+    names = [f.name for f in keep] + new.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([*batch.columns, *measure(batch.column(at))], names=names)
+
+    return rows.mapInArrow(run, T.StructType([*(T.StructField(f.name, f.dataType) for f in keep), *new.fields]))
