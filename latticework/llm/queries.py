@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, langid, near_dup, packing, repetition, urls, warc
+from . import bm25, bpe, chat, langid, near_dup, packing, repetition, urls, warc
 
 
 def queries():
     import corpus_pipeline
 
     return {
+        "op1_bm25_search": bm25.op1_bm25_search,
         "op2_byte_bpe": bpe.op2_byte_bpe,
         "op3_near_duplicates": near_dup.op3_near_duplicates,
         "op4_repetition_rules": repetition.op4_repetition_rules,
@@ -23,6 +24,7 @@ def queries():
 
 def oracle_sql():
     return {
+        "op1_bm25_search": bm25.OP1_SQL,
         "op6_url_filters": urls.OP6_SQL,
         "op7_preference_format": chat.OP7_SQL,
         "op9_warc": warc.OP9_SQL,
