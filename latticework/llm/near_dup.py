@@ -7,8 +7,12 @@ Documents are sets of five-word shingles. Equal sets are one class, joined by on
   child named by its minwise value there. A pair of similarity s meets in a child with probability s per position, so at s = 0.75 a tree of any depth
   loses the pair with probability 1/9 at most (the smaller root of q = (1/4 + 3q/4)^2), and six independent trees lose it with less than 2e-6.
 * First every member of a first-level node is compared with the node's pivot, its smallest id. Confirmed links join most copies to one component at once.
-* Then only nodes that still hold two components matter. Those of at most ``leaf`` members are compared exhaustively, across components only, in pairs
-  of blocks of ``block`` members; larger ones are branched again. Nodes still large at the last depth are compared in the same way.
+* Then only nodes that still hold two components matter. ``nearest`` times every member of a first-level node is compared with the most similar member of
+  another component in its block of the node, which joins what is left of large groups of copies.
+* Of the nodes that still hold two components, those of at most ``leaf`` members are compared exhaustively, across components only, in pairs of blocks of
+  ``block`` members; larger ones are branched again. Nodes still large at the last depth are compared in the same way. Where a pair of blocks has more than
+  two possible links a row (say, short documents around one common passage), it isn't the pairs that are handed on but the rows, and whole sets are
+  compared by one matrix product; only links that join components come out.
 * Sizes and sketches only spare comparisons: a pair goes on unless its sizes alone rule it out, or it disagrees in more than 46 of 128 sketch fields
   (five standard deviations at similarity 0.75).
   Every link is confirmed on the full sets, from the texts.
@@ -131,42 +135,92 @@ def _alike(left: str, right: str, percent: int) -> F.Column:
     return 100 * F.least(left, right) >= percent * F.greatest(left, right)
 
 
-def _compared(nodes: DataFrame, most: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components within small nodes whose sizes and sketches allow a link. nodes: (node, id, comp, n, s0 .. s3)."""
+def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches that are sorted by key; a group never ends up in two tables."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if rest is None else pa.concat_tables([rest, table])
+        keys = table.column(key).to_numpy()
+        if not len(keys):
+            continue
+        cut = int(np.searchsorted(keys, keys[-1]))  # the last group may go on in the next batch
+        if cut:
+            yield table.slice(0, cut).combine_chunks()
+        rest = table.slice(cut)
+    if rest is not None and len(rest):
+        yield rest.combine_chunks()
+
+
+def _compared(nodes: DataFrame, most: int, percent: int, best_only: bool) -> DataFrame:
+    """What may be linked within groups of few rows, across components, by sizes and sketches. nodes: (node, id, comp, n, s0 .. s3).
+
+    best_only: for each row the pair (a, b) with its most similar row. Else all such pairs of groups with few of them; for groups with more than two a
+    row, rows (a: id, b: component, node) of those that are in a pair, to be compared on whole sets together. Either way no more than two rows per row.
+    """
     odd = np.uint64(0x5555555555555555)
 
-    def pairs(table: pa.Table) -> pa.RecordBatch:
+    def found(table: pa.Table) -> pa.RecordBatch:
         node, ids, comp, n = (table.column(k).to_numpy() for k in ("node", "id", "comp", "n"))
         bits = np.stack([table.column(k).to_numpy() for k in _SKETCH]).view(np.uint64)
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        left, right, score = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for d in range(1, len(node)):
             at = np.flatnonzero(node[d:] == node[:-d])
             if not len(at):
                 break
             at = at[(comp[at] != comp[at + d]) & (100 * np.minimum(n[at], n[at + d]) >= percent * np.maximum(n[at], n[at + d]))]
             x = bits[:, at] ^ bits[:, at + d]
-            at = at[np.bitwise_count((x | (x >> np.uint64(1))) & odd).sum(axis=0) <= most]
-            left.append(np.minimum(ids[at], ids[at + d]))
-            right.append(np.maximum(ids[at], ids[at + d]))
-        both = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+            off = np.bitwise_count((x | (x >> np.uint64(1))) & odd).sum(axis=0)
+            at, off = at[off <= most], off[off <= most]
+            left.append(at)
+            right.append(at + d)
+            score.append(off.astype(np.int64))
+        i, j, off = np.concatenate(left), np.concatenate(right), np.concatenate(score)
+        group, members = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if best_only:
+            own, other, off = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([off, off])
+            by = np.lexsort((ids[other], off, own))
+            first = np.unique(own[by], return_index=True)[1]
+            i, j = own[by][first], other[by][first]
+        else:
+            every, which, rows = np.unique(node, return_inverse=True, return_counts=True)
+            dense = (np.bincount(which[i], minlength=len(every)) > 2 * rows)[which[i]]
+            members = np.unique(np.concatenate([i[dense], j[dense]]))
+            group = node[members]
+            i, j = i[~dense], j[~dense]
+        pairs = np.unique(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])]), axis=1)
+        none = np.zeros(pairs.shape[1], bool)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate([pairs[0], ids[members]])),
+                pa.array(np.concatenate([pairs[1], comp[members]])),
+                pa.array(np.concatenate([np.zeros(len(none), np.int64), group]), mask=np.concatenate([~none, np.zeros(len(group), bool)])),
+            ],
+            names=["a", "b", "node"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = table if rest is None else pa.concat_tables([rest, table])
-            node = table.column("node").to_numpy()
-            if not len(node):
-                continue
-            cut = int(np.searchsorted(node, node[-1]))  # the last node may go on in the next batch
-            if cut:
-                yield pairs(table.slice(0, cut).combine_chunks())
-            rest = table.slice(cut)
-        if rest is not None and len(rest):
-            yield pairs(rest.combine_chunks())
+        for table in _groups(batches, "node"):
+            yield found(table)
+
+    return nodes.select("node", "id", "comp", *_CARRY).repartition("node").sortWithinPartitions("node").mapInArrow(run, "a long, b long, node long")
+
 
-    return nodes.select("node", "id", "comp", *_CARRY).repartition("node").sortWithinPartitions("node").mapInArrow(run, "a long, b long").distinct()
+def _texts(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """The rows of docs whose doc_id is in ids (distinct), as a written table.
+
+    A filter of 64-bit words, three bits an id, goes to the rows first, so that few others are shuffled for the exact join. It has one word for four ids,
+    but 2^20 words at most: its size is bounded, and beyond some millions of ids it merely lets more rows through.
+    """
+    words = min(1 << 20, max(64, 1 << (ids.count() // 4).bit_length()))
+    word = F.pmod(F.xxhash64("doc_id"), F.lit(words))
+    spots = F.xxhash64("doc_id", F.lit(1))
+    mask = F.lit(0).cast("long")
+    for k in range(3):
+        mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(spots, 6 * k).bitwiseAND(F.lit(63).cast("long")).cast("int")))
+    table = ids.select(word.alias("word"), mask.alias("mask")).groupBy("word").agg(F.expr("bit_or(mask)").alias("bits"))
+    some = docs.withColumn("word", word).join(F.broadcast(table), "word").filter(F.col("bits").bitwiseAND(mask) == mask).select("doc_id", "text")
+    return shared.written(some.join(ids, "doc_id", "left_semi"), name)
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, name: str) -> DataFrame:
@@ -194,8 +248,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, name: str) -> Dat
             good = pa.array(np.concatenate(out)) if out else pa.array([], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(good)
 
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = shared.written(docs.join(ids, "doc_id", "left_semi"), f"{name}-texts")
+    ids = shared.written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), f"{name}-ids")
+    texts = _texts(docs, ids, f"{name}-texts")
     found = (
         pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
         .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -203,7 +257,62 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, name: str) -> Dat
         .mapInArrow(run, "a long, b long")
     )
     links = shared.written(found.distinct(), f"{name}-links")
-    shared.drop(texts)
+    shared.drop(texts, ids)
+    return links
+
+
+def _confirmed_groups(members: DataFrame, docs: DataFrame, percent: int, name: str) -> DataFrame:
+    """Links (a, b) that join what is linked on whole sets within groups (a: id, b: component, node): a spanning forest, no more links than rows."""
+
+    def forest(table: pa.Table) -> tuple[list[int], list[int]]:
+        ids, comp = table.column("id").to_numpy(), table.column("comp").to_numpy()
+        data, offs = _text.text_bytes(table.column("text"))
+        sets, at = shingle_sets(data, offs)
+        own, size = _text.owners(at), np.diff(at).astype(float)
+        shingle, which, count = np.unique(sets, return_inverse=True, return_counts=True)
+        number = np.cumsum(count > 1) - 1
+        held = count[which] > 1
+        common = np.zeros((len(ids), len(ids)))
+        row, col = own[held], number[which[held]]
+        for lo in range(0, int(number[-1]) + 1 if len(number) else 0, 8192):
+            part = (col >= lo) & (col < lo + 8192)
+            grid = np.zeros((len(ids), 8192), np.float32)
+            grid[row[part], col[part] - lo] = 1
+            common += grid @ grid.T
+        linked = 100 * common >= percent * (size[:, None] + size[None, :] - common)
+        linked &= comp[:, None] != comp[None, :]
+        root = {int(c): int(c) for c in comp}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        left, right = [], []
+        for i, j in np.argwhere(np.triu(linked, 1)).tolist():
+            if (x := find(int(comp[i]))) != (y := find(int(comp[j]))):
+                root[max(x, y)] = min(x, y)
+                left.append(int(ids[i]))
+                right.append(int(ids[j]))
+        return left, right
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches, "node"):
+            keys = table.column("node").to_numpy()
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            left, right = [], []
+            for i, j in zip(cuts, cuts[1:]):
+                a, b = forest(table.slice(i, j - i))
+                left += a
+                right += b
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+    ids = shared.written(members.select(F.col("a").alias("doc_id")).distinct(), f"{name}-ids")
+    texts = _texts(docs, ids, f"{name}-texts")
+    rows = members.select(F.col("a").alias("id"), F.col("b").alias("comp"), "node").join(texts.withColumnRenamed("doc_id", "id"), "id")
+    rows = rows.select("node", "id", "comp", "text").repartition("node").sortWithinPartitions("node")
+    links = shared.written(rows.mapInArrow(run, "a long, b long").distinct(), f"{name}-links")
+    shared.drop(texts, ids)
     return links
 
 
@@ -233,8 +342,9 @@ def near_duplicates(
     text: str = "text",
     percent: int = 75,
     trees: int = 6,
-    leaf: int = 1024,
-    block: int = 128,
+    leaf: int = 2048,
+    block: int = 512,
+    nearest: int = 1,
     depth: int = 16,
     most: int = 46,
 ) -> DataFrame:
@@ -272,11 +382,30 @@ def near_duplicates(
     links = confirmed(stars, rows, percent, "nd-stars")
     labels = components(links, "nd-stars")
 
-    open_nodes = shared_nodes.select("node", "id", *_CARRY).join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    leaves = []
+    def in_blocks(nodes: DataFrame, size: int, pairs: bool) -> DataFrame:
+        """Groups of few rows: a node's blocks, each alone or every pair of them, so that any two members meet."""
+        blocks = F.ceil(F.col("size") / size)
+        cut = nodes.withColumn("own", F.pmod(F.xxhash64("id", "node"), blocks))
+        cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)) if pairs else F.col("own"))
+        return cut.withColumn("node", F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))).select("node", "id", "comp", *_CARRY)
+
+    def mixed(nodes: DataFrame) -> DataFrame:
+        """Rows of nodes that hold two components, with the node's size."""
+        counts = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+        return nodes.join(counts.select("node", "size"), "node")
+
+    def labelled(nodes: DataFrame) -> DataFrame:
+        return nodes.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+
+    first_level = shared_nodes.select("node", "id", *_CARRY)
+    for turn in range(nearest):
+        near = shared.written(_compared(in_blocks(mixed(labelled(first_level)), block, False), most, percent, True).select("a", "b").distinct(), f"nd-near{turn}")
+        links = links.union(confirmed(near, rows, percent, f"nd-near{turn}"))
+        labels = components(links, f"nd-near{turn}")
+
+    open_nodes, leaves = labelled(first_level), []
     for level in range(1, depth + 1):
-        counts = open_nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-        held = shared.written(open_nodes.join(counts.select("node", "size"), "node"), f"nd-level{level}")
+        held = shared.written(mixed(open_nodes), f"nd-level{level}")
         large = held.filter(F.col("size") > leaf)
         if level == depth or not large.limit(1).count():
             leaves.append(held.select("node", "size", "id", "comp", *_CARRY))
@@ -285,14 +414,10 @@ def near_duplicates(
         if "minwise" not in large.columns:
             large = large.join(reps.select("id", "minwise"), "id")
         open_nodes = _branch(large, ["id", "comp", "minwise", *_CARRY])
-    # every pair of a node's blocks is a group of its own, so any two members meet
-    blocks = F.ceil(F.col("size") / block)
-    cut = reduce(DataFrame.union, leaves).withColumn("own", F.pmod(F.xxhash64("id"), blocks))
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    group = F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))
-    pairs = shared.written(_compared(cut.select(group.alias("node"), "id", "comp", *_CARRY), most, percent), "nd-pairs")
-    more = confirmed(pairs, rows, percent, "nd-pairs")
-    labels = components(links.union(more), "nd-all")
+    found = shared.written(_compared(in_blocks(reduce(DataFrame.union, leaves), block, True), most, percent, False), "nd-found")
+    links = links.union(confirmed(found.filter("node is null").select("a", "b").distinct(), rows, percent, "nd-pairs"))
+    links = links.union(_confirmed_groups(found.filter("node is not null"), rows, percent, "nd-groups"))
+    labels = components(links, "nd-all")
 
     named = shared.written(
         classes.select("k1", "k2", "id").join(labels, "id", "left").select("k1", "k2", F.coalesce("comp", "id").alias("component_id")), "nd-components"
