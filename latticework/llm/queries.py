@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bm25, bpe, chat, langid, near_dup, packing, repetition, urls, warc
+from . import bm25, bpe, chat, langid, licences, near_dup, packing, repetition, urls, warc
 
 
 def queries():
@@ -13,6 +13,7 @@ def queries():
         "op2_byte_bpe": bpe.op2_byte_bpe,
         "op3_near_duplicates": near_dup.op3_near_duplicates,
         "op4_repetition_rules": repetition.op4_repetition_rules,
+        "op5_licence_scan": licences.op5_licence_scan,
         "op6_url_filters": urls.op6_url_filters,
         "op7_preference_format": chat.op7_preference_format,
         "op8_best_fit_packing": packing.op8_best_fit_packing,
@@ -25,6 +26,7 @@ def queries():
 def oracle_sql():
     return {
         "op1_bm25_search": bm25.OP1_SQL,
+        "op5_licence_scan": licences.OP5_SQL,
         "op6_url_filters": urls.OP6_SQL,
         "op7_preference_format": chat.OP7_SQL,
         "op9_warc": warc.OP9_SQL,
