@@ -206,11 +206,11 @@ def _compared(nodes: DataFrame, most: int, percent: int, best_only: bool) -> Dat
     return nodes.select("node", "id", "comp", *_CARRY).repartition("node").sortWithinPartitions("node").mapInArrow(run, "a long, b long, node long")
 
 
-def _texts(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    """The rows of docs whose doc_id is in ids (distinct), as a written table.
+def _marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs with nd_maybe: false only where doc_id isn't in ids (distinct), mostly true where it is, and null never.
 
-    A filter of 64-bit words, three bits an id, goes to the rows first, so that few others are shuffled for the exact join. It has one word for four ids,
-    but 2^20 words at most: its size is bounded, and beyond some millions of ids it merely lets more rows through.
+    A table of 64-bit words, three bits an id, goes to all tasks. It has one word for four ids, but 2^20 words at most: its size is bounded, and beyond
+    some millions of ids it merely lets more rows through. So an exact join with ids need only shuffle the rows that are marked.
     """
     words = min(1 << 20, max(64, 1 << (ids.count() // 4).bit_length()))
     word = F.pmod(F.xxhash64("doc_id"), F.lit(words))
@@ -218,8 +218,14 @@ def _texts(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
     mask = F.lit(0).cast("long")
     for k in range(3):
         mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(spots, 6 * k).bitwiseAND(F.lit(63).cast("long")).cast("int")))
-    table = ids.select(word.alias("word"), mask.alias("mask")).groupBy("word").agg(F.expr("bit_or(mask)").alias("bits"))
-    some = docs.withColumn("word", word).join(F.broadcast(table), "word").filter(F.col("bits").bitwiseAND(mask) == mask).select("doc_id", "text")
+    table = ids.select(word.alias("nd_word"), mask.alias("mask")).groupBy("nd_word").agg(F.expr("bit_or(mask)").alias("nd_bits"))
+    joined = docs.withColumn("nd_word", word).join(F.broadcast(table), "nd_word", "left")
+    return joined.withColumn("nd_maybe", F.coalesce(F.col("nd_bits").bitwiseAND(mask) == mask, F.lit(False))).drop("nd_word", "nd_bits")
+
+
+def _texts(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """The rows of docs whose doc_id is in ids (distinct), as a written table."""
+    some = _marked(docs, ids).filter("nd_maybe").select("doc_id", "text")
     return shared.written(some.join(ids, "doc_id", "left_semi"), name)
 
 
@@ -403,9 +409,10 @@ def near_duplicates(
         links = links.union(confirmed(near, rows, percent, f"nd-near{turn}"))
         labels = components(links, f"nd-near{turn}")
 
-    open_nodes, leaves = labelled(first_level), []
+    open_nodes, leaves, levels = labelled(first_level), [], []
     for level in range(1, depth + 1):
         held = shared.written(mixed(open_nodes), f"nd-level{level}")
+        levels.append(held)
         large = held.filter(F.col("size") > leaf)
         if level == depth or not large.limit(1).count():
             leaves.append(held.select("node", "size", "id", "comp", *_CARRY))
@@ -418,10 +425,12 @@ def near_duplicates(
     links = links.union(confirmed(found.filter("node is null").select("a", "b").distinct(), rows, percent, "nd-pairs"))
     links = links.union(_confirmed_groups(found.filter("node is not null"), rows, percent, "nd-groups"))
     labels = components(links, "nd-all")
+    shared.drop(shared_nodes, stars, links, found, *levels)
 
     named = shared.written(
         classes.select("k1", "k2", "id").join(labels, "id", "left").select("k1", "k2", F.coalesce("comp", "id").alias("component_id")), "nd-components"
     )
+    shared.drop(classes, labels)
     full = signed.filter("n_shingles > 0").select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2"]).select("doc_id", "n_shingles", "component_id")
     empty = signed.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return full.union(empty).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
@@ -432,6 +441,11 @@ def op3_near_duplicates(spark, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component of near-duplicates the document with the smallest id, with the columns of docs."""
-    gone = near_duplicates(docs).filter("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Pipeline stage: of each component of near-duplicates the document with the smallest id, with the columns of docs.
+
+    Rows of one doc_id stay or go together; rows without doc_id stay.
+    """
+    gone = shared.written(near_duplicates(docs).filter("doc_id is not null and not kept").select("doc_id").distinct(), "nd-gone")
+    marked = _marked(docs, gone)
+    out = marked.filter("not nd_maybe").drop("nd_maybe").union(marked.filter("nd_maybe").drop("nd_maybe").join(gone, "doc_id", "left_anti").select(*docs.columns))
+    return out.select(*docs.columns)
