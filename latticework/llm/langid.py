@@ -80,11 +80,11 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", smoothing: fl
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(row[at])], names=["lang", "bucket", "n"])
 
     rows = docs.select(F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang")).dropna()
-    counted = rows.mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(counted["lang"].unique())
+    counted = rows.mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    languages, own = np.unique(np.array(counted.column("lang").to_pylist(), dtype=str), return_inverse=True)
     grid = np.zeros((BUCKETS, len(languages)))
-    grid[counted["bucket"], counted["lang"].map({x: i for i, x in enumerate(languages)}).astype(int)] = counted["n"]
-    return Model(languages, (grid + smoothing) / (grid.sum(axis=0) + smoothing * BUCKETS))
+    grid[counted.column("bucket").to_numpy(), own] = counted.column("n").to_numpy()
+    return Model(languages.tolist(), (grid + smoothing) / (grid.sum(axis=0) + smoothing * BUCKETS))
 
 
 def _fit(like: np.ndarray, count: np.ndarray, doc: np.ndarray, at: np.ndarray, weights: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
