@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 #: (host, path, verdict). A rule fits its host and all subdomains, if the URL's path starts with the rule's; the longest wins.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
-#: Hosts (first label) whose pages' URLs make up the production list.
+#: Hosts with this label, wherever it stands, whose pages' URLs make up the production list.
 LISTED_LABEL = "spam-farm"
 
 BITS_PER_URL = 12
@@ -99,10 +100,15 @@ def url_verdicts(pages: DataFrame, listed: DataFrame, url: str = "url", page_id:
     )
 
 
+def listed_urls(pages: DataFrame, url: str = "url", label: str = LISTED_LABEL) -> DataFrame:
+    """canonical_url of every page whose host has the label, behind www., m. or any other subdomain too. May be empty."""
+    u = F.col(f"`{url}`").cast("string")
+    return pages.filter(host(u).rlike(rf"(^|[.@]){re.escape(label)}([.:]|$)")).select(canonical(u).alias("canonical_url"))
+
+
 def op6_url_filters(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    listed = pages.filter(host(F.col("url")).startswith(LISTED_LABEL + ".")).select(canonical(F.col("url")).alias("canonical_url"))
-    return url_verdicts(pages, listed)
+    return url_verdicts(pages, listed_urls(pages))
 
 
 _SQL_PARTS = r"""

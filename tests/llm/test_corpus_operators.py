@@ -255,6 +255,15 @@ def test_urls(spark):
     assert urls.url_verdicts(many.limit(0), half).count() == 0 and urls.url_verdicts(many, half.limit(0)).filter("verdict = 'block'").count() == 0
 
 
+def test_listed_urls_behind_subdomains(spark, tmp_path):
+    hosts = ["www.spam-farm.example.com", "m.spam-farm.example.com", "blog.spam-farm.example.com", "WWW.Spam-Farm.info", "not-spam-farm.info", "spam-farmer.info", "www.x.info"]
+    rows = [(i, f"http://{h}/es/{i}") for i, h in enumerate(hosts)] + [(7, "http://x.info/spam-farm."), (8, None), (9, "https://spam-farm.example.com/es/0/?utm_source=a")]
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r for r in urls.op6_url_filters(spark, str(tmp_path)).collect()}
+    assert len(got) == 10 and {k for k, r in got.items() if r["listed"]} == {0, 1, 2, 3, 9}
+    assert {k for k, r in got.items() if r["verdict"] == "block"} == {0, 1, 2, 3, 9}
+
+
 def test_chat(spark):
     schema = "pair_id long, turn long, role string, text string, side string"
     chosen = [(1, 0, "user", "hi", "c"), (1, 1, "assistant", "a", "c"), (2, 0, "user", "x", "c"), (3, 0, None, None, "c"), (3, 1, "assistant", "b", "c"), (5, 0, "user", "u", "c"), (None, 0, "user", "u", "c")]
