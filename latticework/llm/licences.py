@@ -5,6 +5,9 @@ paragraph (lines between lines without words) and the whole text is a unit. A un
 dice = 2 * common / (unit + template). Bigrams that occur in a template are marked for all texts at once; units with too few marked bigrams for the
 smallest template are dropped, and sizes bound which templates a unit is compared with: dice can't reach t unless the smaller set has at least
 t / (2 - t) of the larger one's bigrams.
+
+Templates that no unit matches are looked for in windows: any run of words of the text, across lines and paragraphs. A text is searched for a template if
+it holds t / (2 - t) of its bigrams. The search is exact: it leaves out only beginnings from which no window can be better than the best so far.
 """
 
 from __future__ import annotations
@@ -75,7 +78,7 @@ _NEXT = np.uint64(0x9E3779B97F4A7C15)
 class Match(NamedTuple):
     template: str
     dice: float
-    start: int  # bytes of the unit in its text
+    start: int  # bytes of the unit or window in its text
     end: int
 
 
@@ -104,6 +107,8 @@ class Templates:
             self.sets.append(np.unique(_text.mix(h[:-1] * _NEXT + h[1:])))
         self.every = np.unique(np.concatenate(self.sets))
         self.least = min(map(len, self.sets)) * threshold / (2 - threshold)
+        self.holds = np.stack([np.isin(self.every, own) for own in self.sets], axis=1)  # bigram x template
+        self.needs = np.array([len(own) for own in self.sets]) * threshold / (2 - threshold) - 1e-9
 
     def compare(self, bigrams: np.ndarray) -> list[tuple[str, float]]:
         """Templates that a unit's distinct bigrams match."""
@@ -116,15 +121,50 @@ class Templates:
         return out
 
 
+def window(bigrams: np.ndarray, own: np.ndarray, least: float) -> tuple[float, int, int] | None:
+    """(dice, first, last bigram) of the window of a text's bigrams that is most like the distinct bigrams own; the first if several; None below least.
+
+    All ends are tried from a beginning, until the window has three times the template's bigrams (dice is below 1/2 from there on) or all that the text has of
+    it. If no end gives more than u, a beginning s further on gives at most u * m / (m - s) with m the template's bigrams: to leave one out takes at
+    most one common bigram less, and one distinct bigram less, for each step. The next beginning is the first that this doesn't rule out.
+    """
+    n, m = len(bigrams), len(own)
+    member = own[np.minimum(np.searchsorted(own, bigrams), m - 1)] == bigrams
+    order = np.argsort(bigrams, kind="stable")
+    same = bigrams[order[1:]] == bigrams[order[:-1]]
+    before = np.full(n, -1)
+    before[order[1:][same]] = order[:-1][same]
+    begins, held = np.flatnonzero(member), int((member & (before < 0)).sum())
+    best, found, k = 0.0, None, 0
+    while k < len(begins) and best < 1:
+        at, size = int(begins[k]), 4 * m
+        while True:
+            fresh = before[at : at + size] < at
+            distinct, common = np.cumsum(fresh), np.cumsum(fresh & member[at : at + size])
+            if at + size >= n or common[-1] == held or distinct[-1] > 3 * m:
+                break
+            size *= 2
+        dice = 2.0 * common / (distinct + m)
+        end = int(np.argmax(dice))
+        if dice[end] >= least and dice[end] > best:
+            best, found = float(dice[end]), (float(dice[end]), at, at + end)
+        most = float(dice[end])
+        if at + size < n and common[-1] < held:
+            most = max(most, 2.0 * m / (int(distinct[-1]) + m))
+        k = int(np.searchsorted(begins, at + max(1, int(m * (1 - most / max(best, least)) - 1e-6))))
+    return found
+
+
 def scan(data: np.ndarray, offs: np.ndarray, templates: Templates) -> list[list[Match]]:
-    """The matches of each text of a chunk: of every template the best unit, the first if several are."""
+    """The matches of each text of a chunk: of every template the best unit, else the best window, the first if several are."""
     starts, ends, h, at = _words(data, offs)
     out: list[list[Match]] = [[] for _ in range(len(offs) - 1)]
     if len(h) < 2:
         return out
     bigrams = _text.mix(h[:-1] * _NEXT + h[1:])
     spot = np.minimum(np.searchsorted(templates.every, bigrams), len(templates.every) - 1)
-    marked = np.concatenate([[0], np.cumsum(templates.every[spot] == bigrams)])
+    known = templates.every[spot] == bigrams
+    marked = np.concatenate([[0], np.cumsum(known)])
     breaks = np.concatenate([[0], np.cumsum(data == 10)])
     between = breaks[starts[1:]] - breaks[ends[:-1]]
     edge = np.zeros(len(h), bool)
@@ -144,15 +184,25 @@ def scan(data: np.ndarray, offs: np.ndarray, templates: Templates) -> list[list[
         for name, dice in templates.compare(np.unique(bigrams[i : j - 1])):
             if (text, name) not in best or dice > best[text, name].dice:
                 best[text, name] = Match(name, dice, int(starts[i] - offs[text]), int(ends[j - 1] - offs[text]))
+    long = np.flatnonzero(at[1:] - at[:-1] >= 2)
+    for text in long[marked[at[long + 1] - 1] - marked[at[long]] >= templates.least].tolist():
+        i, j = int(at[text]), int(at[text + 1])
+        held = templates.holds[np.unique(spot[i : j - 1][known[i : j - 1]])].sum(axis=0)
+        for own in np.flatnonzero(held >= templates.needs).tolist():
+            name = templates.names[own]
+            if (text, name) not in best and (hit := window(bigrams[i : j - 1], templates.sets[own], templates.threshold)):
+                dice, first, last = hit
+                best[text, name] = Match(name, dice, int(starts[i + first] - offs[text]), int(ends[i + last + 1] - offs[text]))
     for (text, _), match in sorted(best.items()):
         out[text].append(match)
     return out
 
 
 def licence_scan(docs: DataFrame, text: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with licences: an array of (template, dice, start, end) of every template that a unit of the text matches, in order of template.
+    """docs with licences: an array of (template, dice, start, end) of every template that a unit or a window of the text matches, in order of template.
 
-    start and end are bytes of the best unit (the first, if several are) in the text. Null, empty and wordless texts match nothing; a unit needs two words.
+    start and end are bytes of the best unit, or of the best window where no unit matches (the first, if several are), in the text. A short notice within a longer
+    text that matches counts too. Null, empty and wordless texts match nothing; a unit needs two words.
     One pass, no shuffle; whole texts are scanned. Repeated rows are each scanned. Columns of docs named licences are replaced.
     """
     own = Templates(TEMPLATES if templates is None else templates, threshold)

@@ -116,6 +116,42 @@ def test_licences(spark):
     assert not found[3] and not found[4] and not found[5]
 
 
+def test_licences_in_long_texts(spark):
+    words = np.random.default_rng(5).permutation([f"w{i}" for i in range(3000)]).tolist()
+    before, after = " ".join(words[:1500]), " ".join(words[1500:])
+    rows = [(name, f"{before}\n\n{body}\n\n{after}") for name, body in licences.TEMPLATES.items()]
+    rows += [(name + " in a line", " ".join(f"{before} {body} {after}".split())) for name, body in licences.TEMPLATES.items()]
+    rows += [("none", before + after), ("shared line", "Copyright 2020 Foo. Released under the MIT License.")]
+    rows += [("twice", f"{licences.TEMPLATES['ISC']}\n\n{before}\n\n{licences.TEMPLATES['MIT']}\n\n{after}")]
+    found = {r["name"]: {m["template"]: m for m in r["licences"]} for r in licences.licence_scan(spark.createDataFrame(rows, "name string, text string")).collect()}
+    texts = dict(rows)
+    for name, body in licences.TEMPLATES.items():
+        for key in (name, name + " in a line"):
+            match = found[key][name]
+            assert match["dice"] == 1.0
+            there = texts[key].encode()[match["start"] : match["end"]].decode()
+            assert " ".join(there.split()) in " ".join(body.split()) and len(there) > 0.9 * len(body)
+    assert not found["none"] and set(found["shared line"]) == {"MIT notice"} and {"ISC", "MIT"} <= set(found["twice"])
+
+
+def test_licence_windows():
+    rng = np.random.default_rng(6)
+    hits = 0
+    for _ in range(400):
+        own = np.unique(rng.integers(0, 12, rng.integers(1, 9))).astype(np.uint64)
+        text = rng.integers(0, rng.integers(6, 30), rng.integers(2, 60)).astype(np.uint64)
+        least = float(rng.choice([0.5, 0.6, 0.75, 0.9]))
+        sets = {(i, j): set(text[i : j + 1].tolist()) for i in range(len(text)) for j in range(i, len(text))}
+        want = max(2 * len(x & set(own.tolist())) / (len(x) + len(own)) for x in sets.values())
+        got = licences.window(text, own, least)
+        assert (got is None) == (want < least)
+        if got:
+            inside = sets[got[1:]]
+            assert got[0] == want == 2 * len(inside & set(own.tolist())) / (len(inside) + len(own))
+            hits += 1
+    assert hits > 50
+
+
 def test_language_mixtures(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     model = langid.learn(docs.filter(~langid.held_out()))
