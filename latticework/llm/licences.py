@@ -12,6 +12,8 @@ it holds t / (2 - t) of its bigrams. The search is exact: it leaves out only beg
 
 from __future__ import annotations
 
+from functools import cache
+from importlib import resources
 from typing import NamedTuple
 
 import numpy as np
@@ -70,6 +72,35 @@ You should have received a copy of the GNU General Public License along with thi
     "CC-BY-NC-4.0 notice 2": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
 }
 
+# Further notices and short texts. Whole licence texts are in licence_texts, by identifier. OP5_SQL knows TEMPLATES only.
+_OR_LATER = """; either version {0} of the License, or (at your option) any later version.
+
+This {1} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {2}General Public License for more details."""
+MORE_TEMPLATES = {
+    "Proprietary notice": "All rights reserved.",
+    "BSD-3-Clause": TEMPLATES["BSD-2-Clause"].replace(
+        "\n\nTHIS SOFTWARE",
+        "\n\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\nTHIS SOFTWARE",
+    ),
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "GPL-2.0-or-later": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"
+    + _OR_LATER.format("2", "program", ""),
+    "LGPL-2.1-or-later": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"
+    + _OR_LATER.format("2.1", "library", "Lesser "),
+    "LGPL-3.0-or-later": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"
+    + _OR_LATER.format("3", "library", "Lesser "),
+    "AGPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"
+    + _OR_LATER.format("3", "program", "Affero "),
+}
+
+
+@cache
+def every_template() -> dict[str, str]:
+    """TEMPLATES, MORE_TEMPLATES and the whole licence texts."""
+    texts = [f for f in resources.files(__package__).joinpath("licence_texts").iterdir() if f.name.endswith(".txt")]
+    return TEMPLATES | MORE_TEMPLATES | {f.name[:-4] + " text": f.read_text("utf-8") for f in texts}
+
+
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _NEXT = np.uint64(0x9E3779B97F4A7C15)
@@ -205,7 +236,7 @@ def licence_scan(docs: DataFrame, text: str = "text", templates: dict[str, str]
     text that matches counts too. Null, empty and wordless texts match nothing; a unit needs two words.
     One pass, no shuffle; whole texts are scanned. Repeated rows are each scanned. Columns of docs named licences are replaced.
     """
-    own = Templates(TEMPLATES if templates is None else templates, threshold)
+    own = Templates(every_template() if templates is None else templates, threshold)
     kind = pa.list_(pa.struct([("template", pa.string()), ("dice", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def judge(column: pa.Array) -> list[pa.Array]:

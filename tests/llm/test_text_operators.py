@@ -134,6 +134,15 @@ def test_licences_in_long_texts(spark):
     assert not found["none"] and set(found["shared line"]) == {"MIT notice"} and {"ISC", "MIT"} <= set(found["twice"])
 
 
+def test_all_templates(spark):
+    every = licences.every_template()
+    assert len(every) == 31 and set(licences.TEMPLATES) < set(every)
+    rows = [(name, f"x y z\n\n{body}\n\nu v w") for name, body in every.items()] + [("planted", "Some words of a text.\nAll rights reserved."), ("none", "all of these rights are reserved")]
+    found = {r["name"]: {m["template"]: m["dice"] for m in r["licences"]} for r in licences.licence_scan(spark.createDataFrame(rows, "name string, text string")).collect()}
+    assert all(found[name][name] > 0.94 for name in every)
+    assert found["planted"] == {"Proprietary notice": 1.0} and not found["none"]
+
+
 def test_licence_windows():
     rng = np.random.default_rng(6)
     hits = 0
