@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -236,6 +237,39 @@ def test_bin_completion_against_brute_force():
         assert sum(n for _, n in packing_) == fewest(sizes, 20) >= packing.lower_bound(counts, 20)
 
 
+def test_planted_packings_are_found():
+    rng = random.Random(4)
+    for _ in range(60):
+        sizes = []
+        for _ in range(6):
+            a, b = sorted(rng.sample(range(1, 60), 2))
+            sizes += [a, b - a, 60 - b]
+        counts = collections.Counter(sizes)
+        packing_ = packing.complete_bins(counts, 60)
+        used = collections.Counter()
+        for pattern, times in packing_:
+            assert sum(a * b for a, b in pattern) <= 60
+            for a, b in pattern:
+                used[a] += b * times
+        assert used == counts and sum(n for _, n in packing_) == 6
+
+
+def test_all_fillings():
+    rng = random.Random(8)
+    for _ in range(100):
+        counts = collections.Counter(rng.randint(1, 12) for _ in range(rng.randint(1, 8)))
+        lengths, room, slack = sorted(counts), rng.randint(1, 25), rng.randint(0, 25)
+        ways = [dict(zip(lengths, ks, strict=True)) for ks in itertools.product(*(range(counts[k] + 1) for k in lengths))]
+        want = set()
+        for way in ways:
+            waste = room - sum(k * n for k, n in way.items())
+            better = any(way[x] < counts[x] and y < x <= y + waste for x in lengths for y in (0, *(k for k in lengths if way[k])))
+            if 0 <= waste <= slack and not better:
+                want.add(tuple((k, way[k]) for k in reversed(lengths) if way[k]))
+        got = [p for _, p in packing.every_filling(room, lengths, counts, slack)]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_urls(spark):
     rows = [
         (1, "http://a.net/x"), (2, "https://M.Example.NET/en/1#t"), (3, "http://example.com/de/"), (4, "http://x.org/fr/2?utm_source=a&b=1"), (5, "http://s.info/a/"),
