@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import binning
 from ..plans.spec import GridSpec
-from .sat import box_corners
+from .sat import box_corners, sat
 
 
 def encode(hist: DataFrame, spec: GridSpec) -> DataFrame:
@@ -162,3 +162,27 @@ def haar_scanlines(values: DataFrame, key: str, position: str, value: str, lengt
 
     kind = values.schema[key].dataType.simpleString()
     return values.groupBy(key).applyInPandas(run, f"{key} {kind}, {position} int, {value} double")
+
+
+def dense_encode(hist: DataFrame, spec: GridSpec) -> DataFrame:
+    """What encode gives, by the dense route: the summed-area tables of all bins over all axes, then every scanline transformed, one axis after the other.
+
+    Beyond the data the sums stay, up to a power of two along each axis.
+    """
+    out = sat(hist, spec).withColumn("s", F.col("s").cast("double"))
+    for d, axis in enumerate(spec.axes):
+        if spec.padded(d) > spec.dims[d]:
+            beyond = F.explode(F.sequence(F.lit(spec.dims[d]), F.lit(spec.padded(d) - 1)))
+            out = out.unionByName(out.filter(F.col(axis) == spec.dims[d] - 1).withColumn(axis, beyond))
+    for d, axis in enumerate(spec.axes):
+        sizes = {a: spec.padded(e) for e, a in enumerate(spec.axes) if e != d} | {"bin": spec.n_bins}
+        line, rest, others = F.lit(0).cast("long"), F.col("line"), []
+        for name, n in reversed(sizes.items()):
+            line = line * n + F.col(name)
+        for name, n in sizes.items():
+            others.append((rest % n).cast("int").alias(name))
+            rest = F.floor(rest / n)
+        out = haar_scanlines(out.select(line.alias("line"), axis, "s"), "line", axis, "s", spec.padded(d)).select(axis, *others, "s")
+    at = [binning.address(F.col(axis).cast("long")) for axis in spec.axes]
+    out = out.select(*(level.cast("int").alias(f"l{d}") for d, (level, _) in enumerate(at)), *(k.cast("int").alias(f"k{d}") for d, (_, k) in enumerate(at)), "bin", "s")
+    return out.withColumn("ic", F.lit(1)).select(*spec.keys, "bin", F.round(F.col("s") / coefficient(spec)).cast("long").alias("ic")).filter("ic <> 0")

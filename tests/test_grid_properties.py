@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from latticework.functions import binning
 from latticework.operators import cells, fields, sat, tree, wavelet
+from latticework.plans import queries
 from latticework.plans.spec import GridSpec
 
+DATA = "/root/testdata/sf0.001"
+
 
 def make(spark, dims, bins, seed, share=0.7):
     """A random cell histogram as an array (bins, *dims), and as a table."""
@@ -133,3 +136,17 @@ def test_nrrd_types(spark, tmp_path):
     nrrd.register(spark)
     found = {tuple(r[:3]): r[3] for r in spark.read.format("nrrd").load(str(tmp_path / "a.nrrd")).collect()}
     assert len(found) == 24 and found[3, 2, 1] == 23.0 and found[1, 0, 0] == 1.0
+
+
+@pytest.mark.parametrize("dims,bins", [((8, 8), 4), ((5, 7), 3), ((4, 6, 3), 3), ((16,), 2), ((1, 1), 1)])
+def test_dense_route_gives_all_coefficients(spark, dims, bins):
+    _, table, spec = make(spark, dims, bins, 2)
+    want = sorted(map(tuple, wavelet.encode(table, spec).collect()))
+    assert want and sorted(map(tuple, wavelet.dense_encode(table, spec).collect())) == want
+
+
+def test_dense_route_on_the_main_grid(spark):
+    spec, found = queries.coefs(spark, DATA)
+    want = sorted(map(tuple, found.select(*spec.keys, "bin", "ic").collect()))
+    assert len({r[-2] for r in want}) == spec.n_bins
+    assert sorted(map(tuple, wavelet.dense_encode(queries.grid(spark, DATA)[1], spec).collect())) == want
