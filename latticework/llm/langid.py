@@ -3,7 +3,7 @@
 A model holds for every language the smoothed likelihoods of hashed letter trigrams (lower-cased, anything but letters is a word's edge), counted over all
 learning documents. A document's trigrams are taken as drawn from a mixture of languages. Expectation-maximisation over all languages estimates the
 proportions; then nested sets of the languages with the largest ones are fitted again, and the set with the best penalised likelihood
-(log likelihood less ``penalty`` * ln(trigrams) for each language) is kept. The prediction is the set's largest language, the score its proportion.
+(log likelihood less ``penalty`` * ln(trigrams) for each language) is kept, up to all languages. The prediction is the set's largest language, the score its proportion.
 """
 
 from __future__ import annotations
@@ -23,8 +23,6 @@ BUCKETS = 1 << 14
 SMOOTHING = 0.5
 ROUNDS = 8
 PENALTY = 4.0
-#: No language set has more members.
-MOST_LANGUAGES = 4
 
 
 class Model(NamedTuple):
@@ -117,8 +115,8 @@ def mixtures(data: np.ndarray, offs: np.ndarray, model: Model, penalty: float =
     _, score = _fit(like, count, doc, at, best, 0)
     score = score - penalty * np.log(total + 1)
     going = np.ones(len(texts), bool)
-    for k in range(2, min(MOST_LANGUAGES, n_lang) + 1):
-        going &= full[np.arange(len(texts)), order[:, k - 1]] > 0.02
+    for k in range(2, n_lang + 1):  # the penalty alone ends the growth
+        going &= full[np.arange(len(texts)), order[:, k - 1]] > 0
         if not going.any():
             break
         rows = going[doc]

@@ -143,6 +143,22 @@ def test_all_templates(spark):
     assert found["planted"] == {"Proprietary notice": 1.0} and not found["none"]
 
 
+def test_language_sets_are_ended_by_the_penalty_alone(spark):
+    rng = np.random.default_rng(7)
+    letters = {"a": "abcde", "b": "fghij", "c": "klmno", "d": "pqrst", "e": "uvwxy", "f": "zäöüß"}
+
+    def text(lang, words):
+        return " ".join("".join(rng.choice(list(letters[lang]), 5)) for _ in range(words))
+
+    model = langid.learn(spark.createDataFrame([(text(x, 3000), x) for x in letters], "text string, lang string"))
+    texts = [" ".join(text(x, 200) for x in "abcde"), text("a", 20000) + " " + text("b", 300), text("c", 500)]
+    data = "".join(texts).encode()
+    weights, _ = langid.mixtures(np.frombuffer(data, np.uint8), np.cumsum([0, *(len(x.encode()) for x in texts)]), model)
+    sets = [{x for x, w in zip(model.languages, row, strict=True) if w > 0} for row in weights.tolist()]
+    assert sets == [set("abcde"), set("ab"), set("c")]
+    assert abs(weights[0][:5] - 0.2).max() < 0.02 and 0.005 < weights[1][1] < 0.02
+
+
 def test_licence_windows():
     rng = np.random.default_rng(6)
     hits = 0
