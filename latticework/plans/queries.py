@@ -323,7 +323,7 @@ def global_contour_spectrum(spark, d):
 
 @query()
 def contour_spectrum_3d(spark, d):
-    field = store.spheres(spark, 16)
+    field = store.spheres(spark)
     return binning.contour_spectrum(cells.corners(field, 3), 3, B, 0.0, 1.0).groupBy("bin").agg(F.sum("w").alias("w"))
 
 

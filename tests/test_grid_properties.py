@@ -150,3 +150,7 @@ def test_dense_route_on_the_main_grid(spark):
     want = sorted(map(tuple, found.select(*spec.keys, "bin", "ic").collect()))
     assert len({r[-2] for r in want}) == spec.n_bins
     assert sorted(map(tuple, wavelet.dense_encode(queries.grid(spark, DATA)[1], spec).collect())) == want
+
+
+def test_contour_spectrum_of_the_whole_volume(spark):
+    assert queries.contour_spectrum_3d(spark, DATA).agg(F.sum("w")).first()[0] == pytest.approx(63**3)
