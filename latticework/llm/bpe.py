@@ -6,32 +6,37 @@ the state after it. Functions compose associatively, and only few distinct ones
 joins the function of each position with those before it until it no longer depends on the state it starts from, which takes two or three steps
 on any text. A boundary stands where state and symbol say that a new slice begins.
 
-Slices are looked up by a 64-bit hash in a cache of merged slices that each Python worker keeps; unknown ones are merged all at once, one merge of each
-slice per step. Byte offsets of all tokens are kept, and decoding is a gather of the tokens' bytes.
+Slices are looked up by their bytes in a cache of merged slices that each Python worker keeps; unknown short ones are merged all at once, one merge of
+each slice per step, long ones by a heap of pairs over a linked list. Byte offsets of all tokens are kept, and decoding is a gather of the tokens' bytes.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from . import _text
+from . import _text, shared
 
 #: The split pattern that boundaries() reproduces (fixed value of the public tokenizer).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: White space beyond ASCII (fixed values of Unicode's White_Space).
 WIDE_SPACES = [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
-CHUNK_BYTES = 2 << 20
-CACHE_SLICES = 400_000
+CHUNK_BYTES = 1 << 20
+#: A worker forgets its merged slices when they are more, or have more bytes together.
+CACHE_SLICES = 100_000
+CACHE_BYTES = 4 << 20
+#: Slices of more bytes are merged by a heap.
+SHORT_SLICE = 256
 
 # Classes, then symbols. A space is SOLO or JOIN if something solid follows (JOIN: the plain space, which the next slice takes along), else SPACE.
 LETTER, NUMBER, OTHER, SPACE, JOIN, SOLO, SHORT, LONG = range(8)
@@ -130,10 +135,11 @@ def boundaries(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
 class Vocabulary:
     """Tokens' bytes and the table of pairs that merge: (left id, right id) -> (rank, new id)."""
 
-    def __init__(self, tokens: dict[int, bytes], pairs: dict[tuple[int, int], tuple[int, int]], whole: bool):
-        self.size = max(tokens) + 1
-        self.tokens = tokens
-        self.whole = whole  # a slice that is a token is that token, without merging
+    def __init__(self, tokens: dict[int, bytes], pairs: dict[tuple[int, int], tuple[int, int]], whole: bool, added: dict[bytes, int] | None = None):
+        self.size = max([*tokens, *(added or {}).values()]) + 1
+        tokens = tokens | {i: t for t, i in (added or {}).items()}
+        self.whole = {t: i for i, t in tokens.items()} if whole else {}  # a slice that is a token is that token, without merging
+        self.added = added or {}  # strings that are one token wherever they stand in a text
         by_bytes = {t: i for i, t in tokens.items()}
         self.byte_ids = np.array([by_bytes[bytes([b])] for b in range(256)], np.int64)
         keys = np.array([a << 20 | b for a, b in pairs], np.uint64)
@@ -157,6 +163,7 @@ class Vocabulary:
         self.digits_len = np.array([len(t) for t in texts])
 
     NONE = (1 << 40) - 1
+    _never = (NONE, -1)
 
     def _slots(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -172,9 +179,56 @@ class Vocabulary:
             open_at = open_at[(have != keys[open_at]) & (have != np.uint64((1 << 64) - 1))]
         return self.ranks[slot], self.merged[slot]
 
+    @cache  # noqa: B019 - there are few vocabularies, each kept as long as the worker
+    def _by_pair(self) -> dict[int, tuple[int, int]]:
+        """(rank, new id) by pair, for pairs that are looked up one by one."""
+        at = np.flatnonzero(self.ranks != self.NONE)
+        return dict(zip(self.keys[at].tolist(), zip(self.ranks[at].tolist(), self.merged[at].tolist(), strict=True), strict=True))
+
+    def merge_long(self, data: np.ndarray) -> np.ndarray:
+        """Ids of one slice: its pairs in a heap by rank and place, its symbols in a linked list. As merge(), in n log n steps."""
+        symbols = self.byte_ids[data]
+        ranks, merged = self.pair(symbols[:-1], symbols[1:])
+        at = np.flatnonzero(ranks != self.NONE)
+        heap = list(zip(ranks[at].tolist(), at.tolist(), merged[at].tolist(), strict=True))
+        heapq.heapify(heap)
+        live, ids, n = ranks.tolist(), symbols.tolist(), len(symbols)  # live: the rank of the pair that begins here, -1 if none may merge
+        live.append(-1)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        known = self._by_pair()
+
+        def look(i: int) -> None:
+            live[i], new = known.get(ids[i] << 20 | ids[after[i]], self._never)
+            if new >= 0:
+                heapq.heappush(heap, (live[i], i, new))
+
+        while heap:
+            rank, i, new = heapq.heappop(heap)
+            if live[i] != rank:
+                continue
+            gone = after[i]
+            ids[i], ids[gone], live[gone] = new, -1, -1
+            follower = after[i] = after[gone]
+            if follower < n:
+                before[follower] = i
+                look(i)
+            else:
+                live[i] = -1
+            if before[i] >= 0:
+                look(before[i])
+        out = np.array(ids, np.int64)
+        return out[out >= 0]
+
     def merge(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of each slice, end to end, and their counts. All slices advance together, by their lowest pair (the first, if several) per step."""
         lengths = ends - starts
+        if len(long := np.flatnonzero(lengths > SHORT_SLICE)):
+            short = np.flatnonzero(lengths <= SHORT_SLICE)
+            ids, few = self.merge(data, starts[short], ends[short])
+            parts = dict(zip(short.tolist(), np.split(ids, np.cumsum(few)[:-1]), strict=True)) if len(short) else {}
+            parts |= {i: self.merge_long(data[starts[i] : ends[i]]) for i in long.tolist()}
+            every = [parts[i] for i in range(len(starts))]
+            return np.concatenate(every), np.array([len(x) for x in every])
         at = np.concatenate([[0], np.cumsum(lengths)])
         symbols = self.byte_ids[data[np.repeat(starts - at[:-1], lengths) + np.arange(at[-1])]]
         slices = np.arange(len(starts))
@@ -186,8 +240,8 @@ class Vocabulary:
         ranks[at[1:] - 1] = self.NONE
         while len(slices):
             begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-            best = np.minimum.reduceat(ranks << 22 | (np.arange(len(ranks)) - np.repeat(begin, lengths)), begin)
-            go = (best >> 22) != self.NONE
+            best = np.minimum.reduceat(ranks << 10 | (np.arange(len(ranks)) - np.repeat(begin, lengths)), begin)
+            go = (best >> 10) != self.NONE
             if not go.all():
                 each = np.repeat(go, lengths)
                 done.append((slices[~go], lengths[~go], symbols[~each]))
@@ -196,7 +250,7 @@ class Vocabulary:
                 if not len(slices):
                     break
                 begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-            at = begin + (best & ((1 << 22) - 1))
+            at = begin + (best & ((1 << 10) - 1))  # slices are shorter than 1024
             symbols[at] = merged[at]
             stay = np.ones(len(symbols), bool)
             stay[at + 1] = False
@@ -237,9 +291,10 @@ def rank_vocabulary(path: str) -> Vocabulary:
 
 @lru_cache(4)
 def merge_vocabulary(path: str) -> Vocabulary:
-    """From a tokenizer file with a list of merges, as byte-level BPE models have. Strings of special tokens are ordinary text."""
+    """From a tokenizer file with a list of merges, as byte-level BPE models have; its added tokens are found in texts, as the library does by default."""
     with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
+        whole = json.load(f)
+    model = whole["model"]
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256 on
     to_byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
     ids = model["vocab"]
@@ -247,8 +302,9 @@ def merge_vocabulary(path: str) -> Vocabulary:
     for rank, pair in enumerate(model["merges"]):
         left, right = pair.split(" ") if isinstance(pair, str) else pair
         pairs[ids[left], ids[right]] = (rank, ids[left + right])
-    tokens = {i: bytes(to_byte[c] for c in t) if all(c in to_byte for c in t) else t.encode() for t, i in ids.items()}
-    return Vocabulary(tokens, pairs, False)
+    added = {t["content"].encode(): t["id"] for t in whole.get("added_tokens") or []}
+    tokens = {i: bytes(to_byte[c] for c in t) for t, i in ids.items() if t.encode() not in added}
+    return Vocabulary(tokens, pairs, False, added)
 
 
 class Encoder:
@@ -259,17 +315,15 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        v = self.vocabulary
-        self.known: dict[int, int] = {}
-        self.ids = np.zeros(1 << 20, np.int32)
-        self.begin = np.zeros(1 << 16, np.int64)
-        self.count = np.zeros(1 << 16, np.int64)
-        self.n_ids = self.n = 0
-        if v.whole:
-            have = np.array(sorted(v.tokens))
-            self._learn(_text.Hasher(v.bytes).ranges(v.offs[have], v.offs[have + 1]), have, np.ones(len(have), np.int64))
-
-    def _learn(self, hashes: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        self.known: dict[bytes, int] = {}
+        self.ids = np.zeros(1 << 16, np.int32)
+        self.begin = np.zeros(1 << 14, np.int64)
+        self.count = np.zeros(1 << 14, np.int64)
+        self.n_ids = self.n = self.n_bytes = 0
+        added = self.vocabulary.added
+        self._learn(list(added), np.array(list(added.values()), np.int64), np.ones(len(added), np.int64))
+
+    def _learn(self, slices: list[bytes], ids: np.ndarray, counts: np.ndarray) -> None:
         while self.n_ids + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while self.n + len(counts) > len(self.begin):
@@ -277,28 +331,63 @@ class Encoder:
         self.ids[self.n_ids : self.n_ids + len(ids)] = ids
         self.begin[self.n : self.n + len(counts)] = self.n_ids + np.cumsum(counts) - counts
         self.count[self.n : self.n + len(counts)] = counts
-        self.known.update(zip(hashes.tolist(), range(self.n, self.n + len(counts)), strict=True))
+        self.known.update(zip(slices, range(self.n, self.n + len(counts)), strict=True))
         self.n_ids += len(ids)
         self.n += len(counts)
+        self.n_bytes += sum(map(len, slices))
+
+    def _merged(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, slices: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and counts of slices that aren't known yet."""
+        whole = np.array([self.vocabulary.whole.get(x, -1) for x in slices])
+        rest = np.flatnonzero(whole < 0)
+        ids, few = self.vocabulary.merge(data, starts[rest], ends[rest])
+        if len(rest) == len(slices):
+            return ids, few
+        counts = np.ones(len(slices), np.int64)
+        counts[rest] = few
+        out = np.repeat(whole, counts)
+        out[np.repeat(whole < 0, counts)] = ids
+        return out, counts
+
+    def _split(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """Byte positions where slices begin; an added token is a slice, and texts begin anew after it."""
+        raw = data.tobytes() if self.vocabulary.added else b""
+        if not any(t in raw for t in self.vocabulary.added):
+            return boundaries(data, offs)
+        cuts: list[tuple[int, int]] = []
+        for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
+            while True:  # the first added token from here on, the longest if several begin there
+                at, size = min(((at, -len(t)) for t in self.vocabulary.added if (at := raw.find(t, a, b)) >= 0), default=(-1, 0))
+                if at < 0:
+                    break
+                a = at - size
+                cuts.append((at, a))
+        begin, end = np.array(cuts, np.int64).reshape(-1, 2).T
+        starts = boundaries(data, np.unique(np.concatenate([offs, begin, end])))
+        inside = np.searchsorted(end, starts, "right")
+        inside = (inside < len(begin)) & (begin[np.minimum(inside, len(begin) - 1)] < starts)
+        return starts[~inside]
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, end to end, and each text's offsets among them."""
-        starts = boundaries(data, offs)
+        starts = self._split(data, offs)
         ends = np.append(starts[1:], len(data)) if len(starts) else starts
-        hashes = _text.Hasher(data).ranges(starts, ends)
-        one, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if self.n > CACHE_SLICES:
+        first, which = _text.distinct(data, starts, ends)
+        if self.n > CACHE_SLICES or self.n_bytes > CACHE_BYTES:
             self._reset()
+        raw = data.tobytes()
+        slices = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
         known = self.known
-        found = np.fromiter(map(known.get, one.tolist(), iter(lambda: -1, 0)), np.int64, len(one))
+        found = np.array([known.get(x, -1) for x in slices], np.int64)
         if len(new := np.flatnonzero(found < 0)):
-            ids, counts = self.vocabulary.merge(data, starts[first[new]], ends[first[new]])
+            own = [slices[i] for i in new.tolist()]
+            ids, counts = self._merged(data, starts[first[new]], ends[first[new]], own)
             found[new] = np.arange(self.n, self.n + len(new))
-            self._learn(one[new], ids, counts)
-        slices = found[which]
-        counts = self.count[slices]
+            self._learn(own, ids, counts)
+        spots = found[which]
+        counts = self.count[spots]
         at = np.concatenate([[0], np.cumsum(counts)])
-        ids = self.ids[np.repeat(self.begin[slices] - at[:-1], counts) + np.arange(at[-1])]
+        ids = self.ids[np.repeat(self.begin[spots] - at[:-1], counts) + np.arange(at[-1])]
         return ids, at[np.searchsorted(starts, offs)]
 
 
@@ -326,7 +415,8 @@ def decimals(vocabulary: Vocabulary, ids: np.ndarray) -> tuple[np.ndarray, np.nd
 def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, ids (array<int>) and ends (array<int>: the byte in the text at which each token ends), one row per row of docs.
 
-    Null text counts as empty: no ids. Special tokens' strings are ordinary text. Narrow, without shuffle; other columns are ignored.
+    Null text counts as empty: no ids. Strings of a tokenizer file's added tokens are these tokens, with a rank file all text is ordinary. Repeated rows
+    are each encoded; an empty table gives an empty one. Narrow, without shuffle; other columns are ignored. A text is encoded whole, in memory.
     path: the vocabulary file, which must be at the same place on every executor.
     """
 
@@ -341,7 +431,8 @@ def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
                 lists = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x.astype(np.int32))) for x in (ids, ends)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *lists], names=["doc_id", "ids", "ends"])
 
-    return _rows(docs, doc_id, text).mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, ids array<int>, ends array<int>")
+    rows = _rows(docs, doc_id, text)
+    return shared.mapped(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, ends array<int>")
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
@@ -355,15 +446,19 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
                 texts.append(None if not ids.is_valid else decode(vocabulary, np.asarray(ids.values.to_numpy(), np.int64))[0].tobytes().decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
+    return shared.mapped(encoded.select("doc_id", "ids"), run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
 
 
 def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    return shared.picked(docs, doc_id=doc_id, text=text).withColumn("text", F.col("text").cast("string"))
 
 
 def token_digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (of decimal ids joined by one space), decoded_sha256 (of the bytes decoded from the ids); null text: empty."""
+    """doc_id, n_tokens, ids_sha256 (of decimal ids joined by one space), decoded_sha256 (of the bytes decoded from the ids), one row per row of docs.
+
+    Null text counts as empty, null ids stay null, repeated rows are each encoded, an empty table gives an empty one. Other columns are ignored. Texts of about
+    1 MB together, or one longer text, are encoded at a time; a text takes some 40 bytes a byte.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
@@ -380,11 +475,12 @@ def token_digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
                     [batch.column(0).slice(i, j - i), pa.array(np.diff(at)), *map(pa.array, shas)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 )
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    return _rows(docs, doc_id, text).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    rows = _rows(docs, doc_id, text)
+    return shared.mapped(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op2_byte_bpe(spark, sf_dir: str) -> DataFrame:
+    """Digests of the ids and of the decoded bytes of every document."""
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

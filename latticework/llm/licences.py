@@ -123,7 +123,7 @@ def _words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     before[1:], after[:-1] = inside[:-1], inside[1:]
     starts = np.flatnonzero(inside & (~before | fresh[:-1]))
     ends = np.flatnonzero(inside & (~after | fresh[1:])) + 1
-    return starts, ends, _text.Hasher(data, lower=True).ranges(starts, ends), np.searchsorted(starts, offs)
+    return starts, ends, _text.hashes(_text.lowered(data), starts, ends), np.searchsorted(starts, offs)
 
 
 class Templates:

@@ -45,7 +45,7 @@ _CARRY = ["n", *_SKETCH]
 def shingle_sets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of each text's distinct shingles, end to end, and each text's offsets among them."""
     starts, ends, at = _text.words(data, offs)
-    h = _text.Hasher(data, lower=True).ranges(starts, ends)
+    h = _text.hashes(_text.lowered(data), starts, ends)
     n, count = len(h), np.diff(at)
     shingles = np.zeros(n, np.uint64)
     texts = _text.owners(at)
@@ -90,8 +90,8 @@ def _set_keys(sets: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     return keys
 
 
-def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, n_shingles, k1, k2, minwise, s0 .. s3) of each row."""
+def signatures(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, k1, k2, minwise, s0 .. s3) of each row of (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,9 +111,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                     names=["doc_id", "n_shingles", "k1", "k2", "minwise", *_SKETCH],
                 )
 
-    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, n_shingles long, k1 long, k2 long, minwise binary, s0 long, s1 long, s2 long, s3 long"
-    )
+    return shared.mapped(docs, run, "doc_id long, n_shingles long, k1 long, k2 long, minwise binary, s0 long, s1 long, s2 long, s3 long")
 
 
 def _branch(members: DataFrame, keep: list[str]) -> DataFrame:
@@ -203,22 +201,28 @@ def _compared(nodes: DataFrame, most: int, percent: int, best_only: bool) -> Dat
         for table in _groups(batches, "node"):
             yield found(table)
 
-    return nodes.select("node", "id", "comp", *_CARRY).repartition("node").sortWithinPartitions("node").mapInArrow(run, "a long, b long, node long")
+    rows = nodes.select("node", "id", "comp", *_CARRY).repartition("node").sortWithinPartitions("node")
+    return shared.mapped(rows, run, "a long, b long, node long")
 
 
-def _marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs with nd_maybe: false only where doc_id isn't in ids (distinct), mostly true where it is, and null never.
+def _marked(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """docs with nd_maybe: false only where key isn't in ids (doc_id, distinct), mostly true where it is, and null never.
 
     A table of 64-bit words, three bits an id, goes to all tasks. It has one word for four ids, but 2^20 words at most: its size is bounded, and beyond
     some millions of ids it merely lets more rows through. So an exact join with ids need only shuffle the rows that are marked.
     """
     words = min(1 << 20, max(64, 1 << (ids.count() // 4).bit_length()))
-    word = F.pmod(F.xxhash64("doc_id"), F.lit(words))
-    spots = F.xxhash64("doc_id", F.lit(1))
-    mask = F.lit(0).cast("long")
-    for k in range(3):
-        mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(spots, 6 * k).bitwiseAND(F.lit(63).cast("long")).cast("int")))
+
+    def word_and_mask(name: str) -> tuple[F.Column, F.Column]:
+        own, mask = F.col(name).cast("long"), F.lit(0).cast("long")
+        for k in range(3):
+            spot = F.shiftright(F.xxhash64(own, F.lit(1)), 6 * k).bitwiseAND(F.lit(63).cast("long")).cast("int")
+            mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), spot))
+        return F.pmod(F.xxhash64(own), F.lit(words)), mask
+
+    word, mask = word_and_mask("doc_id")
     table = ids.select(word.alias("nd_word"), mask.alias("mask")).groupBy("nd_word").agg(F.expr("bit_or(mask)").alias("nd_bits"))
+    word, mask = word_and_mask(key)
     joined = docs.withColumn("nd_word", word).join(F.broadcast(table), "nd_word", "left")
     return joined.withColumn("nd_maybe", F.coalesce(F.col("nd_bits").bitwiseAND(mask) == mask, F.lit(False))).drop("nd_word", "nd_bits")
 
@@ -256,13 +260,12 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, name: str) -> Dat
 
     ids = shared.written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), f"{name}-ids")
     texts = _texts(docs, ids, f"{name}-texts")
-    found = (
+    rows = (
         pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
         .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
         .select("a", "b", "text_a", "text_b")
-        .mapInArrow(run, "a long, b long")
     )
-    links = shared.written(found.distinct(), f"{name}-links")
+    links = shared.written(shared.mapped(rows, run, "a long, b long").distinct(), f"{name}-links")
     shared.drop(texts, ids)
     return links
 
@@ -273,7 +276,9 @@ def _confirmed_groups(members: DataFrame, docs: DataFrame, percent: int, name: s
     def forest(table: pa.Table) -> tuple[list[int], list[int]]:
         ids, comp = table.column("id").to_numpy(), table.column("comp").to_numpy()
         data, offs = _text.text_bytes(table.column("text"))
-        sets, at = shingle_sets(data, offs)
+        parts = [shingle_sets(d, o) for _, _, d, o in _text.chunks(data, offs)]
+        sets, at = np.concatenate([s for s, _ in parts]), np.concatenate([[0], np.cumsum(np.concatenate([np.diff(x) for _, x in parts]))])
+        del parts
         own, size = _text.owners(at), np.diff(at).astype(float)
         shingle, which, count = np.unique(sets, return_inverse=True, return_counts=True)
         number = np.cumsum(count > 1) - 1
@@ -317,7 +322,7 @@ def _confirmed_groups(members: DataFrame, docs: DataFrame, percent: int, name: s
     texts = _texts(docs, ids, f"{name}-texts")
     rows = members.select(F.col("a").alias("id"), F.col("b").alias("comp"), "node").join(texts.withColumnRenamed("doc_id", "id"), "id")
     rows = rows.select("node", "id", "comp", "text").repartition("node").sortWithinPartitions("node")
-    links = shared.written(rows.mapInArrow(run, "a long, b long").distinct(), f"{name}-links")
+    links = shared.written(shared.mapped(rows, run, "a long, b long").distinct(), f"{name}-links")
     shared.drop(texts, ids)
     return links
 
@@ -361,8 +366,8 @@ def near_duplicates(
     Null or wordless texts: empty set, linked with nothing, kept. Null doc_ids: the component of their equals; never kept.
     Rows of one doc_id are one node of the graph. Other columns are ignored. An empty table gives an empty one.
     """
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    signed = shared.written(signatures(docs, doc_id, text), "nd-signed")
+    rows = shared.picked(docs, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    signed = shared.written(signatures(rows), "nd-signed")
     classes = shared.written(
         signed.filter("n_shingles > 0")
         .groupBy("k1", "k2")
@@ -437,15 +442,17 @@ def near_duplicates(
 
 
 def op3_near_duplicates(spark, sf_dir: str) -> DataFrame:
+    """n_shingles, component_id and kept of every document."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component of near-duplicates the document with the smallest id, with the columns of docs.
+    """Pipeline stage: of each component of near-duplicates the document with the smallest id, with all columns of docs as they are.
 
-    Rows of one doc_id stay or go together; rows without doc_id stay.
+    Rows of one doc_id stay or go together; rows without doc_id stay, as do documents without words. An empty table gives an empty one.
     """
     gone = shared.written(near_duplicates(docs).filter("doc_id is not null and not kept").select("doc_id").distinct(), "nd-gone")
-    marked = _marked(docs, gone)
-    out = marked.filter("not nd_maybe").drop("nd_maybe").union(marked.filter("nd_maybe").drop("nd_maybe").join(gone, "doc_id", "left_anti").select(*docs.columns))
-    return out.select(*docs.columns)
+    rows, key = shared.numbered(docs), f"c{shared.position(docs, 'doc_id')}"
+    marked = _marked(rows, gone, key)
+    maybe = marked.filter("nd_maybe").join(gone, F.col(key).cast("long") == F.col("doc_id"), "left_anti")
+    return marked.filter("not nd_maybe").drop("nd_maybe").union(maybe.drop("nd_maybe")).toDF(*docs.columns)

@@ -23,6 +23,9 @@ SCHEMA = (
     "base_failed boolean, kept boolean"
 )
 
+#: Repeated substrings of so many words count; they may cover this share of a text's words, the longest may have so many words.
+MIN_WORDS, MAX_COVERED, MAX_LONGEST = 5, 0.3, 60
+
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS)] = True
 
@@ -107,7 +110,7 @@ def text_repeats(text: str | None, min_words: int = 8) -> list[tuple[int, int]]:
     starts, ends, _ = _text.words(data, offs)
     if not len(starts):
         return []
-    ids = np.unique(_text.Hasher(data).ranges(starts, ends), return_inverse=True)[1]
+    ids = _text.distinct(data, starts, ends)[1]
     last = np.full(len(ids), len(ids))
     best = neighbour_prefix(suffix_ranks(ids, last), last)
     left = np.zeros(len(best), bool)
@@ -126,7 +129,6 @@ def _longest(best: np.ndarray, offs: np.ndarray) -> np.ndarray:
 def measure(data: np.ndarray, offs: np.ndarray, min_words: int) -> dict[str, np.ndarray]:
     """Base figures and repetition figures of each text of a chunk."""
     starts, ends, at = _text.words(data, offs)
-    hashes = _text.Hasher(data)
     texts = _text.owners(at)
     out = {"n_words": np.diff(at)}
     inside = ~_text._SPACE[data] & ((data & 0xC0) != 0x80)
@@ -139,12 +141,11 @@ def measure(data: np.ndarray, offs: np.ndarray, min_words: int) -> dict[str, np.
     worded = np.searchsorted(starts, line_ends) > np.searchsorted(starts, line_starts)
     line_starts, line_ends = line_starts[worded], line_ends[worded]
     line_text = np.searchsorted(offs, line_starts, "right") - 1
-    key = _text.mix(hashes.ranges(line_starts, line_ends) + _text.mix(line_text.astype(np.uint64) + np.uint64(1)))
-    firsts = np.unique(key, return_index=True)[1]
     count = len(offs) - 1
+    firsts = np.unique(_text.distinct(data, line_starts, line_ends)[1] * count + line_text, return_index=True)[1]
     out["n_dup_lines"] = np.bincount(line_text, minlength=count) - np.bincount(line_text[firsts], minlength=count)
 
-    key = _text.mix(hashes.ranges(starts, ends) + _text.mix(texts.astype(np.uint64) + np.uint64(1)))
+    key = _text.distinct(data, starts, ends)[1] * count + texts
     last = at[1:][texts]
     best = neighbour_prefix(suffix_ranks(key, last), last)
     out["n_repeat_words"] = _text.per_text(covered(best, 8), at)
@@ -153,35 +154,42 @@ def measure(data: np.ndarray, offs: np.ndarray, min_words: int) -> dict[str, np.
     return out
 
 
+def _verdicts(column: pa.Array, min_words: int, max_covered: float, max_longest: int) -> dict[str, np.ndarray]:
+    """The columns of SCHEMA for a batch of texts."""
+    data, offs = _text.text_bytes(column)
+    parts = [measure(d, o, min_words) for _, _, d, o in _text.chunks(data, offs)]
+    got = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+    got["base_failed"] = (got["n_words"] < 20) | (100 * got["n_repeat_words"] > 30 * got["n_words"])
+    got["kept"] = ~got["base_failed"] & (got["covered_words"] <= max_covered * got["n_words"]) & (got["longest_repeat"] <= max_longest)
+    return got
+
+
 def repetition_rules(
-    docs: DataFrame, text: str = "text", min_words: int = 5, max_covered: float = 0.3, max_longest: int = 60
+    docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST
 ) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, covered_words, longest_repeat, base_failed, kept.
 
     A text fails the base rules with fewer than 20 words, or if more than 30 % of its words lie in 8-word windows found twice in it.
     It fails the method if repeated substrings of at least ``min_words`` words cover more than ``max_covered`` of its words, or the longest
     repeated substring has more than ``max_longest`` words.
-    Narrow: one pass, no shuffle. Null or empty text: no words, all figures 0, not kept. Repeated rows are each judged. Columns of docs that have
-    the name of a figure are replaced by it; other columns pass through.
-    Memory is that of one chunk of texts (about 1 MB, or one longer text) times some 200 bytes a word.
+    Narrow: one pass, no shuffle. Null or empty text: no words, all figures 0, not kept. Repeated rows are each judged. An empty table gives an empty one.
+    Columns of docs that have the name of a figure are replaced by it; other columns pass through.
+    Words and lines are compared by their bytes. Memory is that of one chunk of texts (about 1 MB, or one longer text) times some 200 bytes a word.
     """
 
     def judge(column: pa.Array) -> list[pa.Array]:
-        data, offs = _text.text_bytes(column)
-        parts = [measure(d, o, min_words) for _, _, d, o in _text.chunks(data, offs)]
-        got = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
-        got["base_failed"] = (got["n_words"] < 20) | (100 * got["n_repeat_words"] > 30 * got["n_words"])
-        got["kept"] = ~got["base_failed"] & (got["covered_words"] <= max_covered * got["n_words"]) & (got["longest_repeat"] <= max_longest)
+        got = _verdicts(column, min_words, max_covered, max_longest)
         return [pa.array(got[x.split()[0]]) for x in SCHEMA.split(", ")]
 
     return shared.annotated(docs, text, SCHEMA, judge)
 
 
 def op4_repetition_rules(spark, sf_dir: str) -> DataFrame:
+    """doc_id and the figures and verdicts of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return repetition_rules(docs).drop("text")
 
 
 def clean(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that pass the quality rules, with the columns of docs."""
-    return repetition_rules(docs).filter("kept").select(*docs.columns)
+    """Pipeline stage: the documents that pass the quality rules, with all columns of docs as they are. Null and empty texts go; repeated rows are each judged."""
+    return shared.filtered(docs, "text", lambda column: pa.array(_verdicts(column, MIN_WORDS, MAX_COVERED, MAX_LONGEST)["kept"]))

@@ -193,8 +193,7 @@ def test_packing_documents(spark):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(9000, None), (9001, "")], "doc_id long, text string"))
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(9000, None), (9001, ""), (9002, "a <|endoftext|>  b<|endoftext|>")], "doc_id long, text string"))
     documents = {r["doc_id"]: [*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 2] for r in docs.collect()}
     rows = packing.pack_documents(docs, P.path("byte_bpe_50k.json")).collect()
     bins = check_packing(rows, 1024, documents)

@@ -37,6 +37,37 @@ def brute_rules(text):
     return [*out, longest]
 
 
+def thue_morse(n, flip):
+    """Words of a and b on which hashes by powers modulo 2^64 collide, for flip 0 and 1."""
+    return "".join("ab"[(bin(i).count("1") & 1) ^ flip] for i in range(n))
+
+
+def test_distinct_runs_by_bytes(monkeypatch):
+    rng = random.Random(1)
+    words = ["".join(rng.choice("ab") for _ in range(rng.choice([1, 2, 7, 8, 9, 16, 17, 127, 128, 129, 300]))) for _ in range(500)]
+    words += [thue_morse(1024, 0), thue_morse(1024, 1), *words[:50]]
+    data, offs = chunk([" ".join(words)])
+    starts, ends, _ = _text.words(data, offs)
+    assert len(starts) == len(words)
+    for hashes in (_text.hashes, lambda d, s, e: (e - s).astype(np.uint64), lambda d, s, e: np.zeros(len(s), np.uint64)):
+        monkeypatch.setattr(_text, "hashes", hashes)
+        first, which = _text.distinct(data, starts, ends)
+        assert [words[first[k]] for k in which] == words and len(first) == len(set(words))
+    monkeypatch.undo()
+    h = _text.hashes(data, starts, ends)
+    assert len(set(h.tolist())) == len(set(words)) == len(set(zip(words, h.tolist())))
+
+
+def test_words_that_collide_modulo_powers_of_two(spark):
+    one, two = thue_morse(1024, 0), thue_morse(1024, 1)
+    got = repetition.measure(*chunk([" ".join([one, two] * 8), " ".join([one] * 16)]), 5)
+    assert [brute_rules(" ".join(x)) for x in ([one, two] * 8, [one] * 16)] == [
+        [int(got[k][i]) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "longest_repeat")] for i in (0, 1)
+    ]
+    apart = repetition.measure(*chunk([" ".join([one, *"cdefghi", two, *"cdefghi"])]), 5)
+    assert apart["n_repeat_words"][0] == 0
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet="ab \n\t#é ", max_size=60), min_size=1, max_size=6))
 def test_repetition(texts):
@@ -67,15 +98,14 @@ def tokenizers():
     assert P.PATTERN == bpe.PATTERN
     there = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     other = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    other.encode_special_tokens = True
     return P, there, other
 
 
 def test_bpe_same_as_libraries(spark, tokenizers):
     P, there, other = tokenizers
     rng = random.Random(5)
-    parts = ["'s", "'re", "'", "t", "ll", " ", "  ", "\n", "\t", "ab", "12", "!?", "é", "中文", " ", "　", "😀", "\r\n", "<|endoftext|>", "'LL", "x" * 90]
-    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(3000)] + ["", " ", "\n\n"]
+    parts = ["'s", "'re", "'", "t", "ll", " ", "  ", "\n", "\t", "ab", "12", "!?", "é", "中文", " ", "　", "😀", "\r\n", "<|endoftext|>", "'LL", "x" * 90, "x" * 300, "\u00e9" * 200]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(3000)] + ["", " ", "\n\n", thue_morse(1024, 0), thue_morse(1024, 1), "<|endoftext|>", "  <|endoftext|>  a"]
     texts += [r["text"] or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").select("text").collect()]
     for name, library in (("byte_bpe_50k.tiktoken", there.encode_ordinary), ("byte_bpe_50k.json", lambda t: other.encode(t, add_special_tokens=False).ids)):
         coder = bpe.encoder(P.path(name))
@@ -88,6 +118,16 @@ def test_bpe_same_as_libraries(spark, tokenizers):
     assert all(ids[at[i] : at[i + 1]].tolist() == there.encode_ordinary(t) for i, t in enumerate(sweep))
 
 
+def test_bpe_long_texts(tokenizers):
+    P, there, other = tokenizers
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("ACGT") for _ in range(300_000)), "a" * 70_000, " ".join("".join(rng.choice("abcde") for _ in range(6)) for _ in range(400_000)), "b"]
+    assert len(texts[2]) > 2 * _text.CHUNK_BYTES
+    for name, library in (("byte_bpe_50k.tiktoken", there.encode_ordinary), ("byte_bpe_50k.json", lambda t: other.encode(t, add_special_tokens=False).ids)):
+        ids, at = bpe.encoder(P.path(name)).encode(*chunk(texts))
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [library(t) for t in texts]
+
+
 def test_bpe_round_trip_and_digests(spark, tokenizers):
     P, there, _ = tokenizers
     path = P.path("byte_bpe_50k.tiktoken")
@@ -153,7 +193,7 @@ def test_language_sets_are_ended_by_the_penalty_alone(spark):
     model = langid.learn(spark.createDataFrame([(text(x, 3000), x) for x in letters], "text string, lang string"))
     texts = [" ".join(text(x, 200) for x in "abcde"), text("a", 20000) + " " + text("b", 300), text("c", 500)]
     data = "".join(texts).encode()
-    weights, _ = langid.mixtures(np.frombuffer(data, np.uint8), np.cumsum([0, *(len(x.encode()) for x in texts)]), model)
+    weights = langid.mixtures(np.frombuffer(data, np.uint8), np.cumsum([0, *(len(x.encode()) for x in texts)]), model).shares
     sets = [{x for x, w in zip(model.languages, row, strict=True) if w > 0} for row in weights.tolist()]
     assert sets == [set("abcde"), set("ab"), set("c")]
     assert abs(weights[0][:5] - 0.2).max() < 0.02 and 0.005 < weights[1][1] < 0.02
@@ -192,6 +232,60 @@ def test_language_mixtures(spark):
     empty = langid.learn(docs.limit(0))
     assert {r["lang_pred"] for r in langid.identify(odd, empty).collect()} == {"und"}
     like, at = np.array([[0.9, 0.1], [0.1, 0.9]]), np.array([0])
-    weights, _ = langid._fit(like, np.array([3.0, 1.0]), np.zeros(2, int), at, np.array([[0.5, 0.5]]), 200)
+    weights, _, _ = langid._fit(like, np.array([3.0, 1.0]), at, np.array([[0.5, 0.5]]))
     best = max(np.linspace(0.001, 0.999, 999), key=lambda p: 3 * np.log(0.9 * p + 0.1 * (1 - p)) + np.log(0.1 * p + 0.9 * (1 - p)))
     assert abs(weights[0, 0] - best) < 0.01
+
+
+def test_language_sets_against_all_subsets():
+    """Every subset of languages, each fitted for long: the chosen set's penalised likelihood is the best of all, and the score follows from it."""
+    rng = np.random.default_rng(11)
+    names, buckets = list("abcd"), 40
+    likelihoods = np.zeros((langid.BUCKETS, 4))
+    base = rng.dirichlet(np.ones(buckets))
+    for k in range(4):
+        likelihoods[:buckets, k] = 0.5 * base + 0.5 * rng.dirichlet(np.full(buckets, 0.3))
+    likelihoods = np.maximum(likelihoods, 1e-9)
+    sizes = set()
+    for case in range(30):
+        shares = rng.dirichlet(np.full(4, 0.4))
+        drawn = rng.choice(buckets, int(rng.integers(5, 1500)), p=(likelihoods[:buckets] @ shares) / (likelihoods[:buckets] @ shares).sum())
+        got = mixture_of(drawn, langid.Model(names, likelihoods))
+        count = np.bincount(drawn, minlength=buckets).astype(float)
+        n, best = len(drawn), {}
+        for mask in range(1, 16):
+            own = [k for k in range(4) if mask >> k & 1]
+            weights = np.full(len(own), 1 / len(own))
+            for _ in range(1000):
+                weights = weights * ((likelihoods[:buckets, own] / (likelihoods[:buckets, own] @ weights)[:, None]) * count[:, None]).sum(axis=0) / n
+            best[mask] = (count * np.log(likelihoods[:buckets, own] @ weights)).sum() - len(own) * langid.PENALTY * np.log(n + 1), own, weights
+        top = max(v[0] for v in best.values())
+        chosen = sum(1 << k for k in range(4) if got.shares[0][k] > 0)
+        assert best[chosen][0] >= top - 0.3, case
+        assert np.abs(got.shares[0][best[chosen][1]] - best[chosen][2]).max() < 0.05
+        lead = int(np.argmax(got.shares[0]))
+        other = max(best[1 << k][0] for k in range(4) if k != lead)
+        assert abs(got.confidence[0] - 1 / (1 + np.exp(-max(0, best[chosen][0] - other) / n * min(n, langid.EVIDENCE)))) < 0.02
+        sizes.add(bin(chosen).count("1"))
+    assert sizes >= {1, 2, 3}
+
+
+def mixture_of(drawn, model):
+    """langid.mixtures of one text with the given buckets."""
+    real = langid.trigrams
+    langid.trigrams = lambda data, offs: (drawn, np.zeros(len(drawn), np.int64), np.ones(1, bool))
+    try:
+        return langid.mixtures(np.zeros(1, np.uint8), np.array([0, 1]), model)
+    finally:
+        langid.trigrams = real
+
+
+def test_language_edges(spark):
+    docs = spark.createDataFrame([(1, "hello there my friend", "en", 5, "x"), (None, "guten tag mein freund", "de", 6, "y"), (3, None, None, None, None), (3, "", "en", 1, "z")], "doc_id long, text string, lang string, score int, `a.b` string")
+    model = langid.learn(docs, most=1)
+    assert model.languages == ["en"] or model.languages == ["de"]
+    out = langid.identify(docs, langid.learn(docs))
+    assert out.columns[:4] == ["doc_id", "text", "lang", "a.b"] and out.count() == 4 and langid.identify(docs.limit(0), model).count() == 0
+    kept = langid.one_language(spark, docs, "")
+    assert kept.columns == docs.columns and sorted((r["text"], r["score"], r["a.b"]) for r in kept.collect()) == [("guten tag mein freund", 6, "y"), ("hello there my friend", 5, "x")]
+    assert langid.one_language(spark, docs.limit(0), "").columns == docs.columns
