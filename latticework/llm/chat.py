@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: One turn as text; {role} and {text} are filled in.
 OPEN, CLOSE = ("<|", "|>\n"), "\n"
@@ -20,7 +20,8 @@ def preference_pairs(chosen: DataFrame, rejected: DataFrame, learn: str = "assis
     numbered; the common prefix is the longest run of numbers at which role and text agree in both (null equals null, the turn column doesn't count).
     It is rendered once, as prompt; chosen and rejected are what follows, and their masks give for each of its turns [characters, 1 or 0]: 1 where
     the turn is ``learn``'s and so counts in the loss. A conversation that is a prefix of the other leaves an empty completion with an empty mask;
-    a pair with only one side has all its turns as completion, and an empty other side. Rows without pair_id are left out. Repeated turns are turns.
+    a pair with only one side has all its turns as completion, and an empty other side. Rows without pair_id are left out. Repeated turns are turns. Empty
+    tables give no pairs; other columns are ignored.
     Each pair is one row of two arrays, no larger than its two conversations; pairs, not conversations, are spread over tasks.
     """
     turn = F.struct(F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
@@ -53,18 +54,45 @@ def preference_pairs(chosen: DataFrame, rejected: DataFrame, learn: str = "assis
     )
 
 
+def swapped_answers(turns: DataFrame, learn: str = "assistant") -> DataFrame:
+    """Rejected sides made from conversations: (pair_id, turn, role, text) of every conversation's turns before its last answer, then another's last answer.
+
+    turns: (conv_id, turn, role, text). The last answer is ``learn``'s turn with the largest number, of equals the largest text (null is smallest). The other
+    conversation is the one whose id differs in the last bit; where it has no answer, or isn't there, the rejected side ends before the answer. Conversations
+    without an answer are whole. Turns without number come first. Rows without conv_id are left out; repeated turns are turns.
+    """
+    own = Window.partitionBy("conv_id")
+    rows = turns.filter("conv_id is not null").select(
+        F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")
+    )
+    answer = F.struct("turn", "text")
+    rows = rows.withColumns({"answer": answer, "last": F.max(F.when(F.col("role") == learn, answer)).over(own)})
+    before = rows.filter(F.col("last").isNull() | F.coalesce(F.col("turn") < F.col("last.turn"), F.col("turn").isNull()))
+    lasts = rows.filter((F.col("role") == learn) & F.col("answer").eqNullSafe(F.col("last"))).groupBy("conv_id").agg(F.first("last").alias("last"))
+    other = lasts.select(F.col("conv_id").bitwiseXOR(F.lit(1).cast("long")).alias("conv_id"), F.col("last.text").alias("text"))
+    swapped = lasts.join(other, "conv_id").select("conv_id", "last.turn", F.lit(learn).alias("role"), "text")
+    return before.select("conv_id", "turn", "role", "text").union(swapped).withColumnRenamed("conv_id", "pair_id")
+
+
 def op7_preference_format(spark, sf_dir: str) -> DataFrame:
-    """Conversations 2k (chosen) and 2k + 1 (rejected) are pair k. Masks as text: characters:flag of each turn, joined by spaces."""
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("pair_id", F.floor(F.col("conv_id") / 2))
-    even = F.pmod("conv_id", F.lit(2)) == 0
-    pairs = preference_pairs(turns.filter(even), turns.filter(~even))
+    """Each conversation is a pair: its turns are chosen, rejected are those with another conversation's last answer.
+
+    Masks as text: characters:flag of each turn, joined by spaces.
+    """
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    pairs = preference_pairs(turns.withColumnRenamed("conv_id", "pair_id"), swapped_answers(turns))
     flat = lambda k: F.array_join(F.transform(k, lambda m: F.concat_ws(":", m[0].cast("string"), m[1].cast("string"))), " ").alias(k)
     return pairs.select("pair_id", "n_common", "prompt", "chosen", "rejected", flat("chosen_mask"), flat("rejected_mask"))
 
 
 OP7_SQL = """
-WITH t AS (SELECT CAST(floor(conv_id / 2) AS BIGINT) AS pair_id, conv_id % 2 AS side, role, text, '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || chr(10) AS shown,
-       row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS n FROM conversations WHERE conv_id IS NOT NULL),
+WITH w AS (SELECT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+ a AS (SELECT conv_id, turn, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC NULLS LAST, text DESC NULLS LAST) AS k FROM w WHERE role = 'assistant') WHERE k = 1),
+ s AS (SELECT conv_id AS pair_id, 0 AS side, turn, role, text FROM w
+   UNION ALL SELECT w.conv_id, 1, w.turn, w.role, w.text FROM w LEFT JOIN a ON w.conv_id = a.conv_id WHERE a.conv_id IS NULL OR coalesce(w.turn < a.turn, w.turn IS NULL)
+   UNION ALL SELECT a.conv_id, 1, a.turn, 'assistant', b.text FROM a JOIN a b ON b.conv_id = xor(a.conv_id, 1)),
+ t AS (SELECT pair_id, side, role, text, '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || chr(10) AS shown,
+       row_number() OVER (PARTITION BY pair_id, side ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS n FROM s),
  same AS (SELECT coalesce(c.pair_id, r.pair_id) AS pair_id, coalesce(c.n, r.n) AS n,
        c.n IS NOT NULL AND r.n IS NOT NULL AND c.role IS NOT DISTINCT FROM r.role AND c.text IS NOT DISTINCT FROM r.text AS same
      FROM (SELECT * FROM t WHERE side = 0) c FULL JOIN (SELECT * FROM t WHERE side = 1) r ON c.pair_id = r.pair_id AND c.n = r.n),
