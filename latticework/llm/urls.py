@@ -7,6 +7,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from . import shared
+
 #: (host, path, verdict). A rule fits its host and all subdomains, if the URL's path starts with the rule's; the longest wins.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
@@ -17,6 +19,8 @@ BITS_PER_URL = 12
 WORDS = 8  # of 32 bits in a block; a URL sets one bit in each
 #: A filter of up to so many bytes is broadcast; a larger one is joined by its block number.
 BROADCAST_BYTES = 8 << 20
+#: A list of up to so many URLs is broadcast for the exact join too.
+SMALL_LIST = 50_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -72,17 +76,19 @@ def url_verdicts(pages: DataFrame, listed: DataFrame, url: str = "url", page_id:
 
     The verdict is that of the longest fitting rule; else block if the canonical URL is one of ``listed`` (a column canonical_url), else allow.
     A blocked Bloom filter of the list (12 bits a URL; a URL sets one bit in each of the eight words of one block) lets through all listed URLs and few others; only these
-    meet the list in an exact join. Null or unparsable URLs: empty host and path, no rule, allow. Repeated rows are each judged; nulls and repeats
-    in the list count once; an empty list lists nothing. Other columns are ignored.
+    meet the list in an exact join. A list of up to SMALL_LIST URLs goes to all tasks, so that pages are read once and not shuffled; of a longer one only the rows that the
+    filter lets through are shuffled, and a URL that very many pages have is split by Spark's skew join.
+    Null or unparsable URLs: empty host and path, no rule, allow. Repeated rows are each judged; nulls and repeats in the list count once; an empty
+    list lists nothing, an empty table of pages gives an empty one. Other columns are ignored. The list is written to the shared folder.
     """
-    known = listed.select(F.col("canonical_url").cast("string").alias("canonical_url")).filter("canonical_url is not null").distinct()
+    known = shared.written(listed.select(F.col("canonical_url").cast("string").alias("canonical_url")).filter("canonical_url is not null").distinct(), "url-list")
     count = known.count()
     blocks = max(1, -(-count * BITS_PER_URL // (32 * WORDS)))
     bloom = build_filter(known, "canonical_url", blocks)
     if blocks * 8 * (WORDS + 1) <= BROADCAST_BYTES:
         bloom = F.broadcast(bloom)
+    rows = shared.picked(pages, page_id=page_id, url=url).withColumn("url", F.col("url").cast("string"))
     u = F.col("url")
-    rows = pages.select(F.col(f"`{page_id}`").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"))
     rows = rows.select("page_id", host(u).alias("host"), path(u).alias("path"), canonical(u).alias("canonical_url"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "ruled": verdict})
@@ -92,9 +98,12 @@ def url_verdicts(pages: DataFrame, listed: DataFrame, url: str = "url", page_id:
     hit = reduce(lambda a, b: a & b, [F.col(f"w{i}").bitwiseAND(m) != 0 for i, m in enumerate(_masks(F.col("bits")))])
     probed = rows.join(bloom, "block", "left").withColumn("maybe", c.isNotNull() & F.coalesce(hit, F.lit(False)))
     columns = ["page_id", "host", "path", "rule", "ruled", "canonical_url"]
-    out = probed.filter("not maybe").select(*columns, F.lit(False).alias("listed"))
-    hits = probed.filter("maybe").select(*columns).join(known.withColumn("found", F.lit(True)), "canonical_url", "left")
-    out = out.union(hits.select(*columns, F.coalesce("found", F.lit(False)).alias("listed")))
+    exact = known.select(F.col("canonical_url").alias("found"))
+    if count <= SMALL_LIST:
+        met = probed.join(F.broadcast(exact), F.when(F.col("maybe"), c) == F.col("found"), "left")
+    else:
+        met = probed.filter("maybe").join(exact, c == F.col("found"), "left").unionByName(probed.filter("not maybe").withColumn("found", F.lit(None).cast("string")))
+    out = met.select(*columns, F.col("found").isNotNull().alias("listed"))
     return out.select(
         "page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "canonical_url", "listed"
     )
@@ -102,11 +111,13 @@ def url_verdicts(pages: DataFrame, listed: DataFrame, url: str = "url", page_id:
 
 def listed_urls(pages: DataFrame, url: str = "url", label: str = LISTED_LABEL) -> DataFrame:
     """canonical_url of every page whose host has the label, behind www., m. or any other subdomain too. May be empty."""
-    u = F.col(f"`{url}`").cast("string")
-    return pages.filter(host(u).rlike(rf"(^|[.@]){re.escape(label)}([.:]|$)")).select(canonical(u).alias("canonical_url"))
+    u = F.col("url")
+    rows = shared.picked(pages, url=url).select(u.cast("string"))
+    return rows.filter(host(u).rlike(rf"(^|[.@]){re.escape(label)}([.:]|$)")).select(canonical(u).alias("canonical_url"))
 
 
 def op6_url_filters(spark, sf_dir: str) -> DataFrame:
+    """Verdicts on all pages; listed are the URLs of pages on hosts with LISTED_LABEL."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     return url_verdicts(pages, listed_urls(pages))
 
@@ -123,7 +134,7 @@ _SQL_PARTS = r"""
 
 OP6_SQL = f"""
 WITH {_SQL_PARTS.strip()},
- l AS (SELECT DISTINCT canonical_url FROM c WHERE starts_with(host, '{LISTED_LABEL}.') AND canonical_url IS NOT NULL),
+ l AS (SELECT DISTINCT canonical_url FROM c WHERE regexp_matches(host, '(^|[.@]){LISTED_LABEL}([.:]|$)') AND canonical_url IS NOT NULL),
  r(h, q, v) AS (VALUES {", ".join(str(x) for x in RULES)}),
  best AS (SELECT page_id, host, path, arg_max(h || q, length(h) + length(q)) AS rule, arg_max(v, length(h) + length(q)) AS v
       FROM c JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY ALL)
