@@ -25,6 +25,8 @@ DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payloads of at least so many bytes are written once.
 REVISIT_BYTES = 1000
+#: Repeated digests that are handed to all tasks: 60 bytes each.
+SMALL_DIGESTS = 50_000
 FILE_BYTES = 256 << 20
 SPLIT_BYTES = 16 << 20
 _MORE = 1 << 18
@@ -36,22 +38,34 @@ RECORD_SCHEMA = (
 
 
 def deduplicated(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = REVISIT_BYTES) -> DataFrame:
-    """(page_id, url, payload, digest, refers_to): of rows with equal payloads of at least ``least`` bytes, those without the largest page_id refer to it."""
-    rows = pages.select(
-        F.col(f"`{page_id}`").cast("long").alias("page_id"),
-        F.col(f"`{url}`").cast("string").alias("url"),
-        F.coalesce(F.encode(F.col(f"`{html}`").cast("string"), "UTF-8"), F.lit(b"")).alias("payload"),
-    ).withColumn("digest", F.sha1("payload"))
-    seen = (
-        rows.filter(F.length("payload") >= least)
-        .groupBy("digest")
-        .agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-        .filter("n > 1")
-        .select("digest", "first")
+    """(page_id, url, payload, digest, refers_to): of rows with equal payloads of at least ``least`` bytes, those without the largest page_id refer to it.
+
+    Digests are counted without payloads, per task first. Up to ``SMALL_DIGESTS`` repeated digests go to all tasks; of more, a table of their bits does, and only the rows
+    that it lets through are joined by digest, whose hot keys Spark splits. Other payloads, small ones above all, are never shuffled.
+    """
+    rows = shared.picked(pages, page_id=page_id, url=url, html=html).select(
+        F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.encode(F.col("html").cast("string"), "UTF-8"), F.lit(b"")).alias("payload")
     )
-    joined = rows.join(seen, "digest", "left")
-    other = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return joined.select("page_id", "url", "payload", "digest", F.when(other, F.col("first")).alias("refers_to"))
+    rows = rows.withColumn("digest", F.sha1("payload"))
+    seen = rows.filter(F.length("payload") >= least).groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    seen = shared.written(seen.filter("n > 1").select("digest", "first"), "warc-digests")
+    count = seen.count()
+
+    def referred(joined: DataFrame) -> DataFrame:
+        other = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")) & (F.length("payload") >= least)
+        return joined.select("page_id", "url", "payload", "digest", F.when(other, F.col("first")).alias("refers_to"))
+
+    if count <= SMALL_DIGESTS:
+        return referred(rows.join(F.broadcast(seen), "digest", "left"))
+    bits = 1 << min(26, (16 * count).bit_length())  # 8 MB at most
+    spot = F.pmod(F.xxhash64("digest"), F.lit(bits))
+    words = seen.groupBy(F.floor(spot / 64).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (spot % 64).cast("int"))).alias("bits"))
+    marked = rows.withColumn("word", F.floor(spot / 64)).join(F.broadcast(words), "word", "left")
+    maybe = (F.length("payload") >= least) & (F.coalesce(F.getbit("bits", (spot % 64).cast("int")), F.lit(0)) == 1)
+    marked = marked.withColumn("maybe", maybe).drop("word", "bits")
+    alone = marked.filter("not maybe").withColumn("first", F.lit(None).cast("long"))
+    twice = marked.filter("maybe").join(seen, "digest", "left")
+    return referred(alone.unionByName(twice))
 
 
 def _name(page_id: int | None) -> str:
@@ -99,12 +113,12 @@ def write_archives(rows: DataFrame, folder: str, level: int = 1, file_bytes: int
             out.close()
             yield pa.RecordBatch.from_pydict({"file": [f"{folder}/{name}"], "bytes": [size], "records": [count]})
 
-    made = rows.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(run, "file string, bytes long, records long")
-    return shared.written(made, "warc-manifest")
+    made = rows.select("page_id", "url", "payload", "digest", "refers_to")
+    return shared.written(shared.mapped(made, run, "file string, bytes long, records long"), "warc-manifest")
 
 
 class _Window:
-    """Bytes of a file from an offset on, read as needed; what lies before ``forget`` is dropped."""
+    """Bytes of a file from an offset on, read as needed: those of one range and of the record that goes on after it."""
 
     def __init__(self, stream, size: int, start: int, end: int):
         self.stream, self.size, self.base = stream, size, start
@@ -204,7 +218,7 @@ def read_archives(manifest: DataFrame, payloads: bool = True, split_bytes: int =
                 if rows:
                     yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema)
 
-    return ranges.mapInArrow(run, RECORD_SCHEMA)
+    return shared.mapped(ranges, run, RECORD_SCHEMA)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
@@ -218,6 +232,7 @@ def round_trip(spark: SparkSession, pages: DataFrame, split_bytes: int = SPLIT_B
 
 
 def op9_warc(spark, sf_dir: str) -> DataFrame:
+    """The round trip of all pages through archives."""
     return round_trip(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
