@@ -72,7 +72,7 @@ You should have received a copy of the GNU General Public License along with thi
     "CC-BY-NC-4.0 notice 2": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
 }
 
-# Further notices and short texts. Whole licence texts are in licence_texts, by identifier. OP5_SQL knows TEMPLATES only.
+# Further notices and short texts. Whole licence texts are in licence_texts, by identifier.
 _OR_LATER = """; either version {0} of the License, or (at your option) any later version.
 
 This {1} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {2}General Public License for more details."""
@@ -266,14 +266,23 @@ _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'
 _PAIRS = "list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))])"
 _SPLIT = "regexp_extract_all({}, '(?:[a-z0-9]|[^\\x00-\\x7F])+')"
 
+# Units first; templates that no unit of a text matches are compared with every window of it that begins and ends with one of their bigrams.
 OP5_SQL = f"""
 WITH t AS (SELECT name, {_PAIRS} AS b FROM (SELECT name, {_SPLIT.format(_LOW.format("body"))} AS w
-       FROM (VALUES {", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in sorted(TEMPLATES.items()))}) v(name, body))),
+       FROM (VALUES {", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in sorted(every_template().items()))}) v(name, body))),
  u AS (SELECT DISTINCT doc_id, unnest(list_concat([x], string_split(x, chr(10)), regexp_split_to_array(x, '\\n(?:[\\x00-\\x09\\x0B-/:-@\\[-`{{-\\x7F]*\\n)+'))) AS unit
        FROM (SELECT doc_id, coalesce(text, '') AS x FROM documents)),
  p AS (SELECT doc_id, {_PAIRS} AS b FROM (SELECT doc_id, {_SPLIT.format(_LOW.format("unit"))} AS w FROM u) WHERE len(w) > 1),
  m AS (SELECT doc_id, name, max(dice) AS dice FROM (SELECT doc_id, name, 2.0e0 * len(list_intersect(p.b, t.b)) / (len(p.b) + len(t.b)) AS dice FROM p, t
        WHERE least(len(p.b), len(t.b)) * (2 - {THRESHOLD}e0) >= {THRESHOLD}e0 * greatest(len(p.b), len(t.b)) - 1e-9) WHERE dice >= {THRESHOLD}e0 GROUP BY doc_id, name),
- g AS (SELECT doc_id, count(*) AS n, string_agg(name, ';' ORDER BY name) AS names, max(dice) AS dice FROM m GROUP BY doc_id)
+ x AS (SELECT doc_id, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))] AS g FROM (SELECT doc_id, {_SPLIT.format(_LOW.format("coalesce(text, '')"))} AS w FROM documents) WHERE len(w) > 1),
+ e AS (SELECT doc_id, unnest(g) AS pair, unnest(range(1, len(g) + 1)) AS pos FROM x),
+ h AS (SELECT doc_id, name, pos, pair FROM e JOIN (SELECT name, unnest(b) AS pair FROM t) USING (pair)),
+ c AS (SELECT doc_id, name FROM h JOIN t USING (name) GROUP BY doc_id, name HAVING count(DISTINCT pair) >= any_value(len(b)) * {THRESHOLD}e0 / (2 - {THRESHOLD}e0) - 1e-9),
+ k AS (SELECT doc_id, name FROM c ANTI JOIN m USING (doc_id, name)),
+ s AS (SELECT i.doc_id, i.name, list_distinct(list_slice(x.g, i.pos, j.pos)) AS v, t.b FROM k JOIN h i ON i.doc_id = k.doc_id AND i.name = k.name
+       JOIN h j ON j.doc_id = i.doc_id AND j.name = i.name AND j.pos >= i.pos JOIN x ON x.doc_id = i.doc_id JOIN t ON t.name = i.name),
+ n AS (SELECT doc_id, name, max(dice) AS dice FROM (SELECT doc_id, name, 2.0e0 * len(list_intersect(v, b)) / (len(v) + len(b)) AS dice FROM s) WHERE dice >= {THRESHOLD}e0 GROUP BY doc_id, name),
+ g AS (SELECT doc_id, count(*) AS n, string_agg(name, ';' ORDER BY name) AS names, max(dice) AS dice FROM (SELECT * FROM m UNION ALL SELECT * FROM n) GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n, 0) AS n_licences, coalesce(names, '') AS licences, round(coalesce(dice, 0.0e0), 6) AS best_dice FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id
 """
