@@ -5,7 +5,8 @@ Documents are sets of five-word shingles. Equal sets are one class, joined by on
 * Every representative gets 128 minwise values and from them a sketch of two bits each.
 * A tree starts with all representatives at its root. A node chooses two of the 128 positions, by a hash of its path, and sends each member to the
   child named by its minwise value there. A pair of similarity s meets in a child with probability s per position, so at s = 0.75 a tree of any depth
-  loses the pair with probability 1/9 at most (the smaller root of q = (1/4 + 3q/4)^2), and six independent trees lose it with less than 2e-6.
+  loses the pair with probability 1/9 at most (the smaller root of q = (1/4 + 3q/4)^2), and six independent trees lose it with less than 2e-6. The trees choose
+  from the same 128 functions, so they are independent only nearly; recall is measured against brute force.
 * First every member of a first-level node is compared with the node's pivot, its smallest id. Confirmed links join most copies to one component at once.
 * Then only nodes that still hold two components matter. ``nearest`` times every member of a first-level node is compared with the most similar member of
   another component in its block of the node, which joins what is left of large groups of copies.
@@ -364,7 +365,8 @@ def near_duplicates(
     Words are lower-cased (A-Z) runs of other than space and \\t..\\r; a set holds the distinct five-word shingles, with fewer words the whole sequence.
     Documents with 100 * intersection >= percent * union are linked; component_id is the smallest doc_id reachable; kept: doc_id = component_id.
     Null or wordless texts: empty set, linked with nothing, kept. Null doc_ids: the component of their equals; never kept.
-    Rows of one doc_id are one node of the graph. Other columns are ignored. An empty table gives an empty one.
+    Rows of one doc_id are one node of the graph. Other columns are ignored. An empty table gives an empty one. A text is taken whole, in memory.
+    Keys that very many rows share (copies of one text, a node, a component) are joined with written tables only, so that Spark's skew join splits them.
     """
     rows = shared.picked(docs, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     signed = shared.written(signatures(rows), "nd-signed")
@@ -383,6 +385,7 @@ def near_duplicates(
         .agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("pivot"), *(F.min_by(s, "id").alias(f"p{s}") for s in _CARRY))
         .filter("size > 1")
     )
+    pivots = shared.written(pivots, "nd-pivots")  # a table, so that Spark can split the nodes with very many members in the join
     shared_nodes = shared.written(members.join(pivots, "node"), "nd-nodes")
     stars = (
         shared_nodes.filter((F.col("id") != F.col("pivot")) & _alike("n", "pn", percent) & (_disagree(_SKETCH, [f"p{s}" for s in _SKETCH]) <= most))
@@ -403,11 +406,14 @@ def near_duplicates(
     def mixed(nodes: DataFrame) -> DataFrame:
         """Rows of nodes that hold two components, with the node's size."""
         counts = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-        return nodes.join(counts.select("node", "size"), "node")
+        counts = shared.written(counts.select("node", "size"), "nd-mixed")
+        small.append(counts)
+        return nodes.join(counts, "node")
 
     def labelled(nodes: DataFrame) -> DataFrame:
         return nodes.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
+    small: list[DataFrame] = []
     first_level = shared_nodes.select("node", "id", *_CARRY)
     for turn in range(nearest):
         near = shared.written(_compared(in_blocks(mixed(labelled(first_level)), block, False), most, percent, True).select("a", "b").distinct(), f"nd-near{turn}")
@@ -430,7 +436,7 @@ def near_duplicates(
     links = links.union(confirmed(found.filter("node is null").select("a", "b").distinct(), rows, percent, "nd-pairs"))
     links = links.union(_confirmed_groups(found.filter("node is not null"), rows, percent, "nd-groups"))
     labels = components(links, "nd-all")
-    shared.drop(shared_nodes, stars, links, found, *levels)
+    shared.drop(shared_nodes, pivots, stars, links, found, *levels, *small)
 
     named = shared.written(
         classes.select("k1", "k2", "id").join(labels, "id", "left").select("k1", "k2", F.coalesce("comp", "id").alias("component_id")), "nd-components"
