@@ -153,17 +153,53 @@ def test_search_is_exact(spark, monkeypatch):
     assert bm25.search(empty, terms).count() == 0 and bm25.search(index, terms.limit(0)).count() == 0
 
 
+def test_search_in_tasks_of_several_shards(spark, monkeypatch):
+    """Small shards, several in a task, thresholds from a shard searched beforehand, few queries at a time; a long text alone in its shard."""
+    for name, value in (("SHARD_DOCS", 20), ("SHARD_WORDS", 2000), ("SEED_SHARDS", 1), ("WORK", 500), ("BLOCK_QUERIES", 7), ("FIRST_PIVOTS", 1)):
+        monkeypatch.setattr(bm25, name, value)
+    rng = random.Random(12)
+    vocabulary = [f"w{int(rng.paretovariate(0.6))}" for _ in range(3000)]
+    rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 80)))) for i in range(400)]
+    rows += [(400, " ".join(rng.choice(vocabulary) for _ in range(200_000))), (401, rows[3][1]), (401, rows[3][1])]
+    asked = [(q, rows[q][1]) for q in range(0, 400, 25)] + [(400, rows[400][1]), (402, "w1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    index = shared.written(bm25.build_index(docs), "test-index")
+    assert index.count() > 16
+    got = collections.defaultdict(list)
+    for r in bm25.search(index, bm25.query_terms(spark.createDataFrame(asked, "query_id long, text string")), 5).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["doc_id"], round(r["score"] * 1e6)))
+    assert dict(got) == {q: v for q, v in brute_search(rows, asked, 5).items() if v}
+
+
 def test_search_skips_blocks():
     import numpy as np
 
     rng = np.random.default_rng(1)
     words = np.concatenate([rng.integers(0, 50, 40 * 512), rng.integers(1000, 1050, 40 * 512)]).astype(np.uint64)
     shard = bm25.build_shard(np.arange(1024), words, np.arange(0, 40 * 1024 + 1, 40))
-    q = bm25.Queries(np.zeros(20, int), np.arange(20), np.ones(20))
-    q.idf[:] = 1.0
-    searcher = bm25.Searcher(q, 5, 40.0)
-    searcher.add(*(np.asarray(shard[k]).astype(kind) for k, kind in zip(bm25._PARTS, bm25._KINDS)))
-    assert searcher.skipped > 0 and searcher.docs[0].max() < 512
+    shard = {k: np.asarray(shard[k]).astype(kind) for k, kind in bm25._KINDS.items()}
+    searcher = bm25.Searcher(bm25.Queries(np.zeros(20, int), np.arange(20), np.ones(20), np.ones(20)), 5, 40.0, count=True)
+    searcher.add(shard)
+    assert searcher.skipped >= searcher.blocks // 2 and searcher.docs[0].max() < 512 and 0 < searcher.decoded <= searcher.postings
+    # short queries of rare and common words: few postings are decoded, and a threshold from elsewhere spares more
+    many = rng.zipf(1.3, 60 * 2048).astype(np.uint64) % np.uint64(5000)
+    shard = bm25.build_shard(np.arange(2048), many, np.arange(0, 60 * 2048 + 1, 60))
+    shard = {k: np.asarray(shard[k]).astype(kind) for k, kind in bm25._KINDS.items()}
+    df = dict(zip(shard["terms"].tolist(), shard["counts"].tolist(), strict=True))
+    query, term = np.repeat(np.arange(50), 4), np.concatenate([rng.choice(shard["terms"], 4, replace=False, p=shard["counts"] / shard["counts"].sum()) for _ in range(50)])
+    idf = np.array([math.log(1 + (2048 - df[t] + 0.5) / (df[t] + 0.5)) for t in term.tolist()])
+    shares, best = [], None
+    for floors in (False, True):
+        queries = bm25.Queries(query, term.view(np.int64), np.ones(200), idf)
+        if floors:
+            queries.floor = best.scores[:, -1].copy()
+        searcher = bm25.Searcher(queries, 3, 60.0, count=True)
+        searcher.add(shard)
+        assert best is None or (np.array_equal(best.scores, searcher.scores) and np.array_equal(best.docs, searcher.docs))
+        best = searcher
+        shares.append(searcher.decoded / searcher.postings)
+    print("share of postings decoded:", shares)
+    assert shares[1] <= shares[0] < 0.5
 
 
 def check_packing(rows, capacity, documents):
@@ -297,6 +333,35 @@ def test_listed_urls_behind_subdomains(spark, tmp_path):
     assert {k for k, r in got.items() if r["verdict"] == "block"} == {0, 1, 2, 3, 9}
 
 
+def test_urls_with_a_long_list(spark, monkeypatch):
+    monkeypatch.setattr(urls, "SMALL_LIST", 10)
+    monkeypatch.setattr(urls, "BROADCAST_BYTES", 10)
+    pages = spark.range(4000).select(F.concat(F.lit("http://h.info/"), F.col("id") % 1000).alias("u.r"), F.col("id").alias("page_id"), F.lit(1).alias("host"))
+    pages = pages.union(spark.createDataFrame([(None, None, 1)], "url string, page_id long, host int"))
+    listed = spark.range(0, 1000, 3).select(F.concat(F.lit("h.info/"), "id").alias("canonical_url"))
+    got = urls.url_verdicts(pages, listed, url="u.r").collect()
+    assert len(got) == 4001 and {r["page_id"] for r in got if r["listed"]} == {i for i in range(4000) if i % 1000 % 3 == 0}
+
+
+def test_chat_swapped_answers(spark):
+    rows = [
+        (0, 0, "user", "q"), (0, 1, "assistant", "a"), (0, 2, "user", "thanks"), (1, 0, "user", "q"), (1, 1, "assistant", "b"), (1, 1, "assistant", "c"), (2, 0, "user", "x"),
+        (3, 0, "user", "y"), (3, 1, "assistant", None), (4, 1, "assistant", "lone"), (None, 0, "user", "n"), (6, None, "user", "u"), (6, 1, "assistant", "d"), (7, 0, "assistant", "e"), (6, 1, "assistant", "d"),
+    ]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = collections.defaultdict(list)
+    for r in chat.swapped_answers(turns).collect():
+        got[r["pair_id"]].append((r["turn"], r["role"], r["text"]))
+    key = lambda r: tuple((x is not None, x) for x in r)
+    assert {k: sorted(v, key=key) for k, v in got.items()} == {
+        0: [(0, "user", "q"), (1, "assistant", "c")], 1: [(0, "user", "q"), (1, "assistant", "a")], 2: [(0, "user", "x")], 3: [(0, "user", "y")],
+        6: [(None, "user", "u"), (1, "assistant", "e")], 7: [(0, "assistant", "d")],
+    }
+    assert chat.preference_pairs(turns.limit(0).withColumnRenamed("conv_id", "pair_id"), chat.swapped_answers(turns.limit(0))).count() == 0
+    found = chat.op7_preference_format(spark, DATA).collect()
+    assert sum(r["n_common"] > 0 for r in found) > 0.8 * len(found)
+
+
 def test_chat(spark):
     schema = "pair_id long, turn long, role string, text string, side string"
     chosen = [(1, 0, "user", "hi", "c"), (1, 1, "assistant", "a", "c"), (2, 0, "user", "x", "c"), (3, 0, None, None, "c"), (3, 1, "assistant", "b", "c"), (5, 0, "user", "u", "c"), (None, 0, "user", "u", "c")]
@@ -309,7 +374,7 @@ def test_chat(spark):
     assert (out[3]["n_common"], out[3]["chosen"], out[3]["rejected"]) == (2, "", "") and out[4]["chosen"] == "" and out[5]["rejected"] == ""
 
 
-def test_warc_round_trip(spark):
+def test_warc_round_trip(spark, monkeypatch):
     rng = random.Random(3)
     big = "".join(rng.choice("abcdefghij é\n") for _ in range(3000))
     rows = [(1, "http://a/\n1", big), (2, None, big), (3, "http://c", "short"), (4, "http://d", "short"), (5, "http://e", None), (6, "http://f", "x" * 1000), (7, "http://g", "x" * 1000), (None, "http://h", big), (2, None, big)]
@@ -323,6 +388,9 @@ def test_warc_round_trip(spark):
     for split in (700, 5000, 1 << 24):
         got = warc.round_trip(spark, pages, split).collect()
         assert sorted((str(r[0]), *r[1:]) for r in got) == [tuple(w) for w in want] or sorted(map(str, ((str(r[0]), *r[1:]) for r in got))) == sorted(map(str, want))
+    monkeypatch.setattr(warc, "SMALL_DIGESTS", 0)  # the way of many repeated digests
+    got = warc.round_trip(spark, pages).collect()
+    assert sorted(map(str, ((str(r[0]), *r[1:]) for r in got))) == sorted(map(str, want))
     manifest = warc.write_archives(warc.deduplicated(pages), shared.path(spark, "warc"), file_bytes=4000)
     assert manifest.count() > 3
     back = warc.read_archives(manifest, True, 999).filter("record_type = 'response'").collect()
@@ -350,6 +418,32 @@ def test_false_members_are_passed_over(tmp_path):
         assert found == offsets
 
 
+def test_stages_keep_columns_as_they_are(spark):
+    """Clashing and dotted names, nulls, repeated rows and empty tables pass through every filtering stage."""
+    import corpus_pipeline
+
+    base = spark.read.parquet(f"{DATA}/documents.parquet").filter("length(text) > 400").limit(40)
+    extra = {"score": "keepme", "kept": "me too", "n_words": "5", "nd_word": "w", "nd_maybe": "m", "nd_bits": "b", "c0": "zero", "a.b": "dot", "component_id": "c"}
+    docs = base.withColumns({k: F.lit(v) for k, v in extra.items()})
+    docs = docs.union(docs.limit(2)).union(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long"))).union(docs.limit(1).withColumn("text", F.lit(None).cast("string")))
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+        rows = out.collect()
+        assert rows and all(tuple(r[len(base.columns) :]) == tuple(extra.values()) for r in rows)
+        assert stage(spark, docs.limit(0), DATA).count() == 0
+    packed = corpus_pipeline.STAGES[3][1](spark, docs, DATA)
+    assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
+def test_near_duplicates_with_colliding_words(spark):
+    """Words on which hashes by powers modulo 2^64 collide link nothing."""
+    one, two = ("".join("ab"[(bin(i).count("1") & 1) ^ flip] for i in range(1024)) for flip in (0, 1))
+    tail = lambda w: " ".join([w] * 6)
+    docs = spark.createDataFrame([(1, tail(one)), (2, tail(two)), (3, tail(one).upper())], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs).collect()} == {1: 1, 2: 2, 3: 1}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
