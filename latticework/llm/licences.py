@@ -234,7 +234,7 @@ def licence_scan(docs: DataFrame, text: str = "text", templates: dict[str, str]
 
     start and end are bytes of the best unit, or of the best window where no unit matches (the first, if several are), in the text. A short notice within a longer
     text that matches counts too. Null, empty and wordless texts match nothing; a unit needs two words.
-    One pass, no shuffle; whole texts are scanned. Repeated rows are each scanned. Columns of docs named licences are replaced.
+    One pass, no shuffle; whole texts are scanned. Repeated rows are each scanned; an empty table gives an empty one. Columns of docs named licences are replaced.
     """
     own = Templates(every_template() if templates is None else templates, threshold)
     kind = pa.list_(pa.struct([("template", pa.string()), ("dice", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))

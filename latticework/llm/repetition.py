@@ -160,7 +160,7 @@ def _verdicts(column: pa.Array, min_words: int, max_covered: float, max_longest:
     parts = [measure(d, o, min_words) for _, _, d, o in _text.chunks(data, offs)]
     got = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
     got["base_failed"] = (got["n_words"] < 20) | (100 * got["n_repeat_words"] > 30 * got["n_words"])
-    got["kept"] = ~got["base_failed"] & (got["covered_words"] <= max_covered * got["n_words"]) & (got["longest_repeat"] <= max_longest)
+    got["kept"] = ~got["base_failed"] & (got["covered_words"] <= max_covered * got["n_words"] + 1e-9) & (got["longest_repeat"] <= max_longest)
     return got
 
 

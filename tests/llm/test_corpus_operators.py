@@ -105,7 +105,7 @@ def test_near_duplicates_are_all_found(spark, options):
 def test_near_duplicates_on_documents_and_edges(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
-    found = near_dup.near_duplicates(docs).collect()
+    found = near_dup.op3_near_duplicates(spark, DATA).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute_components(rows)
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in found)
     assert near_dup.near_duplicates(docs.limit(0)).count() == 0
@@ -233,6 +233,8 @@ def test_packing_documents(spark):
     documents = {r["doc_id"]: [*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 2] for r in docs.collect()}
     rows = packing.pack_documents(docs, P.path("byte_bpe_50k.json")).collect()
     bins = check_packing(rows, 1024, documents)
+    query = packing.op8_best_fit_packing(spark, DATA).collect()
+    assert check_packing(query, 1024, {k: v for k, v in documents.items() if k < 9000}) <= bins
     counts = collections.Counter(r["length"] for r in rows)
     assert packing.lower_bound(counts, 1024) <= bins <= sum(n for _, n in packing.best_fit(counts, 1024))
     small = packing.pack_documents(docs.limit(5), P.path("byte_bpe_50k.json"), capacity=16, with_ids=True).collect()

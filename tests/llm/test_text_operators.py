@@ -289,3 +289,97 @@ def test_language_edges(spark):
     kept = langid.one_language(spark, docs, "")
     assert kept.columns == docs.columns and sorted((r["text"], r["score"], r["a.b"]) for r in kept.collect()) == [("guten tag mein freund", 6, "y"), ("hello there my friend", 5, "x")]
     assert langid.one_language(spark, docs.limit(0), "").columns == docs.columns
+
+
+def brute_verdict(text):
+    words = WORD.findall(text)
+    low, high = 0, len(words)
+    while low < high:  # the longest run of words found twice: if one of n words is, so is one of n - 1
+        n = (low + high + 1) // 2
+        runs = [hashlib.sha256(" ".join(words[i : i + n]).encode()).digest() for i in range(len(words) - n + 1)]
+        low, high = (n, high) if len(set(runs)) < len(runs) else (low, n - 1)
+    longest, out = low, []
+    for n in (8, 5):
+        seen = collections.Counter(tuple(words[i : i + n]) for i in range(len(words) - n + 1))
+        out.append(len({j for i in range(len(words) - n + 1) if seen[tuple(words[i : i + n])] > 1 for j in range(i, i + n)}))
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    failed = len(words) < 20 or 100 * out[0] > 30 * len(words)
+    figures = (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), out[0])
+    return (*figures, failed, not failed and 10 * out[1] <= 3 * len(words) and longest <= 60)
+
+
+def test_rules_query_against_brute_force(spark):
+    got = {r["doc_id"]: r for r in repetition.op4_repetition_rules(spark, DATA).collect()}
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()}
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    assert {i: tuple(r[k] for k in names) for i, r in got.items()} == {i: brute_verdict(t) for i, t in texts.items()}
+    assert {r["kept"] for r in got.values()} == {True, False}
+
+
+def test_rules_at_their_limits(spark):
+    own = iter(f"w{i}" for i in range(100_000))
+    take = lambda n: [next(own) for _ in range(n)]
+
+    def spans(total, size, times=2):
+        """A text of ``total`` words of which a run of ``size`` words stands ``times`` times."""
+        run = take(size)
+        parts, left = [run] * times, total - size * times
+        out = []
+        for part in parts:
+            out += take(left // (times + 1)) + part
+        return out + take(total - len(out))
+
+    cases = {
+        1: (take(19), False), 2: (take(20), True),
+        3: (spans(100, 5, 6), True), 4: (spans(100, 5, 6)[:-1], False),  # 30 of 100, 30 of 99 words covered by runs of five
+        5: (spans(1000, 60), True), 6: (spans(1000, 61), False), 7: (spans(1000, 4, 100), True),
+    }
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, (w, _) in cases.items()], "doc_id long, text string")
+    got = {r["doc_id"]: r["kept"] for r in repetition.repetition_rules(docs).collect()}
+    assert got == {i: k for i, (_, k) in cases.items()} == {i: brute_verdict(" ".join(w))[-1] for i, (w, _) in cases.items()}
+
+
+def test_rules_of_long_texts():
+    """Texts over several chunks, one of them longer than a chunk."""
+    rng = random.Random(2)
+    texts = [" ".join(f"{rng.randrange(300)}" for _ in range(n)) for n in (300_000, 10, 200_000, 0)]
+    texts[0] = texts[0] + " " + texts[0][:3999].rpartition(" ")[0]
+    assert len(texts[0]) > _text.CHUNK_BYTES
+    data, offs = chunk(texts)
+    parts = [repetition.measure(d, o, 5) for _, _, d, o in _text.chunks(data, offs)]
+    assert len(parts) >= 2
+    got = np.concatenate([p["n_words"] for p in parts]).tolist(), np.concatenate([p["n_repeat_words"] for p in parts]).tolist()
+    want = []
+    for words in map(str.split, texts):
+        seen = collections.Counter(zip(*(words[k:] for k in range(8))))
+        want.append(len({j for i in range(len(words) - 7) if seen[tuple(words[i : i + 8])] > 1 for j in range(i, i + 8)}))
+    assert got[0][1:] == [10, 200_000, 0] and got[1] == want and want[0] > 1000
+
+
+def test_bpe_query_against_the_library(spark, tokenizers):
+    _, there, _ = tokenizers
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()}
+    rows = bpe.op2_byte_bpe(spark, DATA).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = there.encode_ordinary(texts[r["doc_id"]])
+        want = len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == want
+
+
+def test_language_query(spark):
+    import zlib
+
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    rows = langid.op10_language_id(spark, DATA).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(docs)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and 0 <= r["score"] <= 1 for r in rows)
+    assert all((r["lang_pred"] == "und") == (not any(c.isalpha() for c in docs[r["doc_id"]]["text"] or "")) for r in rows)
+    told = [(r["lang_pred"], docs[r["doc_id"]]["lang"]) for r in rows if r["held_out"] and r["lang_pred"] != "und" and docs[r["doc_id"]]["lang"]]
+    assert len(told) > 30 and sum(a == b for a, b in told) / len(told) > 0.95
+    assert len({r["score"] for r in rows}) > len(rows) / 2
+
+
+def test_licences_of_an_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert licences.licence_scan(docs).columns == ["doc_id", "text", "licences"] and licences.licence_scan(docs).count() == 0
