@@ -6,7 +6,7 @@ import argparse
 
 from pyspark.sql import SparkSession, functions as F
 
-from .api import GridStore
+from .api import PARTS, GridStore
 
 
 def numbers(text: str) -> tuple[int, ...]:
@@ -24,9 +24,15 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
     make.add_argument("--dims", type=numbers, required=True)
     make.add_argument("--n-bins", type=int, default=8)
     make.add_argument("--compression", default="zstd")
+    make.add_argument("--level", type=int, help="of gzip or zstd")
+    make.add_argument("--contour", action="store_true", help="shares of all bins in the cells between neighbours, by interpolation")
+    make.add_argument("--only", choices=PARTS, nargs="+", default=list(PARTS), help="what to store; bins always are")
     ask = commands.add_parser("query", help="histograms of boxes (lo, hi]")
     ask.add_argument("store")
-    ask.add_argument("--box", nargs=2, type=numbers, action="append", required=True, metavar=("LO", "HI"))
+    which = ask.add_mutually_exclusive_group(required=True)
+    which.add_argument("--box", nargs=2, type=numbers, action="append", metavar=("LO", "HI"))
+    which.add_argument("--random", type=int, help="so many boxes, at places that are the same every time")
+    ask.add_argument("--window", type=int, default=1, help="edge of random boxes")
     ask.add_argument("--route", choices=["coefs", "sat", "bins"], default="coefs")
     for name in ("entropy", "median"):
         field = commands.add_parser(name, help=f"{name} over a sliding window")
@@ -43,12 +49,13 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
     own = parser.parse_args(args)
     spark = spark or SparkSession.builder.appName("latticework").getOrCreate()
     if own.command == "encode":
-        grid = GridStore.encode(spark.read.parquet(own.table), [F.expr(c) for c in own.coords], F.expr(own.value), own.dims, own.n_bins, own.store, own.compression)
-        result = grid.statistics()
+        grid = GridStore.encode(spark.read.parquet(own.table), [F.expr(c) for c in own.coords], F.expr(own.value), own.dims, own.n_bins, own.store, own.compression, own.level, own.contour, tuple(own.only))
+        result = grid.statistics() if "coefs" in own.only else grid.bins.groupBy("bin").agg(F.sum("w").alias("w"))
     else:
         grid = GridStore(spark, own.store)
         if own.command == "query":
-            result = grid.region_histogram(grid.boxes(*own.box), own.route).orderBy("qid", "bin")
+            boxes = grid.random_boxes(own.window, own.random) if own.random else grid.boxes(*own.box)
+            result = grid.region_histogram(boxes, own.route).orderBy("qid", "bin")
         elif own.command in ("entropy", "median"):
             result = getattr(grid, f"{own.command}_field")(own.radius, own.groups)
         else:

@@ -7,11 +7,15 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .functions import binning
 from .operators import cells, fields, sat, udf, wavelet
 from .plans.spec import GridSpec
 from .sources import store
 
 
+PARTS = ("bins", "coefs", "sat")
+
+
 class GridStore:
     """Read from what ``encode`` has written. Every answer is a DataFrame; nothing is computed before it is asked for."""
 
@@ -21,16 +25,40 @@ class GridStore:
         self.spec = GridSpec(tuple(row["dims"]), row["n_bins"], row["vmin"], row["vmax"])
 
     @classmethod
-    def encode(cls, df: DataFrame, coords: list[Column], value: Column, dims: tuple[int, ...], n_bins: int, path: str, compression: str = "zstd") -> GridStore:
-        """Bins a value linearly over its range, aggregates and stores. Later runs need no second look at the data's range."""
+    def encode(
+        cls,
+        df: DataFrame,
+        coords: list[Column],
+        value: Column,
+        dims: tuple[int, ...],
+        n_bins: int,
+        path: str,
+        compression: str = "zstd",
+        level: int | None = None,
+        contour: bool = False,
+        parts: tuple[str, ...] = PARTS,
+    ) -> GridStore:
+        """Bins a value over its range, aggregates and stores. Later runs need no second look at the data's range.
+
+        Each row goes to its linear bin. With contour the rows are a field instead, averaged per cell, and every unit cell between 2^D neighbours has the
+        shares of its values in all bins. parts: which of bins, coefs and sat to store (bins always are).
+        """
         points = cells.cells(df, coords, value)
+        if contour:
+            points = points.dropna().groupBy(*(f"x{d}" for d in range(len(dims)))).agg(F.avg("value").alias("value"))
         spec = GridSpec(tuple(dims), n_bins).with_range(points, "value")
         spark = df.sparkSession
         spec.table(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/spec")
-        store.write_bins(cells.linear_histogram(points, spec), f"{path}/bins", spec.axes, compression=compression)
+        if contour and spec.vmin is not None:
+            hist = binning.contour_spectrum(cells.corners(points, len(dims)), len(dims), n_bins, spec.vmin, spec.vmax)
+        else:
+            hist = cells.linear_histogram(points, spec)
+        store.write_bins(hist, f"{path}/bins", spec.axes, compression=compression, level=level)
         hist = store.read_bins(spark, f"{path}/bins")
-        store.write_coefs(wavelet.encode(hist, spec), f"{path}/coefs", compression)
-        store.write_sat(sat.sat(hist, spec), f"{path}/sat", compression)
+        if "coefs" in parts:
+            store.write_coefs(wavelet.encode(hist, spec), f"{path}/coefs", compression, level)
+        if "sat" in parts:
+            store.write_sat(sat.sat(hist, spec), f"{path}/sat", compression, level)
         return cls(spark, path)
 
     @property
@@ -60,6 +88,10 @@ class GridStore:
         names = ", ".join(["qid int", *(f"lo{d} int" for d in range(n)), *(f"hi{d} int" for d in range(n))])
         return self.spark.createDataFrame([(i, *lo, *hi) for i, (lo, hi) in enumerate(pairs)], names)
 
+    def random_boxes(self, window: int, count: int) -> DataFrame:
+        """Boxes of one edge at places that are the same every time."""
+        return sat.random_boxes(self.spark, self.spec, window, count)
+
     def region_histogram(self, boxes: DataFrame, route: str = "coefs") -> DataFrame:
         """(qid, bin, h), from coefficients (coefs), summed-area tables (sat) or cells (bins)."""
         if route == "coefs":
@@ -91,8 +123,8 @@ class GridStore:
         """(k.., v) over blocks of edge 2^level."""
         return wavelet.block_values(self.coefs, self.spec, level).groupBy(*(f"k{d}" for d in range(len(self.spec.dims)))).agg(fields.STATISTICS[stat]().alias("v"))
 
-    def apply_filter(self, function: Callable[[np.ndarray], float], left: tuple[int, ...], right: tuple[int, ...]) -> DataFrame:
-        return udf.apply_filter(self.bins, self.spec, function, left, right)
+    def apply_filter(self, function: Callable[[np.ndarray], float], left: tuple[int, ...], right: tuple[int, ...], batched: bool = False) -> DataFrame:
+        return udf.apply_filter(self.bins, self.spec, function, left, right, batched)
 
     def statistics(self) -> DataFrame:
         return wavelet.compression(self.coefs, self.spec)

@@ -11,11 +11,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def bin_linear(value: Column, vmin: Column | float, vmax: Column | float, n_bins: int) -> Column:
-    """floor(n (v - min) / (max - min)) of the clamped value, at most n - 1; 0 if all values are the same. In double precision throughout."""
-    lo, hi = (x if isinstance(x, Column) else F.lit(float(x)) for x in (vmin, vmax))
-    clamped = F.greatest(lo, F.least(hi, value.cast("double")))
-    return F.when(hi == lo, 0).otherwise(F.least(F.floor(n_bins * (clamped - lo) / (hi - lo)).cast("int"), F.lit(n_bins - 1)))
+def bin_linear(value: Column, vmin: Column | float | None, vmax: Column | float | None, n_bins: int) -> Column:
+    """floor(n (v - min) / (max - min)) of the clamped value, at most n - 1; 0 if all values are the same. In double precision throughout.
+
+    Null and NaN have no bin (null), nor has any value where the range is unknown (None or null: a table without values).
+    """
+    lo, hi = (x if isinstance(x, Column) else F.lit(x).cast("double") for x in (vmin, vmax))
+    v = value.cast("double")
+    clamped = F.greatest(lo, F.least(hi, v))
+    bin_ = F.when(hi == lo, 0).otherwise(F.least(F.floor(n_bins * (clamped - lo) / (hi - lo)).cast("int"), F.lit(n_bins - 1)))
+    return F.when(v.isNotNull() & ~F.isnan(v) & lo.isNotNull() & hi.isNotNull(), bin_)
 
 
 def bin_identity(value: Column) -> Column:
@@ -95,16 +100,26 @@ def address(index: Column) -> tuple[Column, Column]:
 
 
 def below(values: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """Share of a simplex in which a linear function with these vertex values (last axis) is below each t: a sum of truncated powers."""
+    """Share of a simplex (segment, triangle, tetrahedron) in which a linear function with these vertex values (last axis) is below each t, by the
+    closed form of each piece between sorted vertices. Equal vertices make a piece empty, so nothing is divided by zero. Of a constant simplex nothing is below its value."""
     v = np.sort(values, axis=-1)
-    n = v.shape[-1] - 1
-    spread = np.maximum(v[..., -1:] - v[..., :1], 1e-300)
-    v = v + np.arange(n + 1) * spread * 1e-4  # equal vertices are set apart by a ten-thousandth of the range
-    out = np.zeros(t.shape if t.ndim == v.ndim else (*v.shape[:-1], t.shape[-1]))
-    for i in range(n + 1):
-        others = np.prod([v[..., j] - v[..., i] for j in range(n + 1) if j != i], axis=0)
-        out += np.maximum(0.0, v[..., i : i + 1] - t) ** n / others[..., None] * (-1) ** n
-    return np.clip(1.0 - out, 0.0, 1.0)
+    a, z = v[..., :1], v[..., -1:]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        if v.shape[-1] == 2:
+            pieces = [(t - a) / (z - a)]
+        elif v.shape[-1] == 3:
+            b = v[..., 1:2]
+            pieces = [(t - a) ** 2 / ((b - a) * (z - a)), 1 - (z - t) ** 2 / ((z - a) * (z - b))]
+        elif v.shape[-1] == 4:
+            b, c = v[..., 1:2], v[..., 2:3]
+            middle = (t - a) ** 2 / ((z - a) * (c - a)) + (t - a) * (t - b) * (c - t) / ((z - a) * (c - b) * (c - a)) + (t - b) ** 2 * (z - t) / ((z - b) * (c - b) * (z - a))
+            pieces = [(t - a) ** 3 / ((b - a) * (c - a) * (z - a)), middle, 1 - (z - t) ** 3 / ((z - a) * (z - b) * (z - c))]
+        else:
+            raise ValueError("grids of one to three axes")
+    out = np.where(t > z, 1.0, 0.0)
+    for i, piece in enumerate(pieces):
+        out = np.where((t > v[..., i : i + 1]) & (t <= v[..., i + 1 : i + 2]), piece, out)
+    return np.clip(out, 0.0, 1.0)
 
 
 def contour_spectrum(corners: DataFrame, dims: int, n_bins: int, vmin: float, vmax: float) -> DataFrame:
@@ -129,7 +144,9 @@ def contour_spectrum(corners: DataFrame, dims: int, n_bins: int, vmin: float, vm
                     path.append(path[-1] | 1 << d)
                 simplex = np.stack([values[np.arange(len(part)), flip ^ i] for i in path], axis=1)
                 flat = simplex.max(axis=1) <= simplex.min(axis=1)
-                share = np.diff(below(simplex, np.broadcast_to(edges, (len(part), n_bins + 1))), axis=1)
+                under = below(simplex, np.broadcast_to(edges, (len(part), n_bins + 1)))
+                under[:, -1] = 1.0  # the last bin holds its upper edge
+                share = np.diff(under, axis=1)
                 one = np.clip(np.searchsorted(edges, simplex[:, 0], "right") - 1, 0, n_bins - 1)
                 share[flat] = np.eye(n_bins)[one[flat]]
                 sums = share.sum(axis=1, keepdims=True)

@@ -14,9 +14,9 @@ def cells(df: DataFrame, coords: list[Column], value: Column) -> DataFrame:
 
 
 def cell_histogram(points: DataFrame, axes: list[str], bin_: Column, weight: Column | None = None) -> DataFrame:
-    """(x.., bin, w): weight (1: a whole number) of each cell and bin."""
+    """(x.., bin, w): weight (1: a whole number) of each cell and bin. Rows without a bin (null values) or without a coordinate count nowhere."""
     w = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    return points.groupBy(*axes, bin_.alias("bin")).agg(w.alias("w"))
+    return points.withColumn("bin", bin_).dropna(subset=["bin", *axes]).groupBy(*axes, "bin").agg(w.alias("w"))
 
 
 def multi_bin_histogram(points: DataFrame, axes: list[str], bins: Column) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..plans.spec import GridSpec
 
@@ -16,7 +16,10 @@ def dense(hist: DataFrame, spec: GridSpec) -> DataFrame:
 
 
 def sat(hist: DataFrame, spec: GridSpec) -> DataFrame:
-    """(x.., bin, s): per bin the sum over all cells up to x along every axis. One running sum per axis on the dense grid."""
+    """(x.., bin, s): per bin the sum over all cells up to x along every axis. One running sum per axis on the dense grid.
+
+    A task holds lines of one axis, so its memory is bounded by the grid's longest axis, not by its cells or rows.
+    """
     out = dense(hist, spec).withColumnRenamed("w", "s")
     for axis in spec.axes:
         others = [a for a in spec.axes if a != axis]
@@ -59,11 +62,21 @@ def region_brute(hist: DataFrame, boxes: DataFrame, spec: GridSpec) -> DataFrame
 
 
 def region_filter(hist: DataFrame, lo: tuple[int, ...], hi: tuple[int, ...]) -> DataFrame:
-    """(bin, h) of one box (lo, hi], by a filter that reaches the scan."""
+    """(bin, h) of one box (lo, hi], by a filter on cells; Spark moves it below the aggregation that made them."""
     inside = [(F.col(f"x{d}") > a) & (F.col(f"x{d}") <= b) for d, (a, b) in enumerate(zip(lo, hi, strict=True))]
     return hist.filter(reduce(lambda a, b: a & b, inside)).groupBy("bin").agg(F.sum("w").alias("h"))
 
 
+def random_boxes(spark: SparkSession, spec: GridSpec, window: int, count: int, first: int = 0) -> DataFrame:
+    """(qid, lo0 .., hi0 ..) of ``count`` boxes of edge ``window`` (an axis' length less 1 at most) at places that a hash of their number names: the same every time."""
+    out = [(F.col("id") + first).cast("int").alias("qid")]
+    for d, n in enumerate(spec.dims):
+        edge = min(window, n - 1)
+        base = edge + (F.col("id") * (2654435761 + 40503 * d) + 12345 * (d + 1)) % 2147483647 % (n - edge)
+        out += [(base - edge).cast("int").alias(f"lo{d}"), base.cast("int").alias(f"hi{d}")]
+    return spark.range(count).select(*out)
+
+
 def box_sums(values: DataFrame, axes: list[str], group: list[str], left: tuple[int, ...], right: tuple[int, ...], value: str = "w") -> DataFrame:
     """Sum of value over x + left < cell <= x + right along every axis, at each row; rows must hold every cell at which a result is wanted."""
     for d, axis in enumerate(axes):

@@ -68,17 +68,17 @@ def level_max_prob(pdfs: DataFrame, lo: int, hi: int) -> DataFrame:
 
 
 def select_by_hist(pdfs: DataFrame, spec: GridSpec, level: int, ranges: DataFrame) -> DataFrame:
-    """(k0 ..) of a level's nodes whose share of every bin lies in its range. ranges: (bin, lo, hi), a row for each bin that counts."""
+    """(k0 ..) of a level's nodes whose share of every bin lies in its range. ranges: (bin, lo, hi), a row for each bin that counts, joined as Spark sees fit."""
     keys = _places(spec)
     own = pdfs.filter(F.col("level") == level)
-    met = own.join(F.broadcast(ranges), "bin").groupBy(*keys).agg(
+    met = own.join(ranges, "bin").groupBy(*keys).agg(
         F.count(F.lit(1)).alias("there"), F.sum(F.col("p").between(F.col("lo"), F.col("hi")).cast("int")).alias("good"), F.sum((F.col("lo") <= 0).cast("int")).alias("zero")
     )
     nodes = own.select(*keys).distinct().join(met, keys, "left").na.fill(0, ["there", "good", "zero"])
     need = ranges.agg(F.count(F.lit(1)).alias("all"), F.sum(((F.col("lo") <= 0) & (F.col("hi") >= 0)).cast("int")).alias("may"))
     absent = ranges.filter("lo <= 0 and hi >= 0").select("bin")
-    may = own.join(F.broadcast(absent), "bin").groupBy(*keys).agg(F.count(F.lit(1)).alias("used"))
-    nodes = nodes.join(may, keys, "left").na.fill(0, ["used"]).join(F.broadcast(need))
+    may = own.join(absent, "bin").groupBy(*keys).agg(F.count(F.lit(1)).alias("used"))
+    nodes = nodes.join(may, keys, "left").na.fill(0, ["used"]).join(F.broadcast(need))  # one row
     # bins that a node lacks are fine if 0 is in their range
     return nodes.filter((F.col("good") == F.col("there")) & (F.col("may") - F.col("used") == F.col("all") - F.col("there"))).select(*keys)
 

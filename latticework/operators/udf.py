@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,32 +13,26 @@ from ..plans.spec import GridSpec
 from . import sat
 
 
-def apply_filter(hist: DataFrame, spec: GridSpec, function: Callable[[np.ndarray], float], left: tuple[int, ...], right: tuple[int, ...]) -> DataFrame:
+def apply_filter(
+    hist: DataFrame, spec: GridSpec, function: Callable[[np.ndarray], float], left: tuple[int, ...], right: tuple[int, ...], batched: bool = False
+) -> DataFrame:
     """(x.., v): a function of the box's histogram at every cell. The box is (x + left, x + right], its corners clamped to the grid.
 
-    The box sums are window sums in the engine; only arrays of bins, in Arrow batches, go through the function.
+    A lower corner clamped to 0 leaves out the grid's first plane, an upper one ends at the last, so the sums are window sums over cells whose first planes are
+    emptied. Cells' histograms go through the function in Arrow batches: one array of bins at a time, or (batched) all of a batch as rows of one array.
     """
-    table = sat.sat(hist, spec)
-    # the prefix sum at a clamped corner: corners below the grid's first plane stay at it, as the sum over (0, x]
-    boxes = spec.lattice(hist.sparkSession)
-    for d, n in enumerate(spec.dims):
-        clamp = lambda c, top=n - 1: F.greatest(F.lit(0), F.least(F.lit(top), c)).cast("int")
-        boxes = boxes.withColumns({f"lo{d}": clamp(F.col(f"x{d}") + left[d]), f"hi{d}": clamp(F.col(f"x{d}") + right[d])})
-    index = F.lit(0).cast("long")
-    for d in reversed(range(len(spec.dims))):
-        index = index * spec.dims[d] + F.col(f"x{d}")
-    sums = sat.region_sums(table, boxes.withColumn("qid", index), spec)
-    arrays = sums.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("bin", "h"))).alias("b"))
+    inside = reduce(lambda a, b: a & b, [F.col(a) > 0 for a in spec.axes])
+    full = sat.dense(hist, spec).withColumn("w", F.when(inside, F.col("w")).otherwise(F.lit(0)))
+    sums = sat.box_sums(full, spec.axes, ["bin"], left, right)
+    arrays = sums.groupBy(*spec.axes).agg(F.array_sort(F.collect_list(F.struct("bin", "w"))).alias("b"))
 
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
-            yield part.map(lambda values: float(function(np.asarray(values, float)))).astype(float)
-
-    from ..functions.binning import index_to_sub
+            rows = np.stack(part.to_numpy()).astype(float) if len(part) else np.zeros((0, spec.n_bins))
+            yield pd.Series(np.asarray(function(rows) if batched else [float(function(row)) for row in rows], float))
 
     udf = F.pandas_udf(run, "double")
-    found = arrays.select("qid", udf(F.transform("b", lambda x: x["h"].cast("double"))).alias("v"))
-    return found.select(*(c.alias(a) for c, a in zip(index_to_sub(F.col("qid"), spec.dims), spec.axes, strict=True)), "v")
+    return arrays.select(*spec.axes, udf(F.transform("b", lambda x: x["w"].cast("double"))).alias("v"))
 
 
 def statistic(function: Callable[[np.ndarray, np.ndarray], float]) -> Callable[..., Column]:

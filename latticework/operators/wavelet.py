@@ -71,6 +71,12 @@ def coef_sparse(coefs: DataFrame, levels: tuple[int, ...], place: tuple[int, ...
     return coefs.filter(reduce(lambda a, b: a & b, at)).select("bin", "ic")
 
 
+def coef_full(coefs: DataFrame, spec: GridSpec, levels: tuple[int, ...], place: tuple[int, ...]) -> DataFrame:
+    """(bin, ic) of one address on every bin, 0 where nothing is stored."""
+    every = coefs.sparkSession.range(spec.n_bins).select(F.col("id").cast("int").alias("bin"))
+    return every.join(coef_sparse(coefs, levels, place), "bin", "left").select("bin", F.coalesce("ic", F.lit(0)).alias("ic"))
+
+
 def decode_bins(coefs: DataFrame, spec: GridSpec, lo: int, hi: int, padded: bool = False) -> DataFrame:
     """(x0 .., s): the summed-area table of bins lo to hi together, one axis after the other; inside the data's extents unless padded."""
     out = coefs.filter(F.col("bin").between(lo, hi)).groupBy(*spec.keys).agg(F.sum("ic").cast("double").alias("s"))
@@ -122,9 +128,9 @@ def fetches(boxes: DataFrame, spec: GridSpec) -> DataFrame:
     return each.agg(F.min("n").alias("least"), F.max("n").alias("most"), F.avg("n").alias("mean"))
 
 
-def outside(coefs: DataFrame, spec: GridSpec) -> DataFrame:
-    """Coefficients whose support begins beyond the data; encode makes none."""
-    beyond = [F.col(f"k{d}") * F.pow(F.lit(2.0), spec.levels(d) - F.greatest(F.col(f"l{d}"), F.lit(1))) >= n for d, n in enumerate(spec.dims)]
+def outside(coefs: DataFrame, spec: GridSpec, extents: tuple[int, ...] | None = None) -> DataFrame:
+    """Coefficients whose support begins beyond the data, or beyond other extents; of the data encode makes none."""
+    beyond = [F.col(f"k{d}") * F.pow(F.lit(2.0), spec.levels(d) - F.greatest(F.col(f"l{d}"), F.lit(1))) >= n for d, n in enumerate(extents or spec.dims)]
     return coefs.filter(reduce(lambda a, b: a | b, beyond))
 
 
@@ -137,7 +143,10 @@ def block_values(coefs: DataFrame, spec: GridSpec, level: int) -> DataFrame:
 
 
 def haar_scanlines(values: DataFrame, key: str, position: str, value: str, length: int, inverse: bool = False) -> DataFrame:
-    """(key, position, value): orthonormal Haar transform of each key's scanline of a power of two of values, or its inverse."""
+    """(key, position, value): orthonormal Haar transform of each key's scanline of a power of two of values, or its inverse.
+
+    A scanline is a group, as long as one padded axis of the grid: that bounds a group, whatever the number of cells or rows.
+    """
     import numpy as np
     import pandas as pd
 

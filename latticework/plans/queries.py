@@ -8,6 +8,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from itertools import permutations
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -80,9 +81,13 @@ def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet")
 
 
-def points(spark: SparkSession, sf_dir: str, dims: int = 2) -> DataFrame:
+def _placed(rows: DataFrame, dims: int) -> DataFrame:
     where = [F.col("l_quantity").cast("int") - 1, F.round(F.col("l_discount") * 100).cast("int"), F.col("l_linenumber") - 1]
-    return cells.cells(lineitem(spark, sf_dir), where[:dims], F.col("l_extendedprice"))
+    return cells.cells(rows, where[:dims], F.col("l_extendedprice"))
+
+
+def points(spark: SparkSession, sf_dir: str, dims: int = 2) -> DataFrame:
+    return _placed(lineitem(spark, sf_dir), dims)
 
 
 def grid(spark: SparkSession, sf_dir: str, dims: int = 2) -> tuple[GridSpec, DataFrame]:
@@ -104,8 +109,12 @@ def boxes(spark: SparkSession) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares (spark.checkpoint.dir), or a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/latticework"
+    """A new path in the folder that the cluster shares (spark.checkpoint.dir); where that is unset a temporary one on one machine, an error on a cluster."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"file://{tempfile.gettempdir()}/latticework"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -127,6 +136,33 @@ def slice_range(spark, d):
     return store.clamped_range(lineitem(spark, d).select((F.col("l_quantity") - 25).alias("value")))
 
 
+_DEEP = "SELECT CAST(l_quantity AS INTEGER) - 1 AS x, CAST(round(l_discount * 100) AS INTEGER) AS y, CAST(l_partkey % 16 AS INTEGER) AS z, l_linenumber - 1 AS t, l_extendedprice - 30000 AS value FROM lineitem"
+
+
+@query(f"SELECT x AS x0, y AS x1, greatest(value, 0.0e0) AS value FROM ({_DEEP}) WHERE t = 0 AND z = 12")
+def scan_time_depth_slice(spark, d):
+    """One time and one height of a volume with four axes, negative values clamped to 0."""
+    rows = lineitem(spark, d).select(
+        (F.col("l_quantity").cast("int") - 1).alias("x"), F.round(F.col("l_discount") * 100).cast("int").alias("y"), (F.col("l_partkey") % 16).cast("int").alias("z"),
+        (F.col("l_linenumber") - 1).alias("t"), (F.col("l_extendedprice") - 30000).alias("value"),
+    )
+    return store.volume_slice(rows, {"t": 0, "z": 12}, ["x", "y"], "value").withColumn("value", binning.clamp_negative(F.col("value")))
+
+
+@query(
+    """SELECT x0, x1, u, CASE WHEN (x0 + x1) % 7 <> 0 THEN v END AS v FROM (SELECT CAST(l_quantity AS INTEGER) - 1 AS x0, CAST(round(l_discount * 100) AS INTEGER) AS x1,
+   CAST(sum(CAST(round(l_tax * 100) AS INTEGER) - 4) AS DOUBLE) AS u, CAST(sum(l_suppkey % 9 - 4) AS DOUBLE) AS v FROM lineitem WHERE l_linenumber = 5 GROUP BY ALL)"""
+)
+def scan_vector_slice(spark, d):
+    """One depth of a vector volume whose missing components hold a sentinel."""
+    where = [F.col("l_quantity").cast("int") - 1, F.round(F.col("l_discount") * 100).cast("int")]
+    rows = lineitem(spark, d).groupBy(where[0].alias("x"), where[1].alias("y"), (F.col("l_linenumber") - 1).alias("depth")).agg(
+        F.sum(F.round(F.col("l_tax") * 100).cast("int") - 4).cast("double").alias("u"), F.sum(F.col("l_suppkey") % 9 - 4).cast("double").alias("v")
+    )
+    volume = rows.withColumn("v", F.when((F.col("x") + F.col("y")) % 7 == 0, -9999.0).otherwise(F.col("v")))
+    return store.vector_slice(volume, {"depth": 4}, ["x", "y"], "u", "v", -9999.0)
+
+
 _VECTOR = """,
  vec AS (SELECT x0, x1, u, CASE WHEN (x0 + x1) % 7 <> 0 THEN v END AS v FROM (SELECT CAST(l_quantity AS INTEGER) - 1 AS x0, CAST(round(l_discount * 100) AS INTEGER) AS x1,
    CAST(sum(CAST(round(l_tax * 100) AS INTEGER) - 4) AS DOUBLE) AS u, CAST(sum(l_linenumber - 4) AS DOUBLE) AS v FROM lineitem GROUP BY ALL))"""
@@ -162,23 +198,23 @@ def scan_bins(spark, d):
     return store.read_bins(spark, path)
 
 
-@query(_with("SELECT * FROM sat WHERE bin = 2", _DENSE, _SAT))
+@query(_with("SELECT * FROM sat", _DENSE, _SAT))
 def scan_sat(spark, d):
     spec, hist = grid(spark, d)
     store.write_sat(sat.sat(hist, spec), path := scratch(spark, "sat"))
-    return store.read_store(spark, path).filter("bin = 2").select("x0", "x1", "bin", "s")
+    return store.read_store(spark, path).select("x0", "x1", "bin", "s")
 
 
-@query(_with("SELECT * FROM coefs WHERE l0 = 3", _COEF))
+@query(_with("SELECT * FROM coefs", _COEF))
 def scan_coefs(spark, d):
     spec, found = coefs(spark, d)
     store.write_coefs(found, path := scratch(spark, "coefs"))
-    return store.read_store(spark, path).filter("l0 = 3").select(*spec.keys, "bin", "ic")
+    return store.read_store(spark, path).select(*spec.keys, "bin", "ic")
 
 
-_SPHERES = """SELECT x0, x1, x2, round({sum}, 9) AS value FROM (SELECT CAST(range % 16 AS INTEGER) AS x0, CAST(range // 16 % 16 AS INTEGER) AS x1, CAST(range // 256 AS INTEGER) AS x2 FROM range(4096))""".format(
+_SPHERES = """SELECT x0, x1, x2, round({sum}, 9) AS value FROM (SELECT CAST(range % 64 AS INTEGER) AS x0, CAST(range // 64 % 64 AS INTEGER) AS x1, CAST(range // 4096 AS INTEGER) AS x2 FROM range(262144))""".format(
     sum=" + ".join(
-        f"exp(-((x0 - {c / 4}e0) * (x0 - {c / 4}e0) + (x1 - {c / 4}e0) * (x1 - {c / 4}e0) + (x2 - {c / 4}e0) * (x2 - {c / 4}e0)) / {2 * (1.1 * r / 4) ** 2!r})"
+        f"exp(-((x0 - {c}e0) * (x0 - {c}e0) + (x1 - {c}e0) * (x1 - {c}e0) + (x2 - {c}e0) * (x2 - {c}e0)) / {2 * (1.1 * r) ** 2!r})"
         for r, c in ((8, 48), (4, 24), (2, 12), (1, 6), (1, 2))
     )
 )
@@ -186,14 +222,14 @@ _SPHERES = """SELECT x0, x1, x2, round({sum}, 9) AS value FROM (SELECT CAST(rang
 
 @query(_SPHERES)
 def gen_spheres(spark, d):
-    return store.spheres(spark, 16).withColumn("value", F.round("value", 9))
+    return store.spheres(spark).withColumn("value", F.round("value", 9))
 
 
 @query(_SPHERES)
 def scan_nrrd(spark, d):
     """A volume written as NRRD and read back by the data source."""
     nrrd.register(spark)
-    nrrd.write_nrrd(store.spheres(spark, 16), (16, 16, 16), path := scratch(spark, "spheres") + ".nhdr", "value")
+    nrrd.write_nrrd(store.spheres(spark), (64, 64, 64), path := scratch(spark, "spheres") + ".nhdr", "value")
     return spark.read.format("nrrd").option("slabs", 4).load(path).withColumn("value", F.round("value", 9))
 
 
@@ -311,20 +347,55 @@ def _spectrum(spark, d):
     return binning.contour_spectrum(cells.corners(field, 2), 2, B, spec.vmin, spec.vmax)
 
 
-@query()
+def _spectrum_sql(field: str, dims: int, lo: str, hi: str) -> str:
+    """CTEs from a dense field (x.., value) to spec (x.., bin, w): the simplices of every cell, the share of each below every edge, and its differences by bin."""
+    axes = ", ".join(f"x{d}" for d in range(dims))
+    sides = ", ".join(f"max(value) FILTER (side = {i})" for i in range(1 << dims))
+    up = ", ".join(f"x{d} + 1 - ((side >> {d}) & 1) AS x{d}" for d in range(dims))
+    flip = " + ".join(f"((x{d} & 1) << {d})" for d in range(dims))
+    orders = list(permutations(range(dims)))
+    paths = ", ".join(str(tuple(sum(1 << d for d in order[:i]) for i in range(dims + 1))) for order in orders)
+    names = ", ".join(f"p{i}" for i in range(dims + 1))
+    t, z = "e[j + 1]", f"v[{dims + 1}]"
+    up_to = lambda k: f"({t} - v[{k}])"
+    down_from = lambda k: f"(v[{k}] - {t})"
+    gap = lambda a, b: f"(v[{a}] - v[{b}])"
+    pieces = {
+        2: f"""WHEN {t} <= v[2] THEN {up_to(1)} * {up_to(1)} / ({gap(2, 1)} * {gap(3, 1)}) ELSE 1 - {down_from(3)} * {down_from(3)} / ({gap(3, 1)} * {gap(3, 2)})""",
+        3: f"""WHEN {t} <= v[2] THEN {up_to(1)} * {up_to(1)} * {up_to(1)} / ({gap(2, 1)} * {gap(3, 1)} * {gap(4, 1)})
+          WHEN {t} <= v[3] THEN {up_to(1)} * {up_to(1)} / ({gap(4, 1)} * {gap(3, 1)}) + {up_to(1)} * {up_to(2)} * {down_from(3)} / ({gap(4, 1)} * {gap(3, 2)} * {gap(3, 1)})
+            + {up_to(2)} * {up_to(2)} * {down_from(4)} / ({gap(4, 2)} * {gap(3, 2)} * {gap(4, 1)})
+          ELSE 1 - {down_from(4)} * {down_from(4)} * {down_from(4)} / ({gap(4, 1)} * {gap(4, 2)} * {gap(4, 3)})""",
+    }[dims]
+    return f"""
+ field AS ({field}),
+ edges AS (SELECT list({lo} + ({hi} - {lo}) * CAST(range AS DOUBLE) / 8 ORDER BY range) AS e FROM range(9), (SELECT min(value) AS mn, max(value) AS mx FROM field)),
+ corner AS (SELECT {axes}, [{sides}] AS c FROM (SELECT {up}, side, value FROM field, (SELECT CAST(range AS INTEGER) AS side FROM range({1 << dims}))) GROUP BY {axes} HAVING count(*) = {1 << dims}),
+ simplex AS (SELECT {axes}, list_sort([{", ".join(f"c[xor({flip}, p{i}) + 1]" for i in range(dims + 1))}]) AS v FROM corner, (VALUES {paths}) o({names})),
+ shares AS (SELECT {axes}, bin, CASE WHEN v[1] = {z} THEN CASE WHEN bin = greatest(0, least(7, len(list_filter(e, lambda y: y <= v[1])) - 1)) THEN 1.0e0 ELSE 0.0e0 END
+     ELSE u[bin + 2] - u[bin + 1] END AS share FROM (SELECT {axes}, v, e, [CASE WHEN j = 8 OR {t} > {z} THEN 1.0e0 WHEN {t} <= v[1] THEN 0.0e0 {pieces} END for j in range(9)] AS u FROM simplex, edges),
+     (SELECT CAST(range AS INTEGER) AS bin FROM range(8))),
+ spec AS (SELECT {axes}, CAST(bin AS INTEGER) AS bin, sum(share) / {len(orders)} AS w FROM shares GROUP BY ALL)"""
+
+
+_FIELD = "SELECT a.x0, b.x1, CAST(coalesce(n, 0) AS DOUBLE) AS value FROM (SELECT CAST(range AS INTEGER) AS x0 FROM range(50)) a CROSS JOIN (SELECT CAST(range AS INTEGER) AS x1 FROM range(11)) b LEFT JOIN (SELECT x0, x1, count(*) AS n FROM pts GROUP BY ALL) p ON p.x0 = a.x0 AND p.x1 = b.x1"
+_SPECTRUM = "," + _spectrum_sql(_FIELD, 2, "mn", "mx")
+
+
+@query(_with("SELECT x0, x1, bin, round(w, 6) AS w FROM spec WHERE round(w, 6) > 0", _SPECTRUM))
 def bin_contour_spectrum(spark, d):
-    return _spectrum(spark, d)
+    return _spectrum(spark, d).withColumn("w", F.round("w", 6)).filter("w > 0")
 
 
-@query()
+@query(_with("SELECT bin, round(sum(w), 6) AS w FROM spec GROUP BY bin", _SPECTRUM))
 def global_contour_spectrum(spark, d):
-    return _spectrum(spark, d).groupBy("bin").agg(F.sum("w").alias("w"))
+    return _spectrum(spark, d).groupBy("bin").agg(F.round(F.sum("w"), 6).alias("w"))
 
 
-@query()
+@query("WITH" + _spectrum_sql(_SPHERES.replace("round(", "(").replace(", 9) AS value", ") AS value"), 3, "0.0e0", "1.0e0") + " SELECT bin, round(sum(w), 4) AS w FROM spec GROUP BY bin")
 def contour_spectrum_3d(spark, d):
     field = store.spheres(spark)
-    return binning.contour_spectrum(cells.corners(field, 3), 3, B, 0.0, 1.0).groupBy("bin").agg(F.sum("w").alias("w"))
+    return binning.contour_spectrum(cells.corners(field, 3), 3, B, 0.0, 1.0).groupBy("bin").agg(F.round(F.sum("w"), 4).alias("w"))
 
 
 def _stat_sql(expression: str) -> str:
@@ -388,9 +459,11 @@ _ONE_SQL = _with(f"SELECT bin, CAST(sum(w) AS BIGINT) AS h FROM hist WHERE x0 >
 
 @query(_ONE_SQL)
 def region_hist_filter(spark, d):
-    """One box, straight from the rows: the flagship query."""
-    _, hist = grid(spark, d)
-    return sat.region_filter(hist, LO, HI)
+    """One box, straight from the rows: the flagship query. The box along axis 0 is a range of the raw column too, which the scan can prune by."""
+    rows = points(spark, d)
+    spec = GridSpec((50, 11), B).with_range(rows, "value")
+    within = lineitem(spark, d).filter((F.col("l_quantity") >= LO[0] + 2) & (F.col("l_quantity") < HI[0] + 2))
+    return sat.region_filter(cells.linear_histogram(_placed(within, 2), spec), LO, HI)
 
 
 @query(_with(_BRUTE, _BOXES))
@@ -423,6 +496,32 @@ def region_hist_unmerged(spark, d):
     return _region(spark, d, False)
 
 
+_SWEEP = """,
+ boxes AS (SELECT CAST(8192 * k + range AS INTEGER) AS qid, CAST((range * 2654435761 + 12345) % 2147483647 % (50 - e0) AS INTEGER) AS lo0, CAST((range * 2654476264 + 24690) % 2147483647 % (11 - e1) AS INTEGER) AS lo1,
+   lo0 + e0 AS hi0, lo1 + e1 AS hi1 FROM range(8192), (VALUES (0, 1, 1), (1, 4, 4), (2, 16, 10)) w(k, e0, e1))"""
+
+
+def _sweep(spark, d):
+    spec, found = coefs(spark, d)
+    asked = [sat.random_boxes(spark, spec, window, 8192, 8192 * k) for k, window in enumerate((1, 4, 16))]
+    return spec, found, asked[0].union(asked[1]).union(asked[2])
+
+
+@query(_with(_BRUTE, _SWEEP))
+def region_sweep(spark, d):
+    """8192 boxes of each of three window lengths, answered together from coefficients."""
+    spec, found, asked = _sweep(spark, d)
+    return wavelet.region_sums(found, asked, spec).select("qid", "bin", F.round("h").cast("long").alias("h"))
+
+
+@query(_with(f"SELECT * FROM ({_BRUTE}) WHERE h <> 0", _SWEEP))
+def region_sweep_sat(spark, d):
+    """The same boxes from summed-area tables."""
+    spec, hist = grid(spark, d)
+    _, _, asked = _sweep(spark, d)
+    return sat.region_sums(sat.sat(hist, spec), asked, spec).filter("h <> 0")
+
+
 _VIEW = """,
  boxes AS (SELECT CAST(range AS INTEGER) AS qid, CAST(greatest(0, least(49, range * 9 - 20)) AS INTEGER) AS lo0, CAST(greatest(0, least(10, range - 3)) AS INTEGER) AS lo1,
    CAST(greatest(0, least(49, range * 9 - 20 + 15)) AS INTEGER) AS hi0, CAST(greatest(0, least(10, range - 3 + 5)) AS INTEGER) AS hi1 FROM range(12))"""
@@ -566,53 +665,92 @@ def compression_stats(spark, d):
     return wavelet.compression(found, spec).select("n_values", F.round("ratio", 6).alias("ratio"), F.round("overhead", 6).alias("overhead"))
 
 
-@query()
+@query(
+    f"""WITH {_BOXES.strip().removeprefix(",").strip()},
+ f0 AS (SELECT CAST(range AS INTEGER) AS l0, CAST(pow(2, 7 - range) AS INTEGER) AS w0 FROM range(7)), f1 AS (SELECT CAST(range AS INTEGER) AS l1, CAST(pow(2, 5 - range) AS INTEGER) AS w1 FROM range(5)),
+ c AS (SELECT qid, x0, x1, a.s * b.s AS s FROM (SELECT qid, hi0 AS x0, 1 AS s FROM boxes UNION ALL SELECT qid, lo0, -1 FROM boxes) a
+   JOIN (SELECT qid, hi1 AS x1, 1 AS s FROM boxes UNION ALL SELECT qid, lo1, -1 FROM boxes) b USING (qid) WHERE x0 >= 0 AND x1 >= 0),
+ k AS (SELECT qid, l0, l1, x0 // w0 AS k0, x1 // w1 AS k1, sum(s * CASE WHEN l0 = 0 THEN 2.0e0 / w0 WHEN x0 % w0 < w0 // 2 THEN 1.0e0 / w0 ELSE -1.0e0 / w0 END
+   * CASE WHEN l1 = 0 THEN 2.0e0 / w1 WHEN x1 % w1 < w1 // 2 THEN 1.0e0 / w1 ELSE -1.0e0 / w1 END) AS s FROM c, f0, f1 GROUP BY ALL HAVING s <> 0)
+SELECT min(n) AS least, max(n) AS most, round(avg(n), 6) AS mean FROM (SELECT qid, count(*) AS n FROM k GROUP BY qid)"""
+)
 def coefficient_fetches(spark, d):
-    return wavelet.fetches(boxes(spark), GridSpec((50, 11), B))
+    return wavelet.fetches(boxes(spark), GridSpec((50, 11), B)).withColumn("mean", F.round("mean", 6))
 
 
-@query(_with("SELECT * FROM coefs WHERE k0 * pow(2, 7 - greatest(l0, 1)) >= 50 OR k1 * pow(2, 5 - greatest(l1, 1)) >= 11", _COEF))
+@query(_with("SELECT * FROM coefs WHERE k0 * pow(2, 7 - greatest(l0, 1)) >= 30 OR k1 * pow(2, 5 - greatest(l1, 1)) >= 7", _COEF))
 def out_of_domain_coefs(spark, d):
+    """Of the main grid's coefficients those beyond its first 30 x 7 cells: what a store holds too much if its data ends there."""
     spec, found = coefs(spark, d)
-    return wavelet.outside(found, spec)
+    return wavelet.outside(found, spec, (30, 7))
 
 
 @query(
-    _with("SELECT k0, k1, round(sum(bin * abs(ic)) * 1.0e0 / sum(abs(ic)), 6) AS mean, round((ln(sum(abs(ic))) - sum(abs(ic) * ln(abs(ic))) / sum(abs(ic))) / ln(2), 6) AS entropy, count(*) AS n FROM coefs WHERE l0 = 5 AND l1 = 3 GROUP BY k0, k1", _COEF)
+    _with("SELECT k0, k1, round(sum(bin * abs(ic)) * 1.0e0 / sum(abs(ic)), 6) AS mean, round((ln(sum(abs(ic))) - sum(abs(ic) * ln(abs(ic))) / sum(abs(ic))) / ln(2), 6) AS entropy, count(*) AS n, round(sqrt(greatest(sum(bin * bin * abs(ic)) * 1.0e0 / sum(abs(ic)) - (sum(bin * abs(ic)) * 1.0e0 / sum(abs(ic))) * (sum(bin * abs(ic)) * 1.0e0 / sum(abs(ic))), 0)), 6) AS stddev FROM coefs WHERE l0 = 5 AND l1 = 3 GROUP BY k0, k1", _COEF)
 )
 def block_statistics(spark, d):
     spec, found = coefs(spark, d)
     values = wavelet.block_values(found, spec, 2)
-    return values.groupBy("k0", "k1").agg(F.round(fields.stat_mean(), 6).alias("mean"), F.round(fields.stat_entropy(), 6).alias("entropy"), fields.stat_count().alias("n"))
+    return values.groupBy("k0", "k1").agg(F.round(fields.stat_mean(), 6).alias("mean"), F.round(fields.stat_entropy(), 6).alias("entropy"), fields.stat_count().alias("n"), F.round(fields.stat_stddev(), 6).alias("stddev"))
 
 
 @query("WITH n AS (SELECT p_size, count(*) AS w FROM part GROUP BY p_size) SELECT CAST(range AS INTEGER) AS x0, CAST(coalesce((SELECT sum(w) FROM n WHERE p_size <= range + 1), 0) AS DOUBLE) AS s FROM range(64)")
 def idwt_1d(spark, d):
-    """A scanline of prefix sums, transformed and transformed back."""
+    """The inverse transform of coefficients that encode makes by aggregation: prefix sums."""
     counts = spark.read.parquet(f"{d}/part.parquet").groupBy((F.col("p_size") - 1).alias("x0")).agg(F.count(F.lit(1)).alias("w"))
-    line = spark.range(64).select(F.col("id").cast("int").alias("x0")).join(counts, "x0", "left").select(F.lit(0).alias("line"), "x0", F.coalesce("w", F.lit(0)).alias("w"))
-    sums = line.withColumn("s", F.sum("w").over(Window.partitionBy("line").orderBy("x0")).cast("double")).drop("w")
-    there = wavelet.haar_scanlines(sums, "line", "x0", "s", 64)
+    line = GridSpec((50,), 1)
+    found = wavelet.encode(counts.withColumn("bin", F.lit(0)), line)
+    at = binning.global_index(F.col("l0"), F.col("k0")).cast("int")
+    there = found.select(F.lit(0).alias("line"), at.alias("x0"), wavelet.coefficient(line).alias("s"))
     return wavelet.haar_scanlines(there, "line", "x0", "s", 64, inverse=True).select("x0", F.round("s", 6).alias("s"))
 
 
 @query(
     _with(
-        "SELECT l0 AS l, k0 AS k, bin, round(ic * sqrt(CASE WHEN l0 > 0 THEN pow(2, l0 - 1) ELSE 1 END) / 8, 6) AS coef FROM coefs WHERE l1 = 0 AND bin = 3",
+        "SELECT l0 AS l, k0 AS k, bin, round(ic * sqrt(CASE WHEN l0 > 0 THEN pow(2, l0 - 1) ELSE 1 END) / 8, 6) AS coef FROM coefs WHERE l1 = 0",
         _COEF.replace("FROM hist,", "FROM (SELECT x0, 15 AS x1, bin, sum(w) AS w FROM hist GROUP BY x0, bin) hist,"),  # at 15 the second axis weighs 1
     )
 )
-def encode_sat_dwt(spark, d):
-    """The dense route: prefix sums of one bin along axis 0, then the orthonormal transform; equal to what encode gives by aggregation."""
+def dwt_1d(spark, d):
+    """The dense route along one axis: prefix sums of every bin along axis 0, then the orthonormal transform; equal to what encode gives by aggregation."""
     spec, hist = grid(spark, d)
     line = GridSpec((50,), B)
-    sums = sat.sat(hist.groupBy("x0", "bin").agg(F.sum("w").alias("w")), line).filter("bin = 3")
+    sums = sat.sat(hist.groupBy("x0", "bin").agg(F.sum("w").alias("w")), line)
     last = sums.filter("x0 = 49").select(F.explode(F.sequence(F.lit(50), F.lit(63))).alias("x0"), "bin", "s")  # beyond the data the sums stay
     out = wavelet.haar_scanlines(sums.select("bin", "x0", "s").union(last.select("bin", "x0", "s")), "bin", "x0", "s", 64)
     level, k = binning.address(F.col("x0").cast("long"))
     return out.select(level.alias("l"), k.cast("int").alias("k"), "bin", (F.round("s", 6) + 0.0).alias("coef")).filter("coef <> 0")
 
 
+@query(_with("SELECT * FROM coefs", _COEF))
+def encode_sat_dwt(spark, d):
+    """The dense route over all axes and bins: summed-area tables, then scanlines transformed axis by axis."""
+    spec, hist = grid(spark, d)
+    return wavelet.dense_encode(hist, spec)
+
+
+@query(
+    _with(
+        """SELECT l0, l1, k0, k1, bin, round(ic, 4) AS ic FROM enc, low WHERE abs(ic) * sqrt(CASE WHEN l0 > 0 THEN pow(2, l0 - 1) ELSE 1 END) * sqrt(CASE WHEN l1 > 0 THEN pow(2, l1 - 1) ELSE 1 END) / 32 > least / 32""",
+        _SPECTRUM,
+        ",\n low AS (SELECT min(w) AS least FROM spec WHERE w > 1e-9)",
+        _COEF.replace("FROM hist,", "FROM (SELECT * FROM spec WHERE w > 1e-9) hist,").replace("AS BIGINT) AS ic", "AS DOUBLE) AS ic").replace(" coefs AS", " enc AS").replace("GROUP BY ALL HAVING ic <> 0", "GROUP BY ALL"),
+    )
+)
+def encode_contour_spectrum(spark, d):
+    """Coefficients of a grid with fractional weights in many bins a cell; what is below the smallest weight's threshold is dropped as rounding."""
+    hist = _spectrum(spark, d).filter("w > 1e-9")
+    spec = GridSpec((50, 11), B)
+    least = hist.agg(F.min("w")).first()[0] or 0.0
+    return wavelet.thresholded(wavelet.encode(hist, spec), spec, spec.threshold * least).withColumn("ic", F.round("ic", 4))
+
+
+@query(_with("SELECT CAST(range AS INTEGER) AS bin, coalesce(ic, 0) AS ic FROM range(8) LEFT JOIN (SELECT bin, ic FROM coefs WHERE l0 = 6 AND l1 = 4 AND k0 = 3 AND k1 = 2) ON bin = range", _COEF))
+def coef_full(spark, d):
+    spec, found = coefs(spark, d)
+    return wavelet.coef_full(found, spec, (6, 4), (3, 2))
+
+
 # Block tree
 
 _EXTENT = ", ".join(f"CAST(k{i} * {n}.0e0 / pow(2, greatest(level - 1, 0)) AS INTEGER) AS lo{i}, CAST((k{i} + 1) * {n}.0e0 / pow(2, greatest(level - 1, 0)) AS INTEGER) AS hi{i}" for i, n in ((0, 64), (1, 16)))
@@ -734,10 +872,10 @@ _CLAMPED = """,
 def apply_filter(spark, d):
     spec, hist = grid(spark, d)
 
-    def mean(h: np.ndarray) -> float:
-        return float(h @ np.arange(len(h)) / h.sum()) if h.sum() else 0.0
+    def means(h: np.ndarray) -> np.ndarray:
+        return h @ np.arange(h.shape[1]) / np.maximum(h.sum(axis=1), 1)
 
-    return udf.apply_filter(hist, spec, mean, (-2, -2), (2, 2)).withColumn("v", F.round("v", 6))
+    return udf.apply_filter(hist, spec, means, (-2, -2), (2, 2), batched=True).withColumn("v", F.round("v", 6))
 
 
 @query(_stat_sql("round(sqrt(sum(CAST(w AS DOUBLE) * w)) / sum(w), 6)"))
@@ -763,9 +901,9 @@ SELECT l0, l1, CAST(x0 // w0 AS INTEGER) AS k0, CAST(x1 // w1 AS INTEGER) AS k1,
    * CASE WHEN l1 = 0 THEN w1 // 2 - x1 % w1 WHEN x1 % w1 < w1 // 2 THEN -(x1 % w1) ELSE -(w1 - x1 % w1) END) AS BIGINT) AS ic FROM h, f0, f1 GROUP BY ALL HAVING ic <> 0"""
 
 
-def _events(spark, d, dealt: str) -> DataFrame:
+def _events(spark, d, dealt: str, events: DataFrame | None = None) -> DataFrame:
     """events as a stream of four files, one to a micro-batch."""
-    rows = spark.read.parquet(f"{d}/events.parquet").select(
+    rows = (spark.read.parquet(f"{d}/events.parquet") if events is None else events).select(
         (F.col("user_id") % 16).cast("int").alias("x0"), (F.col("event_id") % 8).cast("int").alias("x1"), (F.length("event_type") % 4).cast("int").alias("bin")
     )
     rows.repartition(4).write.mode("overwrite").parquet(dealt)
@@ -782,12 +920,26 @@ def streaming_encode(spark, d):
 
 @query(_STREAM_SQL)
 def streaming_update(spark, d):
-    """One running aggregation over the stream, as its last complete result."""
-    spec, where, name = GridSpec((16, 8), 4), scratch(spark, "stream"), "latticework_" + scratch(spark, "q")[-8:]
+    """One running aggregation over the stream; each micro-batch stores what it changes."""
+    spec, where = GridSpec((16, 8), 4), scratch(spark, "stream")
     table = incremental.encode_stream(_events(spark, d, f"{where}/in"), spec)
-    run = table.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name).filter("ic <> 0")
+    incremental.store_updates(table, f"{where}/sums", f"{where}/state").start().awaitTermination()
+    return incremental.latest(spark.read.parquet(f"{where}/sums"), spec)
+
+
+@query(
+    """WITH c AS (SELECT DISTINCT CAST(user_id % 16 AS INTEGER) AS x0, CAST(event_id % 8 AS INTEGER) AS x1 FROM events WHERE event_id % 16 < 12),
+ f0 AS (SELECT CAST(range AS INTEGER) AS l0, CAST(pow(2, 5 - range) AS INTEGER) AS w0 FROM range(5)), f1 AS (SELECT CAST(range AS INTEGER) AS l1, CAST(pow(2, 4 - range) AS INTEGER) AS w1 FROM range(4))
+SELECT l0, l1, CAST(x0 // w0 AS INTEGER) AS k0, CAST(x1 // w1 AS INTEGER) AS k1, count(*) AS seen, CAST(least(w0, 16) * least(w1, 8) AS BIGINT) AS expected, count(*) >= least(w0, 16) * least(w1, 8) AS done
+FROM c, f0, f1 GROUP BY l0, l1, w0, w1, x0 // w0, x1 // w1"""
+)
+def complete_in_stream(spark, d):
+    """Which coefficients are final after a stream of cells with many rows and bins each."""
+    spec, where = GridSpec((16, 8), 4), scratch(spark, "stream")
+    rows = spark.read.parquet(f"{d}/events.parquet").filter("event_id % 16 < 12")
+    arriving = _events(spark, d, f"{where}/in", rows)
+    incremental.store_cells(arriving, spec, f"{where}/cells", f"{where}/state").start().awaitTermination()
+    return incremental.complete(spark.read.parquet(f"{where}/cells"), spec)
 
 
 @query(

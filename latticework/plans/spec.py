@@ -65,8 +65,10 @@ class GridSpec:
         return tuple(self.padded(d) for d in range(len(self.dims))) if padded else self.dims
 
     def with_range(self, df: DataFrame, value: str) -> GridSpec:
-        """With the range found by one scan of a column (one row comes back)."""
-        row = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi")).first()
+        """With the range found by one scan of a column (one row comes back). NaN counts as null; without values the range is None, and no value has a bin."""
+        v = F.col(value).cast("double")
+        v = F.when(~F.isnan(v), v)
+        row = df.agg(F.min(v).alias("lo"), F.max(v).alias("hi")).first()
         return replace(self, vmin=row["lo"], vmax=row["hi"])
 
     def table(self, spark: SparkSession) -> DataFrame:

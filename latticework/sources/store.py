@@ -7,21 +7,33 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
-def write_coefs(coefs: DataFrame, path: str, compression: str = "zstd") -> None:
+def _writer(df: DataFrame, compression: str, level: int | None):
+    """A Parquet writer with a codec and, for gzip (1 to 9) and zstd (1 to 22), its level."""
+    out = df.write.mode("overwrite").option("compression", compression)
+    if level is None:
+        return out
+    if compression not in ("gzip", "zstd"):
+        raise ValueError("only gzip and zstd have levels")
+    names = {"zstd": "parquet.compression.codec.zstd.level", "gzip": "zlib.compress.level"}
+    gzip = ["DEFAULT_COMPRESSION", "BEST_SPEED", "TWO", "THREE", "FOUR", "FIVE", "SIX", "SEVEN", "EIGHT", "BEST_COMPRESSION"]
+    return out.option(names[compression], level if compression == "zstd" else gzip[level])
+
+
+def write_coefs(coefs: DataFrame, path: str, compression: str = "zstd", level: int | None = None) -> None:
     """Partitioned by the levels of axis 0, sorted by address: a lookup reads one folder and few row groups."""
-    coefs.repartition("l0", "l1" if "l1" in coefs.columns else "k0").sortWithinPartitions(*[c for c in coefs.columns if c[0] in "lk" and c[1:].isdigit()]).write.option(
-        "compression", compression
-    ).partitionBy("l0").mode("overwrite").parquet(path)
+    keys = [c for c in coefs.columns if c[0] in "lk" and c[1:].isdigit()]
+    rows = coefs.repartition("l0", "l1" if "l1" in coefs.columns else "k0").sortWithinPartitions(*keys)
+    _writer(rows, compression, level).partitionBy("l0").parquet(path)
 
 
-def write_sat(table: DataFrame, path: str, compression: str = "zstd") -> None:
-    table.repartition("bin", "x0").sortWithinPartitions("bin", "x0").write.option("compression", compression).partitionBy("bin").mode("overwrite").parquet(path)
+def write_sat(table: DataFrame, path: str, compression: str = "zstd", level: int | None = None) -> None:
+    _writer(table.repartition("bin", "x0").sortWithinPartitions("bin", "x0"), compression, level).partitionBy("bin").parquet(path)
 
 
-def write_bins(hist: DataFrame, path: str, axes: list[str], nested: bool = False, compression: str = "zstd") -> None:
+def write_bins(hist: DataFrame, path: str, axes: list[str], nested: bool = False, compression: str = "zstd", level: int | None = None) -> None:
     """Cell histograms, as rows or (nested) one row per cell with an array of (bin, w)."""
     out = hist.groupBy(*axes).agg(F.array_sort(F.collect_list(F.struct("bin", "w"))).alias("bins")) if nested else hist
-    out.write.option("compression", compression).mode("overwrite").parquet(path)
+    _writer(out, compression, level).parquet(path)
 
 
 def read_bins(spark: SparkSession, path: str) -> DataFrame:
@@ -44,6 +56,13 @@ def volume_slice(volume: DataFrame, fixed: dict[str, int], keep: list[str], valu
     return volume.filter(at).select(*(F.col(c).cast("int").alias(f"x{d}") for d, c in enumerate(keep)), F.col(value).cast("double").alias("value"))
 
 
+def vector_slice(volume: DataFrame, fixed: dict[str, int], keep: list[str], u: str, v: str, missing: float | None = None) -> DataFrame:
+    """(x0 .., u, v) of a slice of a volume with two components; a component that equals ``missing`` is null."""
+    at = reduce(lambda a, b: a & b, [F.col(c) == x for c, x in fixed.items()])
+    component = lambda c: F.col(c).cast("double") if missing is None else F.when(F.col(c) != missing, F.col(c).cast("double"))
+    return volume.filter(at).select(*(F.col(c).cast("int").alias(f"x{d}") for d, c in enumerate(keep)), component(u).alias("u"), component(v).alias("v"))
+
+
 def clamped_range(cells: DataFrame) -> DataFrame:
     """(vmin, vmax) with vmin not below 0."""
     return cells.agg(F.greatest(F.min("value"), F.lit(0.0)).alias("vmin"), F.max("value").alias("vmax"))

@@ -42,10 +42,30 @@ def merged(stored: DataFrame, spec: GridSpec) -> DataFrame:
     return stored.groupBy(*spec.keys, "bin").agg(F.sum("ic").alias("ic")).filter("ic <> 0")
 
 
+def store_updates(table: DataFrame, path: str, checkpoint: str):
+    """A query that writes what each micro-batch changes of a running aggregation to ``path`` under its number; a batch that is tried again replaces itself."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return table.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
+def latest(stored: DataFrame, spec: GridSpec) -> DataFrame:
+    """The coefficients that store_updates has written, as their last batch left them."""
+    return stored.groupBy(*spec.keys, "bin").agg(F.max_by("ic", "batch").alias("ic")).filter("ic <> 0")
+
+
+def store_cells(points: DataFrame, spec: GridSpec, path: str, checkpoint: str):
+    """A query that appends every cell to ``path`` when it first comes, however many rows and bins it has: a stateful deduplication by cell, and the file sink's exactly-once log."""
+    cells = points.select(*spec.axes).dropDuplicates(spec.axes)
+    return cells.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
 def complete(points: DataFrame, spec: GridSpec) -> DataFrame:
     """(l.., k.., seen, expected, done): how many of the cells under each coefficient have come; done ones can't change any more.
 
-    points has one row per cell. Cells beyond the data count as having come.
+    points has one row per cell (of cells with many rows or bins, the distinct ones; of a stream, what store_cells has written). Cells beyond the data count as having come.
     """
     out = points.select(*spec.axes).withColumn("n", F.lit(1))
     for d in range(len(spec.dims)):

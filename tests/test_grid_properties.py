@@ -8,9 +8,10 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from latticework.functions import binning
-from latticework.operators import cells, fields, sat, tree, wavelet
+from latticework.operators import cells, fields, sat, tree, udf, wavelet
 from latticework.plans import queries
 from latticework.plans.spec import GridSpec
+from latticework.sources import store
 
 DATA = "/root/testdata/sf0.001"
 
@@ -154,3 +155,58 @@ def test_dense_route_on_the_main_grid(spark):
 
 def test_contour_spectrum_of_the_whole_volume(spark):
     assert queries.contour_spectrum_3d(spark, DATA).agg(F.sum("w")).first()[0] == pytest.approx(63**3)
+
+
+def test_values_without_a_bin(spark):
+    rows = spark.createDataFrame([(0, 1.0), (0, None), (1, float("nan")), (1, 3.0), (None, 2.0), (1, 99.0)], "x0 int, value double")
+    spec = GridSpec((2,), 2).with_range(rows.filter("value < 4 or value is null or isnan(value)"), "value")
+    assert (spec.vmin, spec.vmax) == (1.0, 3.0)
+    found = rows.select("value", binning.bin_linear(F.col("value"), spec.vmin, spec.vmax, 2).alias("bin")).collect()
+    assert [r["bin"] for r in found] == [0, None, None, 1, 1, 1]
+    assert sorted(map(tuple, cells.linear_histogram(rows, spec).collect())) == [(0, 0, 1), (1, 1, 2)]
+
+
+def test_empty_grids(spark):
+    for rows in (spark.createDataFrame([], "x0 int, x1 int, value double"), spark.createDataFrame([(0, 1, None)], "x0 int, x1 int, value double")):
+        spec = GridSpec((3, 5), 4).with_range(rows, "value")
+        assert spec.vmin is None and spec.vmax is None
+        hist = cells.linear_histogram(rows, spec)
+        assert hist.count() == 0 and wavelet.encode(hist, spec).count() == 0
+        assert {r["s"] for r in sat.sat(hist, spec).collect()} == {0}
+        assert {r["v"] for r in fields.entropy_field(hist, spec, (-1, -1), (1, 1)).collect()} == {0.0}
+
+
+def test_shares_of_simplices():
+    """The closed forms against counted points, equal vertices included."""
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3):
+        inside = rng.dirichlet(np.ones(n + 1), 200_000)
+        for values in (rng.random(n + 1), np.repeat(rng.random(), n + 1), np.array([0.2, 0.2, 0.7, 0.9][: n + 1]), np.array([0.1, 0.6, 0.6, 0.6][: n + 1])):
+            t = np.linspace(-0.1, 1.1, 7)
+            got = binning.below(values[None], t[None])[0]
+            want = (inside @ values < t[:, None] - 1e-12).mean(axis=1)
+            assert np.abs(got - want).max() < 0.01 and (np.diff(got) >= -1e-12).all()
+
+
+def test_filters_one_by_one_and_batched(spark):
+    rng = np.random.default_rng(8)
+    full = rng.integers(0, 4, (6, 5, 3))
+    spec = GridSpec((6, 5), 3)
+    hist = spark.createDataFrame([(i, j, b, int(full[i, j, b])) for i in range(6) for j in range(5) for b in range(3) if full[i, j, b]], "x0 int, x1 int, bin int, w long")
+    want = {}
+    for i in range(6):
+        for j in range(5):
+            a, b, c, d = max(0, i - 2), min(5, i + 1), max(0, min(4, j + 1)), min(4, j + 2)
+            want[i, j] = float(full[a + 1 : b + 1, c + 1 : d + 1].sum(axis=(0, 1)) @ [1, 10, 100])
+    for function, batched in ((lambda h: h @ [1, 10, 100], True), (lambda h: h[0] + 10 * h[1] + 100 * h[2], False)):
+        got = udf.apply_filter(hist, spec, function, (-2, 1), (1, 2), batched)
+        assert {(r["x0"], r["x1"]): r["v"] for r in got.collect()} == want
+
+
+def test_stores_with_a_level(spark, tmp_path):
+    hist = spark.range(20000).select((F.col("id") % 50).cast("int").alias("x0"), (F.hash("id") % 7).alias("bin"), F.xxhash64("id").alias("w"))
+    for name, level in (("gzip", 1), ("gzip", 9), ("zstd", 3), ("zstd", 19)):
+        store.write_bins(hist, f"{tmp_path}/{name}{level}", ["x0"], compression=name, level=level)
+        assert store.read_bins(spark, f"{tmp_path}/{name}{level}").exceptAll(hist).count() == 0
+    with pytest.raises(ValueError):
+        store.write_bins(hist, f"{tmp_path}/snappy", ["x0"], compression="snappy", level=3)

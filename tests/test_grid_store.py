@@ -35,3 +35,16 @@ def test_fields_and_blocks(spark, path, tmp_path):
     main(["query", path, "--box", "10,2", "30,8", "--route", "sat", "--out", str(tmp_path / "out")], spark)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 4
     main(["stats", path], spark)
+
+
+def test_random_boxes_contours_and_bins_only(spark, path, tmp_path):
+    for route in ("coefs", "bins"):
+        main(["query", path, "--random", "50", "--window", "4", "--route", route, "--out", str(tmp_path / route)], spark)
+    found = [{(r["qid"], r["bin"]): round(r["h"]) for r in spark.read.parquet(str(tmp_path / route)).collect()} for route in ("coefs", "bins")]
+    assert found[0] == found[1] and len({q for q, _ in found[0]}) > 10
+    common = ["--coords", "cast(l_quantity as int) - 1", "cast(round(l_discount * 100) as int)", "--value", "l_extendedprice", "--dims", "50,11", "--n-bins", "4"]
+    main(["encode", LINEITEM, str(tmp_path / "c"), *common, "--contour", "--only", "bins", "--compression", "gzip", "--level", "9"], spark)
+    grid = GridStore(spark, str(tmp_path / "c"))
+    shares = grid.bins.groupBy("x0", "x1").agg({"w": "sum"}).collect()
+    assert len(shares) > 400 and all(abs(r["sum(w)"] - 1) < 1e-9 for r in shares)
+    assert not (tmp_path / "c" / "coefs").exists()
