@@ -418,6 +418,7 @@ def near_duplicates(
     for turn in range(nearest):
         near = shared.written(_compared(in_blocks(mixed(labelled(first_level)), block, False), most, percent, True).select("a", "b").distinct(), f"nd-near{turn}")
         links = links.union(confirmed(near, rows, percent, f"nd-near{turn}"))
+        shared.drop(near, labels)
         labels = components(links, f"nd-near{turn}")
 
     open_nodes, leaves, levels = labelled(first_level), [], []
@@ -435,6 +436,7 @@ def near_duplicates(
     found = shared.written(_compared(in_blocks(reduce(DataFrame.union, leaves), block, True), most, percent, False), "nd-found")
     links = links.union(confirmed(found.filter("node is null").select("a", "b").distinct(), rows, percent, "nd-pairs"))
     links = links.union(_confirmed_groups(found.filter("node is not null"), rows, percent, "nd-groups"))
+    shared.drop(labels)
     labels = components(links, "nd-all")
     shared.drop(shared_nodes, pivots, stars, links, found, *levels, *small)
 
@@ -444,7 +446,10 @@ def near_duplicates(
     shared.drop(classes, labels)
     full = signed.filter("n_shingles > 0").select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2"]).select("doc_id", "n_shingles", "component_id")
     empty = signed.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return full.union(empty).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    found = full.union(empty).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    found = shared.written(found, "nd-result")  # four small columns, so that the signatures can go
+    shared.drop(signed, named)
+    return found
 
 
 def op3_near_duplicates(spark, sf_dir: str) -> DataFrame:
