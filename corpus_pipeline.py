@@ -17,8 +17,12 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """The stages over documents, each written as Parquet in the shared folder and read again."""
+    """The stages over documents, each written as Parquet in the shared folder and read again; what the last one made stays, the others' tables go."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
         docs = shared.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            shared.drop(before)
+        before = docs
     return docs
