@@ -155,7 +155,7 @@ def test_search_is_exact(spark, monkeypatch):
 
 def test_search_in_tasks_of_several_shards(spark, monkeypatch):
     """Small shards, several in a task, thresholds from a shard searched beforehand, few queries at a time; a long text alone in its shard."""
-    for name, value in (("SHARD_DOCS", 20), ("SHARD_WORDS", 2000), ("SEED_SHARDS", 1), ("WORK", 500), ("BLOCK_QUERIES", 7), ("FIRST_PIVOTS", 1)):
+    for name, value in (("SHARD_DOCS", 20), ("SHARD_WORDS", 2000), ("SEED_FILES", 2), ("WORK", 500), ("BLOCK_QUERIES", 7), ("FIRST_PIVOTS", 1)):
         monkeypatch.setattr(bm25, name, value)
     rng = random.Random(12)
     vocabulary = [f"w{int(rng.paretovariate(0.6))}" for _ in range(3000)]
