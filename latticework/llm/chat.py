@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: One turn as text; {role} and {text} are filled in.
 OPEN, CLOSE = ("<|", "|>\n"), "\n"
@@ -13,27 +13,19 @@ def rendered(role: Column, text: Column) -> Column:
     return F.concat(F.lit(OPEN[0]), F.coalesce(role, F.lit("")), F.lit(OPEN[1]), F.coalesce(text, F.lit("")), F.lit(CLOSE))
 
 
-def preference_pairs(chosen: DataFrame, rejected: DataFrame, learn: str = "assistant") -> DataFrame:
-    """One row per pair: pair_id, n_common, prompt, chosen, rejected, chosen_mask, rejected_mask.
-
-    chosen and rejected hold the turns of each pair's two conversations: (pair_id, turn, role, text). Turns are put in order of (turn, role, text) and
-    numbered; the common prefix is the longest run of numbers at which role and text agree in both (null equals null, the turn column doesn't count).
-    It is rendered once, as prompt; chosen and rejected are what follows, and their masks give for each of its turns [characters, 1 or 0]: 1 where
-    the turn is ``learn``'s and so counts in the loss. A conversation that is a prefix of the other leaves an empty completion with an empty mask;
-    a pair with only one side has all its turns as completion, and an empty other side. Rows without pair_id are left out. Repeated turns are turns. Empty
-    tables give no pairs; other columns are ignored.
-    Each pair is one row of two arrays, no larger than its two conversations; pairs, not conversations, are spread over tasks.
-    """
-    turn = F.struct(F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+def _turn() -> Column:
+    return F.struct(F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
 
-    def side(df: DataFrame, number: int) -> DataFrame:
-        return df.filter("pair_id is not null").select("pair_id", F.lit(number).alias("side"), turn.alias("t"))
 
-    def turns(number: int) -> Column:
-        own = F.array_sort(F.collect_list(F.when(F.col("side") == number, F.col("t"))))
-        return F.transform(own, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+def format_pairs(pairs: DataFrame, learn: str = "assistant") -> DataFrame:
+    """One row per row of (pair_id, c, r): pair_id, n_common, prompt, chosen, rejected, chosen_mask, rejected_mask.
 
-    pairs = side(chosen, 0).union(side(rejected, 1)).groupBy("pair_id").agg(turns(0).alias("c"), turns(1).alias("r"))
+    c and r are arrays of turns in order, with role and text. The common prefix is the longest run of places at which role and text agree in both (null
+    equals null, the turns' numbers don't count). It is rendered once, as prompt; chosen and rejected are what follows, and their masks give for each of its turns
+    [characters, 1 or 0]: 1 where the turn is ``learn``'s and so counts in the loss. A side that is a prefix of the other leaves an empty completion with an empty mask.
+    """
+    bare = lambda k: F.transform(k, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias(k)
+    pairs = pairs.select("pair_id", bare("c"), bare("r"))
     both = F.least(F.size("c"), F.size("r"))
     agree = F.transform(F.slice("c", 1, both), lambda t, i: t.eqNullSafe(F.get(F.col("r"), i)))
     first = F.array_position(agree, False)
@@ -54,24 +46,42 @@ def preference_pairs(chosen: DataFrame, rejected: DataFrame, learn: str = "assis
     )
 
 
-def swapped_answers(turns: DataFrame, learn: str = "assistant") -> DataFrame:
-    """Rejected sides made from conversations: (pair_id, turn, role, text) of every conversation's turns before its last answer, then another's last answer.
+def preference_pairs(chosen: DataFrame, rejected: DataFrame, learn: str = "assistant") -> DataFrame:
+    """format_pairs of two tables of turns (pair_id, turn, role, text), the two conversations of each pair.
 
-    turns: (conv_id, turn, role, text). The last answer is ``learn``'s turn with the largest number, of equals the largest text (null is smallest). The other
-    conversation is the one whose id differs in the last bit; where it has no answer, or isn't there, the rejected side ends before the answer. Conversations
-    without an answer are whole. Turns without number come first. Rows without conv_id are left out; repeated turns are turns.
+    Turns are put in order of (turn, role, text) and numbered. A pair with only one side has all its turns as completion, and an empty other side. Rows
+    without pair_id are left out. Repeated turns are turns. Empty tables give no pairs; other columns are ignored.
+    Each pair is one row of two arrays, no larger than its two conversations; pairs, not conversations, are spread over tasks.
     """
-    own = Window.partitionBy("conv_id")
-    rows = turns.filter("conv_id is not null").select(
-        F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")
-    )
-    answer = F.struct("turn", "text")
-    rows = rows.withColumns({"answer": answer, "last": F.max(F.when(F.col("role") == learn, answer)).over(own)})
-    before = rows.filter(F.col("last").isNull() | F.coalesce(F.col("turn") < F.col("last.turn"), F.col("turn").isNull()))
-    lasts = rows.filter((F.col("role") == learn) & F.col("answer").eqNullSafe(F.col("last"))).groupBy("conv_id").agg(F.first("last").alias("last"))
-    other = lasts.select(F.col("conv_id").bitwiseXOR(F.lit(1).cast("long")).alias("conv_id"), F.col("last.text").alias("text"))
-    swapped = lasts.join(other, "conv_id").select("conv_id", "last.turn", F.lit(learn).alias("role"), "text")
-    return before.select("conv_id", "turn", "role", "text").union(swapped).withColumnRenamed("conv_id", "pair_id")
+
+    def side(df: DataFrame, number: int) -> DataFrame:
+        return df.filter("pair_id is not null").select("pair_id", F.lit(number).alias("side"), _turn().alias("t"))
+
+    def turns(number: int) -> Column:
+        return F.array_sort(F.collect_list(F.when(F.col("side") == number, F.col("t"))))
+
+    return format_pairs(side(chosen, 0).union(side(rejected, 1)).groupBy("pair_id").agg(turns(0).alias("c"), turns(1).alias("r")), learn)
+
+
+def swapped_pairs(turns: DataFrame, learn: str = "assistant") -> DataFrame:
+    """Pairs made from conversations, (pair_id, c, r): each conversation's turns, and its turns before its last answer with another's last answer.
+
+    turns: (conv_id, turn, role, text), put in order of (turn, role, text). The last answer is ``learn``'s turn with the largest number, of equals the largest text
+    (null is smallest). The other conversation is the one whose id differs in the last bit; where it has no answer, or isn't there, the rejected side ends before
+    the answer. Conversations without an answer are whole on both sides. Turns without number come first. Rows without conv_id are left out; repeated turns are turns.
+    A conversation is one row; turns are shuffled once, and beside them one answer of each conversation.
+    """
+    rows = turns.filter("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id"), _turn().alias("t"))
+    whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("c"))
+    answer = F.when(F.col("t.role") == learn, F.struct("t.turn", "t.text"))
+    others = rows.groupBy("conv_id").agg(F.max(answer).alias("a")).filter("a is not null")
+    others = others.select(F.col("conv_id").bitwiseXOR(F.lit(1).cast("long")).alias("conv_id"), F.struct("a.text").alias("other"))
+    own = F.array_max(F.transform(F.filter("c", lambda t: t["role"] == learn), lambda t: F.struct(t["turn"].alias("turn"), t["text"].alias("text"))))
+    pairs = whole.withColumn("last", own).join(others, "conv_id", "left")
+    before = F.filter("c", lambda t: F.col("last").isNull() | F.coalesce(t["turn"] < F.col("last.turn"), t["turn"].isNull()))
+    instead = F.struct(F.col("last.turn").alias("turn"), F.lit(learn).alias("role"), F.col("other.text").alias("text"))
+    swapped = F.when(F.col("last").isNotNull() & F.col("other").isNotNull(), F.array_sort(F.concat(before, F.array(instead)))).otherwise(before)
+    return pairs.select(F.col("conv_id").alias("pair_id"), "c", swapped.alias("r"))
 
 
 def op7_preference_format(spark, sf_dir: str) -> DataFrame:
@@ -80,7 +90,7 @@ def op7_preference_format(spark, sf_dir: str) -> DataFrame:
     Masks as text: characters:flag of each turn, joined by spaces.
     """
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    pairs = preference_pairs(turns.withColumnRenamed("conv_id", "pair_id"), swapped_answers(turns))
+    pairs = format_pairs(swapped_pairs(turns))
     flat = lambda k: F.array_join(F.transform(k, lambda m: F.concat_ws(":", m[0].cast("string"), m[1].cast("string"))), " ").alias(k)
     return pairs.select("pair_id", "n_common", "prompt", "chosen", "rejected", flat("chosen_mask"), flat("rejected_mask"))
 

@@ -352,14 +352,17 @@ def test_chat_swapped_answers(spark):
     ]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = collections.defaultdict(list)
-    for r in chat.swapped_answers(turns).collect():
-        got[r["pair_id"]].append((r["turn"], r["role"], r["text"]))
+    for r in chat.swapped_pairs(turns).collect():
+        got[r["pair_id"]] = [tuple(t) for t in r["r"]]
+        assert sorted(map(str, r["c"])) == sorted(str(x) for x in turns.filter(turns["conv_id"] == r["pair_id"]).select("turn", "role", "text").collect())
     key = lambda r: tuple((x is not None, x) for x in r)
     assert {k: sorted(v, key=key) for k, v in got.items()} == {
         0: [(0, "user", "q"), (1, "assistant", "c")], 1: [(0, "user", "q"), (1, "assistant", "a")], 2: [(0, "user", "x")], 3: [(0, "user", "y")],
-        6: [(None, "user", "u"), (1, "assistant", "e")], 7: [(0, "assistant", "d")],
+        4: [], 6: [(None, "user", "u"), (1, "assistant", "e")], 7: [(0, "assistant", "d")],
     }
-    assert chat.preference_pairs(turns.limit(0).withColumnRenamed("conv_id", "pair_id"), chat.swapped_answers(turns.limit(0))).count() == 0
+    assert chat.format_pairs(chat.swapped_pairs(turns.limit(0))).count() == 0
+    nothing = turns.limit(0).withColumnRenamed("conv_id", "pair_id")
+    assert chat.preference_pairs(nothing, nothing).count() == 0
     found = chat.op7_preference_format(spark, DATA).collect()
     assert sum(r["n_common"] > 0 for r in found) > 0.8 * len(found)
 
