@@ -33,8 +33,8 @@ WIDE_SPACES = [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202
 
 CHUNK_BYTES = 1 << 20
 #: A worker forgets its merged slices when they are more, or have more bytes together.
-CACHE_SLICES = 250_000
-CACHE_BYTES = 8 << 20
+CACHE_SLICES = 400_000
+CACHE_BYTES = 16 << 20
 #: Slices of more bytes are merged by a heap.
 SHORT_SLICE = 256
 
