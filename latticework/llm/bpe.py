@@ -142,6 +142,8 @@ class Vocabulary:
         self.added = added or {}  # strings that are one token wherever they stand in a text
         by_bytes = {t: i for i, t in tokens.items()}
         self.byte_ids = np.array([by_bytes[bytes([b])] for b in range(256)], np.int64)
+        if self.size > 1 << 20:
+            raise ValueError("a vocabulary may have 2^20 tokens")  # pairs are packed into one number
         keys = np.array([a << 20 | b for a, b in pairs], np.uint64)
         self.bits = max(4, int(len(keys) * 2.5).bit_length())
         self.keys = np.full(1 << self.bits, (1 << 64) - 1, np.uint64)
@@ -290,8 +292,8 @@ def rank_vocabulary(path: str) -> Vocabulary:
 
 
 @lru_cache(4)
-def merge_vocabulary(path: str) -> Vocabulary:
-    """From a tokenizer file with a list of merges, as byte-level BPE models have; its added tokens are found in texts, as the library does by default."""
+def merge_vocabulary(path: str, special: bool = True) -> Vocabulary:
+    """From a tokenizer file with a list of merges, as byte-level BPE models have; its added tokens are found in texts, as the library does by default (special)."""
     with open(path, encoding="utf-8") as f:
         whole = json.load(f)
     model = whole["model"]
@@ -304,7 +306,7 @@ def merge_vocabulary(path: str) -> Vocabulary:
         pairs[ids[left], ids[right]] = (rank, ids[left + right])
     added = {t["content"].encode(): t["id"] for t in whole.get("added_tokens") or []}
     tokens = {i: bytes(to_byte[c] for c in t) for t, i in ids.items() if t.encode() not in added}
-    return Vocabulary(tokens, pairs, False, added)
+    return Vocabulary(tokens, pairs, False, added if special else {})
 
 
 class Encoder:
@@ -392,9 +394,9 @@ class Encoder:
 
 
 @lru_cache(2)
-def encoder(path: str) -> Encoder:
-    """One encoder for each vocabulary file and Python worker."""
-    return Encoder(rank_vocabulary(path) if path.endswith(".tiktoken") else merge_vocabulary(path))
+def encoder(path: str, special: bool = True) -> Encoder:
+    """One encoder for each vocabulary file and Python worker; special: whether the strings of added tokens are these tokens."""
+    return Encoder(rank_vocabulary(path) if path.endswith(".tiktoken") else merge_vocabulary(path, special))
 
 
 def decode(vocabulary: Vocabulary, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bm25, bpe, chat, langid, licences, near_dup, packing, repetition, urls, warc
+from . import alignment, bm25, bpe, chat, langid, licences, near_dup, packing, pieces, repetition, urls, vector_codes, warc
 
 
 def queries():
@@ -19,6 +19,9 @@ def queries():
         "op8_best_fit_packing": packing.op8_best_fit_packing,
         "op9_warc": warc.op9_warc,
         "op10_language_id": langid.op10_language_id,
+        "op11_sentencepiece": pieces.op11_sentencepiece,
+        "op12_vector_codes": vector_codes.op12_vector_codes,
+        "op13_cross_tokenizer": alignment.op13_cross_tokenizer,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -30,4 +33,5 @@ def oracle_sql():
         "op6_url_filters": urls.OP6_SQL,
         "op7_preference_format": chat.OP7_SQL,
         "op9_warc": warc.OP9_SQL,
+        "op12_vector_codes": vector_codes.OP12_SQL,
     }
