@@ -9,7 +9,7 @@ token of either side: a piece is a link. Where both end, a group ends.
 * Counts and postings meet by id of side B. A stream is sorted by Spark, which spills: an id's counts come first (at most as many as side A has ids), its postings follow
   block by block, so a task holds one id's counts and one block. Ids with very many postings are dealt out to several tasks by a number in their key, and their
   counts are sent to each of these.
-* Each block gives what it adds to its documents; sums by document end the work.
+* Each block gives what it adds to its documents, as one row with arrays, to the task of the texts that the block came from, which sums by document.
 """
 
 from __future__ import annotations
@@ -77,11 +77,13 @@ def _spaced(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def postings(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """From (row, doc_id, text): a row (row, doc_id, n_a, n_b, n_groups, n_links, groups_sha256) for each document, and rows (b, rows, a, times) of postings, the other columns null."""
-    schema = f"row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, b int, rows array<long>, a array<int>, times array<int>"
+    """From (row, doc_id, text): a row (row, doc_id, n_a, n_b, n_groups, n_links, groups_sha256) for each document, and rows (b, chunk, docs, a, times) of postings, the other columns null.
+
+    row must count on by one within a task. chunk is the row of the first of the texts that were encoded together, docs counts on from there."""
+    schema = f"row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, b int, chunk long, docs array<int>, a array<int>, times array<int>"
     fields = pa.schema(
-        [("row", pa.int64()), ("doc_id", to_arrow_type(docs.schema["doc_id"].dataType)), *((c, pa.int64()) for c in _OWN), ("groups_sha256", pa.string()), ("b", pa.int32())]
-        + [("rows", pa.list_(pa.int64())), ("a", pa.list_(pa.int32())), ("times", pa.list_(pa.int32()))]
+        [("row", pa.int64()), ("doc_id", to_arrow_type(docs.schema["doc_id"].dataType)), *((c, pa.int64()) for c in _OWN), ("groups_sha256", pa.string()), ("b", pa.int32()), ("chunk", pa.int64())]
+        + [("docs", pa.list_(pa.int32())), ("a", pa.list_(pa.int32())), ("times", pa.list_(pa.int32()))]
     )
 
     def lists(values: np.ndarray, cuts: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -105,7 +107,7 @@ def postings(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                 own = {"n_a": np.diff(at_a), "n_b": np.diff(at_b), "n_groups": np.bincount(owner, minlength=n), "n_links": np.bincount(text, minlength=n)}
                 shas = group_texts([(a, group_a, coders[0].vocabulary), (b, group_b, coders[1].vocabulary)], at_a, at_b)
                 out = {"row": pa.array(keys[i:j]), "doc_id": batch.column(1).slice(i, j - i), **{c: pa.array(v.astype(np.int64)) for c, v in own.items()}, "groups_sha256": pa.array(shas, pa.string())}
-                yield pa.RecordBatch.from_arrays([(out | none(n, ["b", "rows", "a", "times"]))[f.name] for f in fields], schema=fields)
+                yield pa.RecordBatch.from_arrays([(out | none(n, ["b", "chunk", "docs", "a", "times"]))[f.name] for f in fields], schema=fields)
                 wide = coders[0].vocabulary.size
                 key, times = np.unique((b[link_b].astype(np.int64) * wide + a[link_a]) * n + text, return_counts=True)
                 if not len(key):
@@ -114,8 +116,8 @@ def postings(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                 side = pair // wide
                 first = np.flatnonzero(np.append(True, side[1:] != side[:-1]))
                 cuts = np.unique(np.concatenate([first, np.arange(0, len(key), BLOCK), [len(key)]]))
-                out = {"b": pa.array(side[cuts[:-1]].astype(np.int32)), "rows": lists(keys[i:j][text], cuts, pa.int64())}
-                out |= {"a": lists(pair % wide, cuts, pa.int32()), "times": lists(times, cuts, pa.int32())}
+                out = {"b": pa.array(side[cuts[:-1]].astype(np.int32)), "chunk": pa.array(np.full(len(cuts) - 1, keys[i]))}
+                out |= {"docs": lists(text, cuts, pa.int32()), "a": lists(pair % wide, cuts, pa.int32()), "times": lists(times, cuts, pa.int32())}
                 yield pa.RecordBatch.from_arrays([(out | none(len(cuts) - 1, ["row", "doc_id", *_OWN, "groups_sha256"]))[f.name] for f in fields], schema=fields)
 
     return shared.mapped(docs, run, schema)
@@ -149,50 +151,80 @@ def pair_counts(lists: DataFrame) -> DataFrame:
 
 
 def contributions(lists: DataFrame, counts: DataFrame) -> DataFrame:
-    """(row, n_best, count_sum) that each block of postings adds to its documents. counts: pair_counts(lists), written.
+    """(chunk, docs, best, sums): what each block of postings adds to n_best and count_sum of its documents. counts: pair_counts(lists), written.
 
     A broadcast names the ids that are dealt out to several tasks: at most as many as side B has ids.
     """
     totals = counts.groupBy("b").agg(F.sort_array(F.collect_list(F.struct("a", "count"))).alias("pairs"), F.sum("lists").alias("lists"))  # at most side A's ids a row
     totals = totals.withColumn("tasks", F.ceil(F.col("lists") / SHARE).cast("int"))
     split = totals.filter("tasks > 1").select("b", "tasks")
-    none = {"rows": "array<long>", "times": "array<int>", "counts": "array<long>"}
+    null = lambda kind, name: F.lit(None).cast(kind).alias(name)
     first = totals.select(
-        "b", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), F.lit(0).alias("turn"), F.lit(None).cast(none["rows"]).alias("rows"),
-        F.col("pairs.a").alias("a"), F.lit(None).cast(none["times"]).alias("times"), F.col("pairs.count").alias("counts"),
+        "b", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), F.lit(0).alias("turn"), null("long", "chunk"), null("array<int>", "docs"),
+        F.col("pairs.a").alias("a"), null("array<int>", "times"), F.col("pairs.count").alias("counts"),
     )
-    dealt = lists.join(F.broadcast(split), "b", "left").withColumn("task", F.coalesce(F.pmod(F.xxhash64("rows"), "tasks").cast("int"), F.lit(0)))
-    rest = dealt.select("b", "task", F.lit(1).alias("turn"), "rows", "a", "times", F.lit(None).cast(none["counts"]).alias("counts"))
+    dealt = lists.join(F.broadcast(split), "b", "left").withColumn("task", F.coalesce(F.pmod(F.xxhash64("chunk"), "tasks").cast("int"), F.lit(0)))
+    rest = dealt.select("b", "task", F.lit(1).alias("turn"), "chunk", "docs", "a", "times", null("array<long>", "counts"))
     stream = first.union(rest).repartition("b", "task").sortWithinPartitions("b", "task", "turn")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, count, best = np.zeros(0, np.int32), np.zeros(0, np.int64), 0
+        known, count, most = np.zeros(0, np.int32), np.zeros(0, np.int64), 0
         for batch in batches:
             turn = batch.column("turn").to_numpy()
             at = np.concatenate([[0], np.cumsum(_sizes(batch, "a"))])
-            a, rows, times, counts = (_flat(batch, c) for c in ("a", "rows", "times", "counts"))
-            row_at, count_at = (np.concatenate([[0], np.cumsum(_sizes(batch, c))]) for c in ("rows", "counts"))
-            own, links, score = [], [], []
+            count_at = np.concatenate([[0], np.cumsum(_sizes(batch, "counts"))])
+            a, counts = _flat(batch, "a"), _flat(batch, "counts")
+            each, best = np.zeros(len(a), np.int64), np.zeros(len(a), bool)
             heads = np.flatnonzero(turn == 0)
             starts = heads if len(heads) and heads[0] == 0 else np.concatenate([[0], heads])
             for lo, hi in zip(starts.tolist(), np.append(starts[1:], len(turn)).tolist(), strict=True):
                 if lo < hi and turn[lo] == 0:
                     known, count = a[at[lo] : at[lo + 1]], counts[count_at[lo] : count_at[lo + 1]]
-                    best, lo = count.max(), lo + 1
+                    most, lo = count.max(), lo + 1
                 if lo < hi:
-                    each = count[np.searchsorted(known, a[at[lo] : at[hi]])]
-                    n = times[row_at[lo] : row_at[hi]].astype(np.int64)
-                    own.append(rows[row_at[lo] : row_at[hi]])
-                    links.append(np.where(each == best, n, 0))
-                    score.append(n * each)
-            if own:
-                key, which = np.unique(np.concatenate(own), return_inverse=True)
-                sums = np.zeros((2, len(key)), np.int64)
-                np.add.at(sums[0], which, np.concatenate(links))
-                np.add.at(sums[1], which, np.concatenate(score))
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(sums[0]), pa.array(sums[1])], names=["row", "n_best", "count_sum"])
+                    own = slice(at[lo], at[hi])
+                    each[own] = count[np.searchsorted(known, a[own])]
+                    best[own] = each[own] == most
+            lists_ = np.flatnonzero(turn == 1)
+            if len(lists_):
+                sizes = np.diff(at)[lists_]
+                mine = np.repeat(turn == 1, np.diff(at))
+                times = _flat(batch, "times").astype(np.int64)
+                cuts = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                columns = [batch.column("chunk").take(pa.array(lists_)), *(pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (_flat(batch, "docs"), times * best[mine], times * each[mine]))]
+                yield pa.RecordBatch.from_arrays(columns, names=["chunk", "docs", "best", "sums"])
+
+    return shared.mapped(stream, run, "chunk long, docs array<int>, best array<long>, sums array<long>")
+
+
+def summed(parts: DataFrame) -> DataFrame:
+    """(row, n_best, count_sum) of contributions: sums by document, a chunk at a time. A chunk's blocks are a sorted stream, and it has the documents of one Arrow batch at most."""
 
-    return shared.mapped(stream, run, "row long, n_best long, count_sum long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, sums = -1, np.zeros((2, 0), np.int64)
+
+        def given() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(chunk + np.arange(sums.shape[1])), pa.array(sums[0]), pa.array(sums[1])], names=["row", "n_best", "count_sum"])
+
+        for batch in batches:
+            owner = batch.column("chunk").to_numpy()
+            at = np.concatenate([[0], np.cumsum(_sizes(batch, "docs"))])
+            docs, best, more = (_flat(batch, c) for c in ("docs", "best", "sums"))
+            cuts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, np.int64)
+            for lo, hi in zip(cuts.tolist(), np.append(cuts[1:], len(owner)).tolist(), strict=True):
+                if owner[lo] != chunk:
+                    if chunk >= 0:
+                        yield given()
+                    chunk, sums = int(owner[lo]), np.zeros((2, 0), np.int64)
+                own = slice(at[lo], at[hi])
+                if (n := int(docs[own].max()) + 1) > sums.shape[1]:
+                    sums = np.concatenate([sums, np.zeros((2, n - sums.shape[1]), np.int64)], axis=1)
+                np.add.at(sums[0], docs[own], best[own])
+                np.add.at(sums[1], docs[own], more[own])
+        if chunk >= 0:
+            yield given()
+
+    return shared.mapped(parts.repartition("chunk").sortWithinPartitions("chunk"), run, "row long, n_best long, count_sum long")
 
 
 def aligned(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -205,9 +237,9 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", t
     rows = shared.picked(docs, doc_id=doc_id, text=text).select("doc_id", F.col("text").cast("string"))
     rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")  # numbers that hold from here on, as the next table is written at once
     found = shared.written(postings(rows, path_a, path_b), "align-postings")
-    lists = found.filter("b is not null").select("b", "rows", "a", "times")
+    lists = found.filter("b is not null").select("b", "chunk", "docs", "a", "times")
     counts = shared.written(pair_counts(lists), "align-counts")
-    sums = contributions(lists, counts).groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    sums = summed(contributions(lists, counts))
     own = found.filter("b is null").select("row", "doc_id", *_OWN, "groups_sha256").join(sums, "row", "left")
     zero = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_best", "count_sum")]
     out = shared.written(own.select("doc_id", *_OWN, *zero, "groups_sha256"), "align-result")
