@@ -51,13 +51,19 @@ def region_sums(table: DataFrame, boxes: DataFrame, spec: GridSpec) -> DataFrame
     return picked.groupBy("qid", "bin").agg(F.sum(F.col("s") * F.col("sign")).alias("h"))
 
 
-def region_brute(hist: DataFrame, boxes: DataFrame, spec: GridSpec) -> DataFrame:
-    """(qid, bin, h) by adding up the cells inside each box. A box is dealt out along axis 0, so cells meet it by equality and the other axes filter."""
-    along = boxes.withColumn("x0", F.explode(F.sequence(F.col("lo0") + 1, F.col("hi0"))))
-    inside = [(F.col(f"x{d}") > F.col(f"lo{d}")) & (F.col(f"x{d}") <= F.col(f"hi{d}")) for d in range(1, len(spec.dims))]
-    joined = hist.join(along.filter("hi0 > lo0"), "x0")
-    if inside:
-        joined = joined.filter(reduce(lambda a, b: a & b, inside))
+def region_brute(hist: DataFrame, boxes: DataFrame, spec: GridSpec, tiles: int = 4096) -> DataFrame:
+    """(qid, bin, h) by adding up the cells inside each box. The grid is cut into tiles over all axes, about ``tiles`` of them; a box is dealt out to the tiles it
+    touches, cells meet it by their tile, and all axes filter. So a box makes as many rows as it touches tiles, and a tile's cells meet that tile's boxes only."""
+    per_axis = max(1, round(tiles ** (1 / len(spec.dims))))
+    edges = [-(-n // per_axis) for n in spec.dims]
+    names = [f"t{d}" for d in range(len(spec.dims))]
+    dealt = boxes.filter(reduce(lambda a, b: a & b, [F.col(f"hi{d}") > F.col(f"lo{d}") for d in range(len(spec.dims))]))
+    for d, edge in enumerate(edges):
+        first, last = F.floor((F.greatest(F.col(f"lo{d}"), F.lit(-1)) + 1) / edge), F.floor(F.least(F.col(f"hi{d}"), F.lit(spec.dims[d] - 1)) / edge)
+        dealt = dealt.filter(first <= last).withColumn(f"t{d}", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
+    placed = hist.withColumns({f"t{d}": F.floor(F.col(f"x{d}") / edge).cast("int") for d, edge in enumerate(edges)})
+    inside = [(F.col(f"x{d}") > F.col(f"lo{d}")) & (F.col(f"x{d}") <= F.col(f"hi{d}")) for d in range(len(spec.dims))]
+    joined = placed.join(dealt, names).filter(reduce(lambda a, b: a & b, inside))
     return joined.groupBy("qid", "bin").agg(F.sum("w").alias("h"))
 
 

@@ -7,7 +7,8 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..plans.spec import GridSpec
 from . import sat
@@ -45,11 +46,27 @@ def statistic(function: Callable[[np.ndarray, np.ndarray], float]) -> Callable[.
     return F.pandas_udf(run, "double")
 
 
-def binning(function: Callable[[pd.Series], pd.Series]) -> Callable[[Column], Column]:
-    """An array of structs (bin, w) of each value, from a function of a series that returns a series of lists of (bin, weight)."""
+def binning(function: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Callable[[DataFrame, str], DataFrame]:
+    """A table function from a user's binning: of a table and the name of its column of values it gives the other columns with (bin, w), a row for each bin of each row.
 
-    def run(values: pd.Series) -> pd.Series:
-        return function(values).map(lambda pairs: [{"bin": int(b), "w": float(w)} for b, w in pairs])
+    The function gets a batch of values as an array (null: NaN) and returns three arrays: which value a pair belongs to, its bin, its weight; values without a pair have no
+    row. The table function is made for the table it is given, whose columns it passes on, and runs on Arrow batches of it where they are, without a shuffle.
+    """
+
+    def run(rows: DataFrame, value: str) -> DataFrame:
+        keep = [f for f in rows.schema.fields if f.name != value]
+        taken = {f.name for f in keep} & {"bin", "w"}
+        if taken:
+            raise ValueError(f"the table has columns named {taken} already")
+        shape = T.StructType([*keep, T.StructField("bin", T.IntegerType()), T.StructField("w", T.DoubleType())])
+
+        class Binned:
+            def eval(self, table: pa.RecordBatch) -> Iterator[pa.Table]:
+                values = table.column(value).cast(pa.float64()).to_numpy(zero_copy_only=False)
+                owner, bins, weights = (np.asarray(x) for x in function(values))
+                others = {f.name: table.column(f.name).take(pa.array(owner.astype(np.int64))) for f in keep}
+                yield pa.table(others | {"bin": pa.array(bins.astype(np.int32)), "w": pa.array(weights.astype(float))})
+
+        return F.arrow_udtf(Binned, returnType=shape)(rows.asTable())
 
-    run.__annotations__ = {"values": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, "array<struct<bin:int,w:double>>")
+    return run

@@ -8,6 +8,7 @@ which are powers of two, so that decoded sums are exact.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -55,13 +56,42 @@ def point_sums(coefs: DataFrame, points: DataFrame, spec: GridSpec) -> DataFrame
     return joined.groupBy("qid", "bin").agg(F.sum(F.col("ic") * F.col("s")).alias("s")).filter("s <> 0")
 
 
-def region_sums(coefs: DataFrame, boxes: DataFrame, spec: GridSpec, merge: bool = True) -> DataFrame:
-    """(qid, bin, h) of boxes (lo, hi]. With merge, a box's corners share their coefficients before the lookup, and what cancels is never fetched."""
+def wanted(boxes: DataFrame, spec: GridSpec, merge: bool = True) -> DataFrame:
+    """(qid, l0 .., k0 .., s): the coefficients that boxes look up, and their weights. With merge, a box's corners share theirs, and what cancels is left out."""
     corners = box_corners(boxes, len(spec.dims))
-    wanted = basis(corners, spec, ["qid", "sign"]).withColumn("s", F.col("s") * F.col("sign"))
-    if merge:
-        wanted = wanted.groupBy("qid", *spec.keys).agg(F.sum("s").alias("s")).filter("s <> 0")
-    joined = coefs.join(wanted, spec.keys)
+    out = basis(corners, spec, ["qid", "sign"]).withColumn("s", F.col("s") * F.col("sign"))
+    if not merge:
+        return out.select("qid", *spec.keys, "s")
+    return out.groupBy("qid", *spec.keys).agg(F.sum("s").alias("s")).filter("s <> 0")
+
+
+def coarse_levels(spec: GridSpec, most: int = 1 << 16) -> list[tuple[int, ...]]:
+    """Levels of the wavelets with the fewest places that together have ``most`` (place, bin) values at most: a bound on their coefficients, whatever the data."""
+    every = sorted((reduce(lambda a, b: a * b, (1 << max(0, n - 1) for n in at)), at) for at in product(*(range(spec.levels(d)) for d in range(len(spec.dims)))))
+    out, total = [], 0
+    for places, at in every:
+        total += places * spec.n_bins
+        if total > most:
+            break
+        out.append(at)
+    return out
+
+
+def region_sums(coefs: DataFrame, boxes: DataFrame, spec: GridSpec, merge: bool = True, stored: bool = False) -> DataFrame:
+    """(qid, bin, h) of boxes (lo, hi].
+
+    Every box looks up the coarsest coefficients, which are few however many cells there are. Where coefs are stored (so that reading them twice is cheap), these are
+    sent to all tasks, within the bound of coarse_levels, and only lookups of finer ones are shuffled to their addresses.
+    """
+    asked = wanted(boxes, spec, merge)
+    few = coarse_levels(spec)
+    levels = [f"l{d}" for d in range(len(spec.dims))]
+    if not stored or len(few) == spec.n_wavelets:
+        joined = coefs.join(asked, spec.keys)
+    else:
+        number = lambda: reduce(lambda a, b: a * 64 + b, [F.col(c) for c in levels])
+        coarse = number().isin([reduce(lambda a, b: a * 64 + b, at) for at in few])
+        joined = asked.filter(coarse).join(F.broadcast(coefs.filter(coarse)), spec.keys).unionByName(coefs.filter(~coarse).join(asked.filter(~coarse), spec.keys))
     return joined.groupBy("qid", "bin").agg(F.sum(F.col("ic") * F.col("s")).alias("h")).filter("h <> 0")
 
 

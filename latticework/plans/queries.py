@@ -14,9 +14,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import binning
-from ..operators import cells, fields, sat, tree, udf, wavelet
-from ..sources import nrrd, store
-from ..streaming import incremental
+from ..operators import cells, fields, hybrid, intervals, packed, rays, sat, tree, udf, wavelet
+from ..sources import netcdf, nrrd, store, tiers
+from ..streaming import completion, incremental, runs
 from .spec import GridSpec
 
 B = 8
@@ -54,6 +54,9 @@ _TREE = _COEF + """,
 _BOXES = """,
  boxes AS (SELECT CAST(range AS INTEGER) AS qid, CAST((range * 7) % 40 - 1 AS INTEGER) AS lo0, CAST((range * 3) % 8 - 1 AS INTEGER) AS lo1,
    CAST((range * 7) % 40 - 1 + 1 + range % 9 AS INTEGER) AS hi0, CAST((range * 3) % 8 + range % 3 AS INTEGER) AS hi1 FROM range(64))"""
+_TABLE_BOXES = """,
+ boxes AS (SELECT CAST(s_suppkey AS INTEGER) AS qid, CAST(s_suppkey * 7 % 40 - 1 AS INTEGER) AS lo0, CAST(s_suppkey * 3 % 8 - 1 AS INTEGER) AS lo1, CAST(s_suppkey * 7 % 40 + s_suppkey % 9 AS INTEGER) AS hi0,
+   CAST(s_suppkey * 3 % 8 + s_suppkey % 3 AS INTEGER) AS hi1, CAST(s_suppkey % 10 - 1 AS INTEGER) AS b0, CAST(s_suppkey % 10 - 2 + s_suppkey % 5 AS INTEGER) AS b1 FROM supplier)"""
 _BRUTE = "SELECT qid, bin, CAST(sum(w) AS BIGINT) AS h FROM hist JOIN boxes ON x0 > lo0 AND x0 <= hi0 AND x1 > lo1 AND x1 <= hi1 GROUP BY qid, bin"
 _NEAR = """,
  near AS (SELECT a.x0, a.x1, a.bin, CAST(coalesce(sum(h.w), 0) AS BIGINT) AS w FROM dense a LEFT JOIN hist h
@@ -108,6 +111,13 @@ def boxes(spark: SparkSession) -> DataFrame:
     return spark.range(64).select(*(c.cast("int").alias(k) for k, c in cols.items()))
 
 
+def table_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A box and a range of bins for each supplier; some boxes and some ranges are empty, some reach beyond the grid's lower corner."""
+    i = F.col("s_suppkey")
+    cols = {"qid": i, "lo0": i * 7 % 40 - 1, "lo1": i * 3 % 8 - 1, "hi0": i * 7 % 40 + i % 9, "hi1": i * 3 % 8 + i % 3, "b0": i % 10 - 1, "b1": i % 10 - 2 + i % 5}
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(*(c.cast("int").alias(k) for k, c in cols.items()))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the cluster shares (spark.checkpoint.dir); where that is unset a temporary one on one machine, an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -212,25 +222,71 @@ def scan_coefs(spark, d):
     return store.read_store(spark, path).select(*spec.keys, "bin", "ic")
 
 
-_SPHERES = """SELECT x0, x1, x2, round({sum}, 9) AS value FROM (SELECT CAST(range % 64 AS INTEGER) AS x0, CAST(range // 64 % 64 AS INTEGER) AS x1, CAST(range // 4096 AS INTEGER) AS x2 FROM range(262144))""".format(
-    sum=" + ".join(
-        f"exp(-((x0 - {c}e0) * (x0 - {c}e0) + (x1 - {c}e0) * (x1 - {c}e0) + (x2 - {c}e0) * (x2 - {c}e0)) / {2 * (1.1 * r) ** 2!r})"
-        for r, c in ((8, 48), (4, 24), (2, 12), (1, 6), (1, 2))
-    )
-)
+_BALL = "CAST(s_suppkey * 37 % 64 AS DOUBLE) AS c0, CAST(s_suppkey * 11 % 64 AS DOUBLE) AS c1, CAST(s_nationkey * 5 % 64 AS DOUBLE) AS c2, CAST(1 + s_suppkey % 3 AS DOUBLE) AS radius"
 
 
-@query(_SPHERES)
+@query(
+    f"""WITH b AS (SELECT {_BALL} FROM supplier),
+ x AS (SELECT *, unnest(range(greatest(0, CAST(ceil(c0 - 3.3e0 * radius) AS BIGINT)), least(63, CAST(floor(c0 + 3.3e0 * radius) AS BIGINT)) + 1)) AS x0 FROM b),
+ y AS (SELECT *, unnest(range(greatest(0, CAST(ceil(c1 - 3.3e0 * radius) AS BIGINT)), least(63, CAST(floor(c1 + 3.3e0 * radius) AS BIGINT)) + 1)) AS x1 FROM x),
+ z AS (SELECT *, unnest(range(greatest(0, CAST(ceil(c2 - 3.3e0 * radius) AS BIGINT)), least(63, CAST(floor(c2 + 3.3e0 * radius) AS BIGINT)) + 1)) AS x2 FROM y),
+ v AS (SELECT x0, x1, x2, sum(exp(-((x0 - c0) * (x0 - c0) + (x1 - c1) * (x1 - c1) + (x2 - c2) * (x2 - c2)) / (2 * (1.1e0 * radius) * (1.1e0 * radius)))) AS value FROM z GROUP BY ALL)
+SELECT CAST(r % 64 AS INTEGER) AS x0, CAST(r // 64 % 64 AS INTEGER) AS x1, CAST(r // 4096 AS INTEGER) AS x2, round(coalesce(value, 0), 6) AS value
+FROM range(262144) t(r) LEFT JOIN v ON v.x0 = r % 64 AND v.x1 = r // 64 % 64 AND v.x2 = r // 4096"""
+)
 def gen_spheres(spark, d):
-    return store.spheres(spark).withColumn("value", F.round("value", 9))
+    """A test volume with a ball for each supplier."""
+    balls = spark.read.parquet(f"{d}/supplier.parquet").selectExpr(*_BALL.split(", "))
+    return store.spheres(balls).withColumn("value", F.round("value", 6))
+
+
+_VOLUME = "SELECT CAST(l_quantity AS INTEGER) - 1 AS x0, CAST(round(l_discount * 100) AS INTEGER) AS x1, l_linenumber - 1 AS x2, CAST(count(*) AS DOUBLE) AS value FROM lineitem GROUP BY ALL"
+_LATTICE3 = "SELECT CAST(r % 50 AS INTEGER) AS x0, CAST(r // 50 % 11 AS INTEGER) AS x1, CAST(r // 550 AS INTEGER) AS x2 FROM range(3850) t(r)"
+_FIELD3 = f"SELECT x0, x1, x2, coalesce(value, 0.0e0) AS value FROM ({_LATTICE3}) LEFT JOIN ({_VOLUME}) USING (x0, x1, x2)"
+
 
+def _volume(spark, d):
+    """Rows by cell of the grid with three axes, cells without any left out."""
+    return points(spark, d, 3).groupBy("x0", "x1", "x2").agg(F.count(F.lit(1)).cast("double").alias("value"))
 
-@query(_SPHERES)
+
+@query(_FIELD3)
 def scan_nrrd(spark, d):
-    """A volume written as NRRD and read back by the data source."""
-    nrrd.register(spark)
-    nrrd.write_nrrd(store.spheres(spark), (64, 64, 64), path := scratch(spark, "spheres") + ".nhdr", "value")
-    return spark.read.format("nrrd").option("slabs", 4).load(path).withColumn("value", F.round("value", 9))
+    """A volume written as NRRD by a data source, each task its planes, and read back by it."""
+    nrrd.write_nrrd(_volume(spark, d), (50, 11, 7), path := scratch(spark, "volume") + ".nhdr", "value")
+    return spark.read.format("nrrd").option("slabs", 4).load(path)
+
+
+_MONTHS = """SELECT t, z, y, x, u, CASE WHEN (x + 1 + y) % 7 <> 0 THEN v END AS v FROM (SELECT CAST(l_linenumber - 1 AS INTEGER) AS t, CAST(l_partkey % 16 AS INTEGER) AS z,
+   CAST(round(l_discount * 100) AS INTEGER) AS y, CAST(l_quantity AS INTEGER) - 1 AS x, CAST(sum(l_suppkey % 9 - 4) AS DOUBLE) AS u, CAST(sum(CAST(round(l_tax * 100) AS INTEGER) - 4) AS DOUBLE) AS v
+   FROM lineitem GROUP BY ALL)"""
+
+
+def _netcdf(spark, d) -> str:
+    """A volume with time, depth and two components as NetCDF, one file a time; cells without rows and half of the second component hold the missing value."""
+    at = {"t": F.col("l_linenumber") - 1, "z": F.col("l_partkey") % 16, "y": F.round(F.col("l_discount") * 100), "x": F.col("l_quantity").cast("int") - 1}
+    cells_ = lineitem(spark, d).groupBy(*(c.cast("int").alias(k) for k, c in at.items())).agg(
+        F.sum(F.col("l_suppkey") % 9 - 4).cast("double").alias("u"), F.sum(F.round(F.col("l_tax") * 100).cast("int") - 4).cast("double").alias("v")
+    )
+    volume = cells_.withColumn("v", F.when((F.col("x") + 1 + F.col("y")) % 7 != 0, F.col("v")))
+    netcdf.write(volume, path := scratch(spark, "volume.nc"), {"t": 7, "z": 16, "y": 11, "x": 50}, ["u", "v"], "double", -9999.0)
+    return path
+
+
+@query(f"SELECT x AS x0, y AS x1, greatest(u, 0.0e0) AS value FROM ({_MONTHS}) WHERE t = 0 AND z = 12")
+def scan_netcdf_slice(spark, d):
+    """One time and one height of a NetCDF volume, negative values clamped to 0: the slab's bytes are read, no others."""
+    netcdf.register(spark)
+    slab = spark.read.format("netcdf").option("variable", "u").option("slab", "t=0:1,z=12:13").load(_netcdf(spark, d))
+    return store.volume_slice(slab, {"t": 0, "z": 12}, ["x", "y"], "u").dropna().withColumn("value", binning.clamp_negative(F.col("value")))
+
+
+@query(f"SELECT x AS x0, y AS x1, t AS x2, u, v FROM ({_MONTHS}) WHERE z = 4")
+def scan_netcdf_vector(spark, d):
+    """Two components at one depth and all times; what equals the file's missing value is null."""
+    netcdf.register(spark)
+    slab = spark.read.format("netcdf").option("variable", "u,v").option("slab", "z=4").load(_netcdf(spark, d))
+    return store.vector_slice(slab, {"z": 4}, ["x", "y", "t"], "u", "v").filter("u is not null or v is not null")
 
 
 # Binning and index arithmetic
@@ -265,45 +321,51 @@ _LEVELS0 = "(SELECT CAST(range AS INTEGER) AS l, CAST(pow(2, 7 - range) AS INTEG
 
 
 @query(
-    f"""SELECT x0, l, CAST(x0 // w AS INTEGER) AS k, CAST(CASE WHEN l = 0 THEN w // 2 - x0 % w WHEN x0 % w < w // 2 THEN -(x0 % w) ELSE -(w - x0 % w) END AS BIGINT) AS f
-    FROM (SELECT CAST(range AS INTEGER) AS x0 FROM range(50)), {_LEVELS0}"""
+    f"""SELECT p_partkey, l, CAST(x0 // w AS INTEGER) AS k, CAST(CASE WHEN l = 0 THEN w // 2 - x0 % w WHEN x0 % w < w // 2 THEN -(x0 % w) ELSE -(w - x0 % w) END AS BIGINT) AS f
+    FROM (SELECT p_partkey, p_size - 1 AS x0 FROM part), {_LEVELS0}"""
 )
 def haar_project_1d(spark, d):
-    axis = GridSpec((50,), B).lattice(spark)
-    return axis.select("x0", F.explode(binning.haar_levels("x0", 7, True)).alias("b")).select("x0", "b.l", "b.k", "b.f")
+    axis = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", (F.col("p_size") - 1).alias("x0"))
+    return axis.select("p_partkey", F.explode(binning.haar_levels("x0", 7, True)).alias("b")).select("p_partkey", "b.l", "b.k", "b.f")
 
 
 @query(
-    f"""SELECT x0, l, CAST(x0 // w AS INTEGER) AS k, CASE WHEN l = 0 THEN 1 / 64.0e0 WHEN x0 % w < w // 2 THEN 1.0e0 / w ELSE -1.0e0 / w END AS f
-    FROM (SELECT CAST(range AS INTEGER) AS x0 FROM range(50)), {_LEVELS0}"""
+    f"""SELECT p_partkey, l, CAST(x0 // w AS INTEGER) AS k, CASE WHEN l = 0 THEN 1 / 64.0e0 WHEN x0 % w < w // 2 THEN 1.0e0 / w ELSE -1.0e0 / w END AS f
+    FROM (SELECT p_partkey, p_size - 1 AS x0 FROM part), {_LEVELS0}"""
 )
 def haar_basis_1d(spark, d):
-    axis = GridSpec((50,), B).lattice(spark)
-    return axis.select("x0", F.explode(binning.haar_levels("x0", 7, False)).alias("b")).select("x0", "b.l", "b.k", "b.f")
+    axis = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", (F.col("p_size") - 1).alias("x0"))
+    return axis.select("p_partkey", F.explode(binning.haar_levels("x0", 7, False)).alias("b")).select("p_partkey", "b.l", "b.k", "b.f")
 
 
 @query(
-    """SELECT g, CASE WHEN g = 0 THEN 0 ELSE 1 + CAST(floor(log2(g)) AS INTEGER) END AS level, CASE WHEN g = 0 THEN 0 ELSE g - CAST(pow(2, floor(log2(g))) AS BIGINT) END AS k, g AS back
-    FROM (SELECT range AS g FROM range(64))"""
+    """SELECT g, CASE WHEN g = 0 THEN 0 ELSE length(bin(g)) END AS level, CASE WHEN g = 0 THEN 0 ELSE g - CAST(pow(2, length(bin(g)) - 1) AS BIGINT) END AS k, g AS back
+    FROM (SELECT o_orderkey AS g FROM orders)"""
 )
 def coef_addressing(spark, d):
     level, k = binning.address(F.col("g"))
-    return spark.range(64).withColumnRenamed("id", "g").select("g", level.alias("level"), k.alias("k")).withColumn("back", binning.global_index(F.col("level"), F.col("k")))
+    places = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("g"))
+    return places.select("g", level.alias("level"), k.alias("k")).withColumn("back", binning.global_index(F.col("level"), F.col("k")))
+
+
+_EXTENTS = """WITH n AS (SELECT 0 AS dim, CAST(max(l_quantity) AS INTEGER) AS n FROM lineitem UNION ALL SELECT 1, CAST(max(round(l_discount * 100)) AS INTEGER) + 1 FROM lineitem),
+ e AS (SELECT dim, n, CAST(CASE WHEN n > 1 THEN length(bin(n - 1)) ELSE 0 END AS INTEGER) AS m FROM n)"""
 
 
 @query(
-    """SELECT 0 AS dim, CAST(range AS INTEGER) AS level, CAST(pow(2, 7 - greatest(range, 1)) AS BIGINT) AS support, CAST(CASE WHEN range < 2 THEN 1 ELSE pow(2, range - 1) END AS BIGINT) AS coefs,
-      CAST(CASE WHEN range = 0 THEN 0 ELSE pow(2, range - 1) END AS BIGINT) AS base FROM range(7)
-    UNION ALL SELECT 1, CAST(range AS INTEGER), CAST(pow(2, 5 - greatest(range, 1)) AS BIGINT), CAST(CASE WHEN range < 2 THEN 1 ELSE pow(2, range - 1) END AS BIGINT),
-      CAST(CASE WHEN range = 0 THEN 0 ELSE pow(2, range - 1) END AS BIGINT) FROM range(5)"""
+    f"""{_EXTENTS} SELECT dim, CAST(level AS INTEGER) AS level, CAST(pow(2, m + 1 - greatest(level, 1)) AS BIGINT) AS support, CAST(CASE WHEN level < 2 THEN 1 ELSE pow(2, level - 1) END AS BIGINT) AS coefs,
+      CAST(CASE WHEN level = 0 THEN 0 ELSE pow(2, level - 1) END AS BIGINT) AS base FROM (SELECT dim, m, unnest(range(m + 1)) AS level FROM e)"""
 )
 def level_metadata(spark, d):
-    return GridSpec((50, 11), B).level_table(spark)
+    return GridSpec.of(points(spark, d), B).level_table(spark)
 
 
-@query("SELECT 50 AS x0, 11 AS x1, 64 AS p0, 16 AS p1, 35 AS n_wavelets, 0.03125e0 AS threshold")
+@query(
+    f"""{_EXTENTS}, a AS (SELECT max(n) FILTER (dim = 0) AS x0, max(n) FILTER (dim = 1) AS x1, max(m) FILTER (dim = 0) AS m0, max(m) FILTER (dim = 1) AS m1 FROM e)
+    SELECT x0, x1, CAST(pow(2, m0) AS INTEGER) AS p0, CAST(pow(2, m1) AS INTEGER) AS p1, (m0 + 1) * (m1 + 1) AS n_wavelets, pow(2.0e0, -(m0 + m1) / 2.0e0) AS threshold FROM a"""
+)
 def decoded_size(spark, d):
-    spec = GridSpec((50, 11), B)
+    spec = GridSpec.of(points(spark, d), B)
     return spark.createDataFrame([(*spec.decoded(False), *spec.decoded(True), spec.n_wavelets, spec.threshold)], "x0 int, x1 int, p0 int, p1 int, n_wavelets int, threshold double")
 
 
@@ -392,10 +454,12 @@ def global_contour_spectrum(spark, d):
     return _spectrum(spark, d).groupBy("bin").agg(F.round(F.sum("w"), 6).alias("w"))
 
 
-@query("WITH" + _spectrum_sql(_SPHERES.replace("round(", "(").replace(", 9) AS value", ") AS value"), 3, "0.0e0", "1.0e0") + " SELECT bin, round(sum(w), 4) AS w FROM spec GROUP BY bin")
+@query("WITH" + _spectrum_sql(_FIELD3, 3, "mn", "mx") + " SELECT bin, round(sum(w), 4) AS w FROM spec GROUP BY bin")
 def contour_spectrum_3d(spark, d):
-    field = store.spheres(spark)
-    return binning.contour_spectrum(cells.corners(field, 3), 3, B, 0.0, 1.0).groupBy("bin").agg(F.round(F.sum("w"), 4).alias("w"))
+    spec = GridSpec((50, 11, 7), B)
+    field = spec.lattice(spark).join(_volume(spark, d), spec.axes, "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+    spec = spec.with_range(field, "value")
+    return binning.contour_spectrum(cells.corners(field, 3), 3, B, spec.vmin, spec.vmax).groupBy("bin").agg(F.round(F.sum("w"), 4).alias("w"))
 
 
 def _stat_sql(expression: str) -> str:
@@ -666,7 +730,7 @@ def compression_stats(spark, d):
 
 
 @query(
-    f"""WITH {_BOXES.strip().removeprefix(",").strip()},
+    f"""WITH {_TABLE_BOXES.strip().removeprefix(",").strip()},
  f0 AS (SELECT CAST(range AS INTEGER) AS l0, CAST(pow(2, 7 - range) AS INTEGER) AS w0 FROM range(7)), f1 AS (SELECT CAST(range AS INTEGER) AS l1, CAST(pow(2, 5 - range) AS INTEGER) AS w1 FROM range(5)),
  c AS (SELECT qid, x0, x1, a.s * b.s AS s FROM (SELECT qid, hi0 AS x0, 1 AS s FROM boxes UNION ALL SELECT qid, lo0, -1 FROM boxes) a
    JOIN (SELECT qid, hi1 AS x1, 1 AS s FROM boxes UNION ALL SELECT qid, lo1, -1 FROM boxes) b USING (qid) WHERE x0 >= 0 AND x1 >= 0),
@@ -675,7 +739,7 @@ def compression_stats(spark, d):
 SELECT min(n) AS least, max(n) AS most, round(avg(n), 6) AS mean FROM (SELECT qid, count(*) AS n FROM k GROUP BY qid)"""
 )
 def coefficient_fetches(spark, d):
-    return wavelet.fetches(boxes(spark), GridSpec((50, 11), B)).withColumn("mean", F.round("mean", 6))
+    return wavelet.fetches(table_boxes(spark, d), GridSpec((50, 11), B)).withColumn("mean", F.round("mean", 6))
 
 
 @query(_with("SELECT * FROM coefs WHERE k0 * pow(2, 7 - greatest(l0, 1)) >= 30 OR k1 * pow(2, 5 - greatest(l1, 1)) >= 7", _COEF))
@@ -846,7 +910,7 @@ def mode_bitmask(spark, d):
 
 _TIME = """
  rng AS (SELECT min(l_extendedprice) AS mn, max(l_extendedprice) AS mx FROM lineitem),
- h AS (SELECT l_linenumber - 1 AS x, least(7, CAST(floor(8 * (l_extendedprice - mn) / (mx - mn)) AS INTEGER)) AS bin, count(*) AS w FROM lineitem, rng WHERE l_quantity > 11 AND l_quantity <= 31 GROUP BY ALL),
+ h AS (SELECT l_linenumber - 1 AS x, least(7, CAST(floor(8 * (l_extendedprice - mn) / (mx - mn)) AS INTEGER)) AS bin, count(*) AS w FROM lineitem, rng GROUP BY ALL),
  f AS (SELECT CAST(range AS INTEGER) AS l, CAST(pow(2, 4 - range) AS INTEGER) AS u FROM range(4)),
  c AS (SELECT l, x // u AS k, bin, abs(sum(w * CASE WHEN l = 0 THEN u // 2 - x % u WHEN x % u < u // 2 THEN -(x % u) ELSE -(u - x % u) END)) AS ic FROM h, f GROUP BY ALL),
  p AS (SELECT l, bin, sum(ic) * 1.0e0 / sum(sum(ic)) OVER (PARTITION BY l) AS p FROM c GROUP BY l, bin),
@@ -857,7 +921,7 @@ _TIME = """
 def level_distance_l2(spark, d):
     spec, hist = grid(spark, d, 3)
     line = GridSpec((7,), B)
-    along = hist.filter(f"x0 > {LO[0]} and x0 <= {HI[0]}").groupBy(F.col("x2").alias("x0"), "bin").agg(F.sum("w").alias("w"))
+    along = hist.groupBy(F.col("x2").alias("x0"), "bin").agg(F.sum("w").alias("w"))
     return tree.level_distances(along, line).withColumn("dist", F.round("dist", 6))
 
 
@@ -887,9 +951,14 @@ def statistic_functor(spark, d):
 
 @query("SELECT l_linenumber AS x0, bin, CAST(sum(w) AS DOUBLE) AS w FROM (SELECT l_linenumber, CAST(l_quantity AS INTEGER) % 8 AS bin, 0.75e0 AS w FROM lineitem UNION ALL SELECT l_linenumber, (CAST(l_quantity AS INTEGER) + 1) % 8, 0.25e0 FROM lineitem) GROUP BY ALL")
 def user_binning(spark, d):
-    split = udf.binning(lambda values: values.map(lambda q: [(int(q) % 8, 0.75), ((int(q) + 1) % 8, 0.25)]))
+    """A table function that shares each row out between two bins, a batch at a time."""
+
+    def shares(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        whole = values.astype(np.int64)
+        return np.tile(np.arange(len(whole)), 2), np.concatenate([whole % 8, (whole + 1) % 8]), np.repeat([0.75, 0.25], len(whole))
+
     rows = lineitem(spark, d).select(F.col("l_linenumber").alias("x0"), "l_quantity")
-    return cells.multi_bin_histogram(rows, ["x0"], split(F.col("l_quantity")))
+    return udf.binning(shares)(rows, "l_quantity").groupBy("x0", "bin").agg(F.sum("w").alias("w"))
 
 
 # Streaming
@@ -901,12 +970,12 @@ SELECT l0, l1, CAST(x0 // w0 AS INTEGER) AS k0, CAST(x1 // w1 AS INTEGER) AS k1,
    * CASE WHEN l1 = 0 THEN w1 // 2 - x1 % w1 WHEN x1 % w1 < w1 // 2 THEN -(x1 % w1) ELSE -(w1 - x1 % w1) END) AS BIGINT) AS ic FROM h, f0, f1 GROUP BY ALL HAVING ic <> 0"""
 
 
-def _events(spark, d, dealt: str, events: DataFrame | None = None) -> DataFrame:
-    """events as a stream of four files, one to a micro-batch."""
-    rows = (spark.read.parquet(f"{d}/events.parquet") if events is None else events).select(
+def _events(spark, d, dealt: str, files: int = 4) -> DataFrame:
+    """events as a stream of files, one to a micro-batch."""
+    rows = spark.read.parquet(f"{d}/events.parquet").select(
         (F.col("user_id") % 16).cast("int").alias("x0"), (F.col("event_id") % 8).cast("int").alias("x1"), (F.length("event_type") % 4).cast("int").alias("bin")
     )
-    rows.repartition(4).write.mode("overwrite").parquet(dealt)
+    rows.repartition(files).write.mode("overwrite").parquet(dealt)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(dealt)
 
 
@@ -928,28 +997,149 @@ def streaming_update(spark, d):
 
 
 @query(
-    """WITH c AS (SELECT DISTINCT CAST(user_id % 16 AS INTEGER) AS x0, CAST(event_id % 8 AS INTEGER) AS x1 FROM events WHERE event_id % 16 < 12),
- f0 AS (SELECT CAST(range AS INTEGER) AS l0, CAST(pow(2, 5 - range) AS INTEGER) AS w0 FROM range(5)), f1 AS (SELECT CAST(range AS INTEGER) AS l1, CAST(pow(2, 4 - range) AS INTEGER) AS w1 FROM range(4))
-SELECT l0, l1, CAST(x0 // w0 AS INTEGER) AS k0, CAST(x1 // w1 AS INTEGER) AS k1, count(*) AS seen, CAST(least(w0, 16) * least(w1, 8) AS BIGINT) AS expected, count(*) >= least(w0, 16) * least(w1, 8) AS done
-FROM c, f0, f1 GROUP BY l0, l1, w0, w1, x0 // w0, x1 // w1"""
+    """WITH c AS (SELECT DISTINCT CAST(user_id % 16 AS INTEGER) AS x0, CAST(event_id % 8 AS INTEGER) AS x1 FROM events),
+ f0 AS (SELECT CAST(range AS INTEGER) AS l0, CAST(pow(2, 6 - range) AS INTEGER) AS w0 FROM range(6)), f1 AS (SELECT CAST(range AS INTEGER) AS l1, CAST(pow(2, 4 - range) AS INTEGER) AS w1 FROM range(4))
+SELECT l0, l1, CAST(x0 // w0 AS INTEGER) AS k0, CAST(x1 // w1 AS INTEGER) AS k1, count(*) AS seen, CAST((least(20, (x0 // w0 + 1) * least(w0, 32)) - x0 // w0 * least(w0, 32)) * least(w1, 8) AS BIGINT) AS expected,
+   count(*) >= (least(20, (x0 // w0 + 1) * least(w0, 32)) - x0 // w0 * least(w0, 32)) * least(w1, 8) AS done FROM c, f0, f1 GROUP BY l0, l1, w0, w1, x0 // w0, x1 // w1"""
 )
 def complete_in_stream(spark, d):
-    """Which coefficients are final after a stream of cells with many rows and bins each."""
-    spec, where = GridSpec((16, 8), 4), scratch(spark, "stream")
-    rows = spark.read.parquet(f"{d}/events.parquet").filter("event_id % 16 < 12")
-    arriving = _events(spark, d, f"{where}/in", rows)
+    """Which coefficients are final after a stream of cells with many rows and bins each, on a grid of which a part has no rows yet."""
+    spec, where = GridSpec((20, 8), 4), scratch(spark, "stream")
+    arriving = _events(spark, d, f"{where}/in")
     incremental.store_cells(arriving, spec, f"{where}/cells", f"{where}/state").start().awaitTermination()
     return incremental.complete(spark.read.parquet(f"{where}/cells"), spec)
 
 
 @query(
-    """WITH c AS (SELECT DISTINCT CAST(l_quantity AS INTEGER) - 1 AS x0 FROM lineitem WHERE l_quantity <= 40), f AS (SELECT CAST(range AS INTEGER) AS l0, CAST(pow(2, 7 - range) AS INTEGER) AS w FROM range(7))
-    SELECT l0, CAST(x0 // w AS INTEGER) AS k0, count(*) AS seen, CAST(least(50, (x0 // w + 1) * least(w, 64)) - x0 // w * least(w, 64) AS BIGINT) AS expected,
-      count(*) >= least(50, (x0 // w + 1) * least(w, 64)) - x0 // w * least(w, 64) AS done FROM c, f GROUP BY l0, w, x0 // w"""
+    """WITH c AS (SELECT DISTINCT CAST(l_quantity AS INTEGER) - 1 AS x0 FROM lineitem), f AS (SELECT CAST(range AS INTEGER) AS l0, CAST(pow(2, 7 - range) AS INTEGER) AS w FROM range(7))
+    SELECT l0, CAST(x0 // w AS INTEGER) AS k0, count(*) AS seen, CAST(least(60, (x0 // w + 1) * least(w, 64)) - x0 // w * least(w, 64) AS BIGINT) AS expected,
+      count(*) >= least(60, (x0 // w + 1) * least(w, 64)) - x0 // w * least(w, 64) AS done FROM c, f GROUP BY l0, w, x0 // w"""
 )
 def complete_on_count(spark, d):
-    rows = lineitem(spark, d).filter("l_quantity <= 40").select((F.col("l_quantity").cast("int") - 1).alias("x0")).distinct()
-    return incremental.complete(rows, GridSpec((50,), B))
+    """On an axis of 60, of which lineitem fills 50."""
+    rows = lineitem(spark, d).select((F.col("l_quantity").cast("int") - 1).alias("x0")).distinct()
+    return incremental.complete(rows, GridSpec((60,), B))
+
+
+@query(_STREAM_SQL)
+def streaming_runs(spark, d):
+    """Micro-batches flushed as sorted runs, merged four to one, read by the last snapshot."""
+    spec, where = GridSpec((16, 8), 4), scratch(spark, "stream")
+    kept = runs.RunStore(spark, f"{where}/runs", spec, 3)
+    runs.flush_stream(_events(spark, d, f"{where}/in", 7), kept, f"{where}/state").start().awaitTermination()
+    return kept.read()
+
+
+@query(_STREAM_SQL)
+def streaming_final(spark, d):
+    """Coefficients emitted once each, when the last cell under them has come; cells come in shuffled order."""
+    spec, where = GridSpec((16, 8), 4), scratch(spark, "stream")
+    rows = spark.read.parquet(f"{d}/events.parquet").select(
+        (F.col("user_id") % 16).cast("int").alias("x0"), (F.col("event_id") % 8).cast("int").alias("x1"), (F.length("event_type") % 4).cast("int").alias("bin")
+    )
+    whole = completion.whole_cells(cells.cell_histogram(rows, spec.axes, F.col("bin")), spec)
+    whole.repartition(4, F.xxhash64("x0", "x1")).write.parquet(f"{where}/in")
+    arriving = spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1).parquet(f"{where}/in")
+    completion.store_final(arriving, spec, f"{where}/out", f"{where}/state").awaitTermination()
+    return spark.read.schema(", ".join(f"{k} int" for k in [*spec.keys, "bin"]) + ", ic long").parquet(f"{where}/out")
+
+
+# Stores and lookups
+
+
+@query(_with("SELECT * FROM coefs", _COEF))
+def encode_packed(spark, d):
+    """Encoding by packed keys, straight from rows: projected and reduced in tasks, one shuffle of two numbers a row."""
+    rows = points(spark, d)
+    spec = GridSpec((50, 11), B).with_range(rows, "value")
+    binned = rows.select(*spec.axes, binning.bin_linear(F.col("value"), spec.vmin, spec.vmax, B).alias("bin"), F.lit(1).cast("long").alias("w"))
+    return packed.encode(binned, spec)
+
+
+@query(_with(_BRUTE, _TABLE_BOXES))
+def region_stored(spark, d):
+    """A box for each supplier from stored coefficients: the scan reads the folders and row groups that the boxes need."""
+    spec, found = coefs(spark, d)
+    store.write_coefs(found, path := scratch(spark, "coefs"))
+    asked = wavelet.wanted(table_boxes(spark, d), spec)
+    sums = store.lookup(store.read_store(spark, path), asked).groupBy("qid", "bin").agg(F.sum(F.col("ic") * F.col("s")).alias("h"))
+    return sums.select("qid", "bin", F.round("h").cast("long").alias("h")).filter("h <> 0")
+
+
+@query(_with(f"SELECT budget, qid, bin, h FROM ({_BRUTE}), (VALUES ('none'), ('half'), ('all')) b(budget)", _TABLE_BOXES))
+def region_budget(spark, d):
+    """The same from two tiers, with no value in memory, half of them, and all."""
+    spec, found = coefs(spark, d)
+    store.write_coefs(found, path := scratch(spark, "coefs"))
+    found = store.read_store(spark, path)
+    n, out = found.count(), []
+    for name, budget in (("none", 0), ("half", n // 2), ("all", n)):
+        kept = tiers.TieredStore.write(found, scratch(spark, f"tiers-{name}"), spec, budget)
+        sums = kept.region_sums(table_boxes(spark, d)).select(F.lit(name).alias("budget"), "qid", "bin", F.round("h").cast("long").alias("h"))
+        sums.write.parquet(path := scratch(spark, f"budget-{name}"))
+        kept.close()
+        out.append(spark.read.schema(sums.schema).parquet(path))
+    return out[0].union(out[1]).union(out[2])
+
+
+@query(_with("SELECT qid, CAST(coalesce(sum(w), 0) AS BIGINT) AS h FROM boxes LEFT JOIN hist ON x0 > lo0 AND x0 <= hi0 AND x1 > lo1 AND x1 <= hi1 AND bin >= b0 AND bin <= b1 GROUP BY qid", _TABLE_BOXES))
+def region_bin_interval(spark, d):
+    """The weight of a range of bins in a box for each supplier, by two lookups a coefficient in sparse running sums."""
+    spec, found = coefs(spark, d)
+    return intervals.region_intervals(wavelet.bin_cumsum(found, spec), table_boxes(spark, d), spec).select("qid", F.round("h").cast("long").alias("h"))
+
+
+@query(_with("SELECT l0, l1, k0, k1, bin, 2 * ic AS ic FROM coefs", _COEF))
+def hybrid_add(spark, d):
+    """Coefficients packed as arrays or pairs, added to themselves and unpacked."""
+    spec, found = coefs(spark, d)
+    rows = hybrid.pack(found, spec)
+    return hybrid.unpack(hybrid.add(rows, rows, spec), spec)
+
+
+_ASKED = "SELECT p_partkey, CAST(p_size % 7 AS INTEGER) AS l0, CAST(p_partkey % 5 AS INTEGER) AS l1, CAST(p_partkey % CAST(pow(2, greatest(p_size % 7, 1) - 1) AS BIGINT) AS INTEGER) AS k0, CAST(p_partkey % CAST(pow(2, greatest(p_partkey % 5, 1) - 1) AS BIGINT) AS INTEGER) AS k1, CAST(p_partkey % 8 AS INTEGER) AS bin FROM part"
+
+
+@query(_with(f"SELECT p_partkey, coalesce(ic, 0) AS ic FROM ({_ASKED}) a LEFT JOIN coefs USING (l0, l1, k0, k1, bin)", _COEF))
+def hybrid_lookup(spark, d):
+    """A value for each part from packed rows, by address and bin."""
+    spec, found = coefs(spark, d)
+    parts = spark.read.parquet(f"{d}/part.parquet")
+    size, key = F.col("p_size"), F.col("p_partkey")
+    width = lambda level: F.pow(F.lit(2), F.greatest(level, F.lit(1)) - 1).cast("long")
+    asked = {"l0": size % 7, "l1": key % 5, "k0": key % width(size % 7), "k1": key % width(key % 5), "bin": key % 8}
+    return hybrid.lookup(hybrid.pack(found, spec), parts.select(key, *(c.cast("int").alias(k) for k, c in asked.items())), spec).select("p_partkey", "ic")
+
+
+# Rays
+
+_RAYS = """,
+ ray AS (SELECT s_suppkey AS ray, -5.0e0 - s_suppkey % 7 AS o0, s_suppkey * 3 % 160 / 10.0e0 AS o1, 1.0e0 + s_suppkey % 5 AS v0, (s_suppkey % 9 - 4) * 0.25e0 AS v1 FROM supplier),
+ leaf AS (SELECT k0, k1, k0 * 8.0e0 AS lo0, (k0 + 1) * 8.0e0 AS hi0, k1 * 2.0e0 AS lo1, (k1 + 1) * 2.0e0 AS hi1 FROM node WHERE level = 4),
+ met AS (SELECT ray, k0, k1, greatest(0, (lo0 - o0) / v0, CASE WHEN v1 <> 0 THEN least((lo1 - o1) / v1, (hi1 - o1) / v1) ELSE 0 END) AS t,
+   least((hi0 - o0) / v0, CASE WHEN v1 <> 0 THEN greatest((lo1 - o1) / v1, (hi1 - o1) / v1) WHEN o1 >= lo1 AND o1 <= hi1 THEN 1e9 ELSE -1 END) AS u FROM ray, leaf)"""
+
+
+@query(_with("SELECT ray, k0, k1, round(t, 6) AS t FROM (SELECT *, row_number() OVER (PARTITION BY ray ORDER BY t, k0, k1) AS n FROM met WHERE t <= u) WHERE n = 1", _TREE, _RAYS))
+def cursor_pick(spark, d):
+    """The block that a ray for each supplier meets first."""
+    spec, found = coefs(spark, d)
+    i = F.col("s_suppkey")
+    cols = {"ray": i, "o0": -5.0 - i % 7, "o1": i * 3 % 160 / 10.0, "v0": 1.0 + i % 5, "v1": (i % 9 - 4) * 0.25}
+    asked = spark.read.parquet(f"{d}/supplier.parquet").select(*(c.alias(k) for k, c in cols.items()))
+    return rays.pick(asked, tree.build(found, spec), spec).withColumn("t", F.round("t", 6))
+
+
+@query(
+    """WITH s AS (SELECT l_suppkey AS ray, l_orderkey AS step, l_extendedprice / 100000 AS c, 1 - exp(-l_discount * l_quantity / 100) AS a FROM lineitem),
+ f AS (SELECT ray, c, a, exp(coalesce(sum(ln(1 - a)) OVER (PARTITION BY ray ORDER BY step, c, a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS front FROM s)
+SELECT ray, round(sum(front * a * c), 6) AS c, round(1 - min(front * (1 - a)), 6) AS a FROM f GROUP BY ray"""
+)
+def ray_integral(spark, d):
+    """Colour and opacity along a ray for each supplier, from composited segments."""
+    a = rays.opacity(F.col("l_discount"), F.col("l_quantity") / 100)
+    samples = lineitem(spark, d).select(F.col("l_suppkey").alias("ray"), F.col("l_orderkey").alias("step"), (F.col("l_extendedprice") / 100000).alias("c"), a.alias("a"))
+    return rays.composite(rays.segments(samples, 4096)).select("ray", F.round("c", 6).alias("c"), F.round("a", 6).alias("a"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,6 +64,13 @@ class GridSpec:
         """Extents of a decoded field: padded from the wavelet store, those of the data from the SAT store."""
         return tuple(self.padded(d) for d in range(len(self.dims))) if padded else self.dims
 
+    @classmethod
+    def of(cls, points: DataFrame, n_bins: int) -> GridSpec:
+        """With the extents of points (x0 ..), found by one scan of their coordinates: each axis reaches to the greatest (an axis without any has one cell)."""
+        axes = [c for c in points.columns if c[0] == "x" and c[1:].isdigit()]
+        row = points.agg(*(F.max(c).alias(c) for c in axes)).first()
+        return cls(tuple((row[c] or 0) + 1 for c in axes), n_bins)
+
     def with_range(self, df: DataFrame, value: str) -> GridSpec:
         """With the range found by one scan of a column (one row comes back). NaN counts as null; without values the range is None, and no value has a bin."""
         v = F.col(value).cast("double")

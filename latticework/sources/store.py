@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..plans.spec import GridSpec
+
 
 def _writer(df: DataFrame, compression: str, level: int | None):
     """A Parquet writer with a codec and, for gzip (1 to 9) and zstd (1 to 22), its level."""
@@ -19,13 +21,36 @@ def _writer(df: DataFrame, compression: str, level: int | None):
     return out.option(names[compression], level if compression == "zstd" else gzip[level])
 
 
+def address_order(keys: list[str]) -> list[str]:
+    """l0, k0, l1, k1, ..: the order of stored coefficients. So a folder's row groups hold short ranges of k0, by which lookups skip them."""
+    return sorted(keys, key=lambda c: (int(c[1:]), c[0] == "k"))
+
+
 def write_coefs(coefs: DataFrame, path: str, compression: str = "zstd", level: int | None = None) -> None:
-    """Partitioned by the levels of axis 0, sorted by address: a lookup reads one folder and few row groups."""
-    keys = [c for c in coefs.columns if c[0] in "lk" and c[1:].isdigit()]
-    rows = coefs.repartition("l0", "l1" if "l1" in coefs.columns else "k0").sortWithinPartitions(*keys)
+    """Partitioned by the levels of axis 0, range-partitioned and sorted by the whole address: tasks get equal shares whatever the levels' sizes."""
+    keys = address_order([c for c in coefs.columns if c[0] in "lk" and c[1:].isdigit()])
+    rows = coefs.repartitionByRange(*keys).sortWithinPartitions(*keys)
     _writer(rows, compression, level).partitionBy("l0").parquet(path)
 
 
+def narrowed(stored: DataFrame, addresses: DataFrame, folder: str = "l0") -> DataFrame:
+    """stored without what addresses can't be: the scan reads only folders (partitions) that they name, and of these only row groups whose range of k0 they touch.
+
+    One row for each folder comes to the driver, its range of k0: as many as an axis has levels, or there are wavelets, whatever the number of addresses.
+    """
+    seen = addresses.groupBy(folder).agg(F.min("k0").alias("lo"), F.max("k0").alias("hi")).collect()
+    if not seen:
+        return stored.filter(F.lit(False))
+    ranges = [(F.col(folder) == r[folder]) & F.col("k0").between(r["lo"], r["hi"]) for r in seen]
+    return stored.filter(F.col(folder).isin([r[folder] for r in seen])).filter(reduce(lambda a, b: a | b, ranges))
+
+
+def lookup(stored: DataFrame, addresses: DataFrame) -> DataFrame:
+    """Stored rows at addresses (l0 .., k0 .., and what else each carries), joined by address after the scan has been narrowed."""
+    keys = [c for c in addresses.columns if c[0] in "lk" and c[1:].isdigit()]
+    return narrowed(stored, addresses).join(addresses, keys)
+
+
 def write_sat(table: DataFrame, path: str, compression: str = "zstd", level: int | None = None) -> None:
     _writer(table.repartition("bin", "x0").sortWithinPartitions("bin", "x0"), compression, level).partitionBy("bin").parquet(path)
 
@@ -73,15 +98,28 @@ def vector_field(u: DataFrame, v: DataFrame, axes: list[str]) -> DataFrame:
     return u.withColumnRenamed("value", "u").join(v.withColumnRenamed("value", "v"), axes, "full")
 
 
-def spheres(spark: SparkSession, edge: int = 64) -> DataFrame:
-    """(x0, x1, x2, value): five Gaussian balls on the diagonal of a cube, each with a maximum of 1, scaled to its edge."""
-    # fixed values: radius and centre of each ball in a cube of edge 64; sigma is 1.1 radius
-    balls = [(8.0, 48.0), (4.0, 24.0), (2.0, 12.0), (1.0, 6.0), (1.0, 2.0)]
-    scale = edge / 64.0
-    i = F.col("id")
-    axes = [(i % edge).cast("int"), (F.floor(i / edge) % edge).cast("int"), F.floor(i / (edge * edge)).cast("int")]
-    value = F.lit(0.0)
-    for radius, centre in balls:
-        square = reduce(lambda a, b: a + b, [(x - F.lit(centre * scale)) * (x - F.lit(centre * scale)) for x in axes])
-        value = value + F.exp(-square / F.lit(2.0 * (1.1 * radius * scale) ** 2))
-    return spark.range(edge**3).select(*(x.alias(f"x{d}") for d, x in enumerate(axes)), value.alias("value"))
+#: Radius and centre (the same along every axis) of the five balls of the usual test volume, in a cube of edge 64 (fixed values).
+FIVE_BALLS = [(8.0, 48.0), (4.0, 24.0), (2.0, 12.0), (1.0, 6.0), (1.0, 2.0)]
+
+
+def spheres(balls: DataFrame, edge: int = 64, reach: float = 3.0) -> DataFrame:
+    """(x0, x1, x2, value) of every cell of a cube: the sum of Gaussian balls (c0, c1, c2, radius), each with a maximum of 1 and a sigma of 1.1 radius.
+
+    A ball is dealt out to the cells within ``reach`` sigmas along every axis and is 0 beyond, so balls times the volume of one are added up, never balls times cells.
+    """
+    sigma = F.col("radius") * 1.1
+    out = balls
+    for d in range(3):
+        first, last = (F.ceil(F.col(f"c{d}") - sigma * reach), F.floor(F.col(f"c{d}") + sigma * reach))
+        first, last = F.greatest(first, F.lit(0)).cast("int"), F.least(last, F.lit(edge - 1)).cast("int")
+        out = out.filter(first <= last).withColumn(f"x{d}", F.explode(F.sequence(first, last)))
+    square = reduce(lambda a, b: a + b, [(F.col(f"x{d}") - F.col(f"c{d}")) * (F.col(f"x{d}") - F.col(f"c{d}")) for d in range(3)])
+    near = out.groupBy("x0", "x1", "x2").agg(F.sum(F.exp(-square / (2 * sigma * sigma))).alias("value"))
+    every = GridSpec((edge,) * 3, 1).lattice(balls.sparkSession)
+    return every.join(near, ["x0", "x1", "x2"], "left").select("x0", "x1", "x2", F.coalesce("value", F.lit(0.0)).alias("value"))
+
+
+def five_balls(spark: SparkSession, edge: int = 64) -> DataFrame:
+    """The balls of the usual test volume, for ``spheres``, scaled to its edge."""
+    scale = edge / 64
+    return spark.createDataFrame([(c * scale, c * scale, c * scale, r * scale) for r, c in FIVE_BALLS], "c0 double, c1 double, c2 double, radius double")
