@@ -10,6 +10,9 @@ Documents are sets of five-word shingles. Equal sets are one class, joined by on
 * First every member of a first-level node is compared with the node's pivot, its smallest id. Confirmed links join most copies to one component at once.
 * Then only nodes that still hold two components matter. ``nearest`` times every member of a first-level node is compared with the most similar member of
   another component in its block of the node, which joins what is left of large groups of copies.
+* Nodes of more than ``dense`` members that still hold two components are mostly documents around something common, a passage or a template, just too unlike to
+  be linked; branching such a node by similarity hardly makes it smaller, and its pairs grow with its square. They are resolved by their rare shingles first
+  (``_resolved``), in work that grows with their words, and of their members only those stay that could be linked by common shingles alone.
 * Of the nodes that still hold two components, those of at most ``leaf`` members are compared exhaustively, across components only, in pairs of blocks of
   ``block`` members; larger ones are branched again. Nodes still large at the last depth are compared in the same way. Where a pair of blocks has more than
   two possible links a row (say, short documents around one common passage), it isn't the pairs that are handed on but the rows, and whole sets are
@@ -328,6 +331,85 @@ def _confirmed_groups(members: DataFrame, docs: DataFrame, percent: int, name: s
     return links
 
 
+def _shingle_rows(texts: DataFrame) -> DataFrame:
+    """(id, comp, shingle) of (id, comp, text): a row for each distinct shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offs = _text.text_bytes(batch.column(2))
+            for i, j, d, o in _text.chunks(data, offs):
+                sets, at = shingle_sets(d, o)
+                own = pa.array(_text.owners(at))
+                columns = [batch.column(k).slice(i, j - i).take(own) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(sets.view(np.int64))], names=["id", "comp", "shingle"])
+
+    return shared.mapped(texts, run, "id long, comp long, shingle long")
+
+
+def _meeting(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of (shingle, id, comp) that share a shingle and not a component; for shingles that few ids have."""
+
+    def found(table: pa.Table) -> pa.RecordBatch:
+        shingle, ids, comp = (table.column(k).to_numpy() for k in ("shingle", "id", "comp"))
+        pairs = [np.zeros((2, 0), np.int64)]
+        for d in range(1, len(shingle)):
+            at = np.flatnonzero(shingle[d:] == shingle[:-d])
+            if not len(at):
+                break
+            at = at[comp[at] != comp[at + d]]
+            pairs.append(np.sort(np.stack([ids[at], ids[at + d]]), axis=0))
+        both = np.unique(np.concatenate(pairs, axis=1), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches, "shingle"):
+            yield found(table)
+
+    return shared.mapped(rows.select("shingle", "id", "comp").repartition("shingle").sortWithinPartitions("shingle"), run, "a long, b long").distinct()
+
+
+def _resolved(members: DataFrame, docs: DataFrame, percent: int, rare: int, most: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """Of large nodes (node, id, comp, n, s0 .. s3): links (a, b) across components, and the (node, id) that are still to be compared.
+
+    Only shingles that two components have can make a link; call those that more than ``rare`` members have common. Two linked members either share a rare one, and
+    such pairs are found by it (at most ``rare`` a shingle, then by sizes, sketches and whole sets); or their common shingles alone are enough, so both have so
+    many that for sizes x and y, common >= percent / (100 + percent) * (x + y). Members with fewer are done. Of those with the very same common shingles the smallest
+    is linked to all that can be linked to any of them; the others go on only if their node has a member small enough for the bound. So nothing is missed.
+    """
+    ids = shared.written(members.select(F.col("id").alias("doc_id"), "comp", *_CARRY).distinct(), f"{name}-ids")
+    some = _marked(docs, ids.select("doc_id")).filter("nd_maybe").select("doc_id", "text")
+    texts = some.join(ids.select("doc_id", "comp"), "doc_id").select(F.col("doc_id").alias("id"), "comp", "text")
+    shingles = shared.written(_shingle_rows(texts), f"{name}-shingles")
+    counts = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    counts = shared.written(counts.filter("lo <> hi").select("shingle", "members"), f"{name}-counts")
+    held = shared.written(shingles.join(counts, "shingle"), f"{name}-held")
+    shared.drop(shingles)
+
+    pairs = _meeting(held.filter(F.col("members") <= rare))
+    for side in "ab":
+        pairs = pairs.join(ids.select(F.col("doc_id").alias(side), *(F.col(c).alias(f"{side}{c}") for c in _CARRY)), side)
+    sketches_ = ([f"{side}{c}" for c in _SKETCH] for side in "ab")
+    pairs = pairs.filter(_alike("an", "bn", percent) & (_disagree(*sketches_) <= most)).select("a", "b")
+
+    common = held.filter(F.col("members") > rare).groupBy("id", "comp")
+    common = common.agg(F.count(F.lit(1)).alias("common"), F.expr("bit_xor(xxhash64(shingle))").alias("c1"), F.expr("bit_xor(xxhash64(shingle, 1))").alias("c2"))
+    common = common.join(ids.select(F.col("doc_id").alias("id"), "n"), "id").filter(100 * F.col("common") >= percent * F.col("n"))
+    common = shared.written(common, f"{name}-common")
+    first = common.groupBy("c1", "c2").agg(F.min(F.struct("n", "id", "comp")).alias("first"))
+    told = common.join(first, ["c1", "c2"]).select("id", "comp", "common", "n", "first")
+    told = told.withColumn("near", (100 + percent) * F.col("common") >= percent * (F.col("n") + F.col("first.n")))
+    told = shared.written(told, f"{name}-told")
+    stars = told.filter(F.col("near") & (F.col("comp") != F.col("first.comp"))).select(F.col("first.id").alias("a"), F.col("id").alias("b"))
+    links = confirmed(shared.written(pairs.union(stars), f"{name}-pairs"), docs, percent, name)
+
+    left = told.filter(~F.col("near") | (F.col("id") == F.col("first.id"))).select("id", "n", "common")
+    there = members.select("node", "id").join(left, "id")
+    least = there.groupBy("node").agg(F.min("n").alias("least"))
+    keep = shared.written(there.join(least, "node").filter((100 + percent) * F.col("common") >= percent * (F.col("n") + F.col("least"))).select("node", "id"), f"{name}-left")
+    shared.drop(ids, counts, held, common, told)
+    return links, keep
+
+
 def components(links: DataFrame, name: str) -> DataFrame:
     """(id, comp) of every id in links (a, b): comp is the smallest id it reaches.
 
@@ -354,8 +436,10 @@ def near_duplicates(
     text: str = "text",
     percent: int = 75,
     trees: int = 6,
-    leaf: int = 2048,
+    leaf: int = 1024,
     block: int = 512,
+    dense: int = 512,
+    rare: int = 32,
     nearest: int = 1,
     depth: int = 16,
     most: int = 46,
@@ -422,6 +506,19 @@ def near_duplicates(
         labels = components(links, f"nd-near{turn}")
 
     open_nodes, leaves, levels = labelled(first_level), [], []
+    held = shared.written(mixed(open_nodes), "nd-first")
+    levels.append(held)
+    large = held.filter(F.col("size") > dense)
+    if large.limit(1).count():
+        more, keep = _resolved(large, rows, percent, rare, most, "nd-dense")
+        links = links.union(more)
+        shared.drop(labels)
+        labels = components(links, "nd-dense")
+        levels.append(keep)
+        stay = held.filter(F.col("size") <= dense).union(large.join(keep, ["node", "id"], "left_semi").select(*held.columns))
+        open_nodes = labelled(stay.select("node", "id", *_CARRY))
+    else:
+        open_nodes = held.drop("size")
     for level in range(1, depth + 1):
         held = shared.written(mixed(open_nodes), f"nd-level{level}")
         levels.append(held)

@@ -92,7 +92,7 @@ def planted(seed=4):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("options", [{}, {"leaf": 64, "block": 16, "depth": 3}])
+@pytest.mark.parametrize("options", [{}, {"leaf": 64, "block": 16, "depth": 3}, {"dense": 8, "rare": 4}, {"dense": 2, "rare": 1, "leaf": 16, "block": 8}])
 def test_near_duplicates_are_all_found(spark, options):
     rows = planted()
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, kept int")
@@ -102,6 +102,54 @@ def test_near_duplicates_are_all_found(spark, options):
     assert len({c for _, c in want.values()}) < len(rows) - 300
 
 
+def template_rows(n, seed=3):
+    """Documents around three passages of 100 words with 36, 21 and 17 words of their own (similarity 0.55 to 0.74), some with fewer, some one word apart, some with a passage that is torn."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    texts = []
+    for own in (36, 21, 17):
+        head = [word() for _ in range(100)]
+        for i in range(n):
+            mine = list(head)
+            if i % 40 == 1:
+                mine[rng.randrange(100)] = word()
+            texts.append(" ".join([*mine, *(word() for _ in range(own if i % 50 else rng.randint(3, own)))]))
+        texts += [texts[-1 - 7 * k] + " end" for k in range(n // 40)]
+    rng.shuffle(texts)
+    return list(enumerate(texts))
+
+
+def test_templates_are_resolved_by_rare_shingles(spark):
+    rows = template_rows(700)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = near_dup.near_duplicates(docs, dense=128).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute_components(rows)
+
+
+def test_rows_compared_grow_with_documents(spark, monkeypatch):
+    """Documents around a passage, just too unlike to be linked: a few rows each are compared, however many documents there are."""
+    plain, meeting, each = near_dup._compared, near_dup._meeting, []
+    seen = []
+    monkeypatch.setattr(near_dup, "_compared", lambda nodes, *a: (seen.append(nodes.count()), plain(nodes, *a))[1])
+    monkeypatch.setattr(near_dup, "_meeting", lambda rows: (seen.append(rows.count()), meeting(rows))[1])
+    for n in (500, 2000):
+        seen.clear()
+        rows = template_rows(n, n)
+        near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+        each.append(sum(seen) / len(rows))
+    assert max(each) < 50 and each[1] < 1.3 * each[0]
+
+
+def test_long_texts_in_large_nodes(spark):
+    """Texts of 30,000 words around common ones, one of them a near copy of another."""
+    rng = random.Random(6)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(30_000)]
+    rows = [(i, " ".join([*words[: 24_000], *(f"x{i}y{k}" for k in range(9_000))])) for i in range(12)]
+    rows.append((12, rows[5][1] + " and more"))
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), dense=4, rare=3).collect()}
+    assert got == {**{i: i for i in range(12)}, 12: 5}
+
+
 def test_near_duplicates_on_documents_and_edges(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
