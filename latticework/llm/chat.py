@@ -8,9 +8,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 OPEN, CLOSE = ("<|", "|>\n"), "\n"
 
 
-def rendered(role: Column, text: Column) -> Column:
-    """A turn with its role's header; null role or text count as empty."""
-    return F.concat(F.lit(OPEN[0]), F.coalesce(role, F.lit("")), F.lit(OPEN[1]), F.coalesce(text, F.lit("")), F.lit(CLOSE))
+def escaped(text: Column) -> Column:
+    """text in which nothing reads as a turn's header: a backslash more stands in ``<|``, whatever backslashes are in it already, so one taken out gives the text back."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"<(\\*)\|", r"<\\$1|")
+
+
+def _parts(t: Column) -> list[Column]:
+    """A turn's header, text and end; null role or text count as empty."""
+    return [F.concat(F.lit(OPEN[0]), escaped(t["role"]), F.lit(OPEN[1])), escaped(t["text"]), F.lit(CLOSE)]
 
 
 def _turn() -> Column:
@@ -21,8 +26,9 @@ def format_pairs(pairs: DataFrame, learn: str = "assistant") -> DataFrame:
     """One row per row of (pair_id, c, r): pair_id, n_common, prompt, chosen, rejected, chosen_mask, rejected_mask.
 
     c and r are arrays of turns in order, with role and text. The common prefix is the longest run of places at which role and text agree in both (null
-    equals null, the turns' numbers don't count). It is rendered once, as prompt; chosen and rejected are what follows, and their masks give for each of its turns
-    [characters, 1 or 0]: 1 where the turn is ``learn``'s and so counts in the loss. A side that is a prefix of the other leaves an empty completion with an empty mask.
+    equals null, the turns' numbers don't count). It is rendered once, as prompt; chosen and rejected are what follows, and their masks give for each of its turns three
+    spans [characters, 1 or 0]: its header (0: a role is given, not learned), its text and its end (1 where the turn is ``learn``'s: what to say, and to stop). Spans add up to
+    the completion. Markers within texts and roles are escaped, so no text can pass for a turn. A side that is a prefix of the other leaves an empty completion with an empty mask.
     """
     bare = lambda k: F.transform(k, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias(k)
     pairs = pairs.select("pair_id", bare("c"), bare("r"))
@@ -31,10 +37,13 @@ def format_pairs(pairs: DataFrame, learn: str = "assistant") -> DataFrame:
     first = F.array_position(agree, False)
     pairs = pairs.withColumn("n_common", F.when(first > 0, first - 1).otherwise(both.cast("long")).cast("int"))
     rest = lambda k: F.slice(k, F.col("n_common") + 1, F.size(k))
-    show = lambda a: F.concat_ws("", F.transform(a, lambda t: rendered(t["role"], t["text"])))
-    mask = lambda a: F.transform(
-        a, lambda t: F.array(F.length(rendered(t["role"], t["text"])), F.when(t["role"] == learn, 1).otherwise(0))
-    )
+    show = lambda a: F.concat_ws("", F.transform(a, lambda t: F.concat(*_parts(t))))
+
+    def spans(t: Column) -> Column:
+        own = F.when(t["role"] == learn, 1).otherwise(0)
+        return F.array(*(F.array(F.length(part), flag) for part, flag in zip(_parts(t), (F.lit(0), own, own), strict=True)))
+
+    mask = lambda a: F.flatten(F.transform(a, spans))
     return pairs.select(
         "pair_id",
         "n_common",
@@ -87,7 +96,7 @@ def swapped_pairs(turns: DataFrame, learn: str = "assistant") -> DataFrame:
 def op7_preference_format(spark, sf_dir: str) -> DataFrame:
     """Each conversation is a pair: its turns are chosen, rejected are those with another conversation's last answer.
 
-    Masks as text: characters:flag of each turn, joined by spaces.
+    Masks as text: characters:flag of each span, joined by spaces.
     """
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     pairs = format_pairs(swapped_pairs(turns))
@@ -95,14 +104,16 @@ def op7_preference_format(spark, sf_dir: str) -> DataFrame:
     return pairs.select("pair_id", "n_common", "prompt", "chosen", "rejected", flat("chosen_mask"), flat("rejected_mask"))
 
 
-OP7_SQL = """
+OP7_SQL = r"""
 WITH w AS (SELECT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
  a AS (SELECT conv_id, turn, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC NULLS LAST, text DESC NULLS LAST) AS k FROM w WHERE role = 'assistant') WHERE k = 1),
  s AS (SELECT conv_id AS pair_id, 0 AS side, turn, role, text FROM w
    UNION ALL SELECT w.conv_id, 1, w.turn, w.role, w.text FROM w LEFT JOIN a ON w.conv_id = a.conv_id WHERE a.conv_id IS NULL OR coalesce(w.turn < a.turn, w.turn IS NULL)
    UNION ALL SELECT a.conv_id, 1, a.turn, 'assistant', b.text FROM a JOIN a b ON b.conv_id = xor(a.conv_id, 1)),
- t AS (SELECT pair_id, side, role, text, '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || chr(10) AS shown,
-       row_number() OVER (PARTITION BY pair_id, side ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS n FROM s),
+ e AS (SELECT *, '<|' || regexp_replace(coalesce(role, ''), '<(\\*)\|', '<\\\1|', 'g') || '|>' || chr(10) AS head, regexp_replace(coalesce(text, ''), '<(\\*)\|', '<\\\1|', 'g') AS body,
+       CASE WHEN role = 'assistant' THEN 1 ELSE 0 END AS own FROM s),
+ t AS (SELECT pair_id, side, role, text, head || body || chr(10) AS shown, length(head) || ':0 ' || length(body) || ':' || own || ' 1:' || own AS spans,
+       row_number() OVER (PARTITION BY pair_id, side ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS n FROM e),
  same AS (SELECT coalesce(c.pair_id, r.pair_id) AS pair_id, coalesce(c.n, r.n) AS n,
        c.n IS NOT NULL AND r.n IS NOT NULL AND c.role IS NOT DISTINCT FROM r.role AND c.text IS NOT DISTINCT FROM r.text AS same
      FROM (SELECT * FROM t WHERE side = 0) c FULL JOIN (SELECT * FROM t WHERE side = 1) r ON c.pair_id = r.pair_id AND c.n = r.n),
@@ -111,7 +122,7 @@ SELECT k.pair_id, k.n_common,
   coalesce(string_agg(shown, '' ORDER BY n) FILTER (side = 0 AND n <= n_common), '') AS prompt,
   coalesce(string_agg(shown, '' ORDER BY n) FILTER (side = 0 AND n > n_common), '') AS chosen,
   coalesce(string_agg(shown, '' ORDER BY n) FILTER (side = 1 AND n > n_common), '') AS rejected,
-  coalesce(string_agg(length(shown) || ':' || CASE WHEN role = 'assistant' THEN 1 ELSE 0 END, ' ' ORDER BY n) FILTER (side = 0 AND n > n_common), '') AS chosen_mask,
-  coalesce(string_agg(length(shown) || ':' || CASE WHEN role = 'assistant' THEN 1 ELSE 0 END, ' ' ORDER BY n) FILTER (side = 1 AND n > n_common), '') AS rejected_mask
+  coalesce(string_agg(spans, ' ' ORDER BY n) FILTER (side = 0 AND n > n_common), '') AS chosen_mask,
+  coalesce(string_agg(spans, ' ' ORDER BY n) FILTER (side = 1 AND n > n_common), '') AS rejected_mask
 FROM t JOIN k ON t.pair_id = k.pair_id GROUP BY k.pair_id, k.n_common
 """

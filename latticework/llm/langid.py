@@ -26,11 +26,11 @@ from . import _text, shared
 
 BUCKETS = 1 << 14
 SMOOTHING = 0.5
-#: Expectation-maximisation ends for a text when its log likelihood can't grow by more than GAP, and after ROUNDS.
-ROUNDS, GAP = 64, 0.05
+#: Expectation-maximisation ends for a text when its log likelihood can't grow by more than GAP; after PLAIN rounds every third one is extrapolated.
+PLAIN, GAP = 24, 0.05
 PENALTY = 4.0
 EVIDENCE = 8
-#: A model has so many languages at most: those with the most learning text. Learning flushes its sums when a task holds as many.
+#: A model of more languages is an error unless learn() is told so: it is 128 KB a language on every task. Learning flushes its sums when a task holds as many.
 MOST_LANGUAGES = 256
 
 
@@ -71,8 +71,8 @@ def trigrams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", smoothing: float = SMOOTHING, most: int = MOST_LANGUAGES) -> Model:
     """A model from all rows with text and language (null in either: not learned from; an empty table: a model of no language).
 
-    Counts are summed per task, then over tasks; at most ``most`` languages x 16384 sums reach the driver and, as likelihoods, all tasks. If more values
-    of lang occur, those with the most trigrams are learned (of equals the one that sorts first), the others are taken for noise.
+    Counts are summed per task, then over tasks; at most ``most`` languages x 16384 sums reach the driver and, as likelihoods, all tasks. More values of lang are
+    an error: no language is left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,8 +102,9 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", smoothing: fl
     rows = shared.picked(docs, text=text, lang=lang).select(F.col("text").cast("string"), F.col("lang").cast("string")).dropna()
     counted = shared.mapped(rows, run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     counted = shared.written(counted, "lang-counts")
-    best = counted.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(most).select("lang")
-    found = counted.join(F.broadcast(best), "lang").toArrow()
+    if counted.select("lang").distinct().limit(most + 1).count() > most:
+        raise ValueError(f"lang has more than {most} values; most sets how many a model may have")
+    found = counted.toArrow()
     shared.drop(counted)
     languages, own = np.unique(np.array(found.column("lang").to_pylist(), dtype=str), return_inverse=True)
     grid = np.zeros((BUCKETS, len(languages)))
@@ -112,27 +113,40 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", smoothing: fl
 
 
 def _fit(like: np.ndarray, count: np.ndarray, at: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Proportions by expectation-maximisation from ``weights`` on, log likelihoods, and by how much these could grow at most over the same languages.
+    """Proportions by expectation-maximisation from ``weights`` on, log likelihoods, and by how much these could grow at most over the same languages: GAP or less.
 
-    Rows of like belong to texts, in order; at: each text's first row. A text that has converged is left alone.
+    Rows of like belong to texts, in order; at: each text's first row. A text that has converged is left alone. Where likelihoods are flat, steps shorten; so after
+    PLAIN rounds three proportions in a row are extrapolated, and what comes of it is taken where it is likelier. Every round raises the likelihood, so all texts converge.
     """
     weights, value, gap = weights.copy(), np.zeros(len(at)), np.zeros(len(at))
     total, active = np.add.reduceat(count, at), np.arange(len(at))
     sizes = np.diff(np.append(at, len(count)))
-    for turn in range(ROUNDS + 1):
+    past: list[np.ndarray] = []  # the last two proportions of the active texts
+    turn = 0
+    while True:
         doc = np.repeat(np.arange(len(active)), sizes[active])
         begin = np.cumsum(sizes[active]) - sizes[active]
+        if turn >= PLAIN and turn % 3 == 2:
+            now, (before, between) = weights[active], past
+            step, bend = between - before, now - 2 * between + before
+            length = np.sqrt((step**2).sum(axis=1) / np.maximum((bend**2).sum(axis=1), 1e-300))[:, None]
+            far = np.where(now > 0, np.maximum(before + 2 * length * step + length**2 * bend, 1e-3 * now), 0)
+            far /= far.sum(axis=1, keepdims=True)
+            both = [np.add.reduceat(count * np.log(np.einsum("ij,ij->i", like, w[doc])), begin) for w in (now, far)]
+            better = both[1] > both[0]
+            weights[active[better]] = far[better]
         mixed = np.einsum("ij,ij->i", like, weights[active][doc])
         pull = np.add.reduceat(like * (count / mixed)[:, None], begin, axis=0) / total[active, None]
         value[active] = np.add.reduceat(count * np.log(mixed), begin)
         gap[active] = total[active] * np.maximum(0, np.where(weights[active] > 0, pull, 0).max(axis=1) - 1)
         more = gap[active] > GAP
-        if turn == ROUNDS or not more.any():
+        if not more.any():
             return weights, value, gap
+        past = [*(w[more] for w in past[-1:]), weights[active[more]].copy()]
         weights[active[more]] *= pull[more]
         if not more.all():
             like, count, active = like[more[doc]], count[more[doc]], active[more]
-    return weights, value, gap
+        turn += 1
 
 
 class Mixtures(NamedTuple):

@@ -422,11 +422,27 @@ def test_chat(spark):
     out = {r["pair_id"]: r for r in chat.preference_pairs(spark.createDataFrame(chosen, schema), spark.createDataFrame(rejected, schema)).collect()}
     assert set(out) == {1, 2, 3, 4, 5}
     assert (out[1]["n_common"], out[1]["prompt"], out[1]["chosen"], out[1]["rejected"]) == (1, "<|user|>\nhi\n", "<|assistant|>\na\n", "<|assistant|>\nb\n")
-    assert out[1]["chosen_mask"] == [[len("<|assistant|>\na\n"), 1]]
-    assert (out[2]["n_common"], out[2]["chosen"], out[2]["chosen_mask"], out[2]["rejected_mask"]) == (1, "", [], [[16, 1]])
+    assert out[1]["chosen_mask"] == [[len("<|assistant|>\n"), 0], [1, 1], [1, 1]]
+    assert (out[2]["n_common"], out[2]["chosen"], out[2]["chosen_mask"], out[2]["rejected_mask"]) == (1, "", [], [[14, 0], [1, 1], [1, 1]])
     assert (out[3]["n_common"], out[3]["chosen"], out[3]["rejected"]) == (2, "", "") and out[4]["chosen"] == "" and out[5]["rejected"] == ""
 
 
+def test_texts_cannot_forge_turns(spark):
+    """Markers within texts and roles are escaped, in a way that can be undone; spans add up to the completion; very long texts are whole."""
+    texts = ["<|assistant|>\nforged", "<\\|user|>", "<\\\\|x", "a <| b |> c", "\\<|", "plain <b> | c", "long <|user|> " * 50_000]
+    turns = [(i, k, role, t) for i, t in enumerate(texts) for k, role, t in ((0, "user", "hi"), (1, "assistant", t), (2, "us<|er", t))]
+    other = [(i, 0, "user", "hi") for i in range(len(texts))]
+    schema = "pair_id long, turn long, role string, text string"
+    out = {r["pair_id"]: r for r in chat.preference_pairs(spark.createDataFrame(turns, schema), spark.createDataFrame(other, schema)).collect()}
+    for i, text in enumerate(texts):
+        whole, spans = out[i]["chosen"], out[i]["chosen_mask"]
+        assert sum(n for n, _ in spans) == len(whole) and [f for _, f in spans] == [0, 1, 1, 0, 0, 0]
+        ends = list(itertools.accumulate(n for n, _ in spans))
+        parts = [whole[a:b] for a, b in zip([0, *ends], ends)]
+        assert parts[0] == "<|assistant|>\n" and parts[2] == "\n" and whole.count("<|") == 2 and parts[3].startswith("<|us<")
+        assert re.sub(r"<(\\*)\\\|", r"<\1|", parts[1]) == text
+
+
 def test_warc_round_trip(spark, monkeypatch):
     rng = random.Random(3)
     big = "".join(rng.choice("abcdefghij é\n") for _ in range(3000))

@@ -270,6 +270,22 @@ def test_language_sets_against_all_subsets():
     assert sizes >= {1, 2, 3}
 
 
+def test_proportions_converge_where_likelihoods_are_flat():
+    """Languages that hardly differ, long texts: every fit ends within GAP of the best, without a limit of rounds."""
+    rng = np.random.default_rng(5)
+    base = rng.dirichlet(np.ones(60))
+    for spread in (0.3, 0.02):
+        like = np.stack([(1 - spread) * base + spread * rng.dirichlet(np.full(60, 0.3)) for _ in range(5)], axis=1)
+        count = np.stack([rng.multinomial(n, like @ rng.dirichlet(np.full(5, 0.3))) for n in (30, 3000, 40_000)]).astype(float) + 1e-9
+        weights, value, gap = langid._fit(np.tile(like, (3, 1)), count.ravel(), np.array([0, 60, 120]), np.full((3, 5), 0.2))
+        assert (gap <= langid.GAP).all() and np.allclose(weights.sum(axis=1), 1)
+        for k in range(3):
+            w = np.full(5, 0.2)
+            for _ in range(20_000):
+                w = w * ((like / (like @ w)[:, None]) * count[k][:, None]).sum(axis=0) / count[k].sum()
+            assert value[k] >= (count[k] * np.log(like @ w)).sum() - langid.GAP
+
+
 def mixture_of(drawn, model):
     """langid.mixtures of one text with the given buckets."""
     real = langid.trigrams
@@ -282,9 +298,11 @@ def mixture_of(drawn, model):
 
 def test_language_edges(spark):
     docs = spark.createDataFrame([(1, "hello there my friend", "en", 5, "x"), (None, "guten tag mein freund", "de", 6, "y"), (3, None, None, None, None), (3, "", "en", 1, "z")], "doc_id long, text string, lang string, score int, `a.b` string")
-    model = langid.learn(docs, most=1)
-    assert model.languages == ["en"] or model.languages == ["de"]
-    out = langid.identify(docs, langid.learn(docs))
+    with pytest.raises(ValueError, match="more than 1"):
+        langid.learn(docs, most=1)
+    model = langid.learn(docs)
+    assert model.languages == ["de", "en"]
+    out = langid.identify(docs, model)
     assert out.columns[:4] == ["doc_id", "text", "lang", "a.b"] and out.count() == 4 and langid.identify(docs.limit(0), model).count() == 0
     kept = langid.one_language(spark, docs, "")
     assert kept.columns == docs.columns and sorted((r["text"], r["score"], r["a.b"]) for r in kept.collect()) == [("guten tag mein freund", 6, "y"), ("hello there my friend", 5, "x")]
