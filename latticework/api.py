@@ -8,12 +8,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .functions import binning
-from .operators import cells, fields, sat, udf, wavelet
+from .operators import cells, fields, intervals, rays, sat, tree, udf, wavelet
 from .plans.spec import GridSpec
-from .sources import store
+from .sources import store, tiers
 
 
 PARTS = ("bins", "coefs", "sat")
+ROUTES = ("coefs", "lookup", "tiers", "sat", "bins")
 
 
 class GridStore:
@@ -37,11 +38,13 @@ class GridStore:
         level: int | None = None,
         contour: bool = False,
         parts: tuple[str, ...] = PARTS,
+        budget: int | None = None,
     ) -> GridStore:
         """Bins a value over its range, aggregates and stores. Later runs need no second look at the data's range.
 
         Each row goes to its linear bin. With contour the rows are a field instead, averaged per cell, and every unit cell between 2^D neighbours has the
-        shares of its values in all bins. parts: which of bins, coefs and sat to store (bins always are).
+        shares of its values in all bins. parts: which of bins, coefs and sat to store (bins always are). budget: coefficients are stored in two tiers as well,
+        with so many values in the hot one (0 is a tier of none).
         """
         points = cells.cells(df, coords, value)
         if contour:
@@ -57,6 +60,8 @@ class GridStore:
         hist = store.read_bins(spark, f"{path}/bins")
         if "coefs" in parts:
             store.write_coefs(wavelet.encode(hist, spec), f"{path}/coefs", compression, level)
+            if budget is not None:
+                tiers.TieredStore.write(store.read_store(spark, f"{path}/coefs"), f"{path}/tiers", spec, budget, compression, level).close()
         if "sat" in parts:
             store.write_sat(sat.sat(hist, spec), f"{path}/sat", compression, level)
         return cls(spark, path)
@@ -92,12 +97,30 @@ class GridStore:
         """Boxes of one edge at places that are the same every time."""
         return sat.random_boxes(self.spark, self.spec, window, count)
 
+    def tiered(self) -> tiers.TieredStore:
+        """The coefficients in two tiers, of a store that was encoded with a budget; close it after use."""
+        return tiers.TieredStore(self.spark, f"{self.path}/tiers", self.spec)
+
     def region_histogram(self, boxes: DataFrame, route: str = "coefs") -> DataFrame:
-        """(qid, bin, h), from coefficients (coefs), summed-area tables (sat) or cells (bins)."""
+        """(qid, bin, h): from all coefficients with the coarse ones sent to every task (coefs), from the folders and row groups that the boxes need (lookup: for few
+        boxes), from two tiers under a budget (tiers), from summed-area tables (sat) or from cells (bins)."""
         if route == "coefs":
-            return wavelet.region_sums(self.coefs, boxes, self.spec)
+            return wavelet.region_sums(self.coefs, boxes, self.spec, stored=True)
+        if route == "lookup":
+            found = store.lookup(self.coefs, wavelet.wanted(boxes, self.spec))
+            return found.groupBy("qid", "bin").agg(F.sum(F.col("ic") * F.col("s")).alias("h")).filter("h <> 0")
+        if route == "tiers":
+            return self.tiered().region_sums(boxes)
         return sat.region_sums(self.sat, boxes, self.spec) if route == "sat" else sat.region_brute(self.bins, boxes, self.spec)
 
+    def region_intervals(self, boxes: DataFrame) -> DataFrame:
+        """(qid, h) of boxes with a range of bins each (b0, b1), by two lookups a coefficient."""
+        return intervals.region_intervals(wavelet.bin_cumsum(self.coefs, self.spec), boxes, self.spec)
+
+    def pick(self, asked: DataFrame) -> DataFrame:
+        """(ray, k0 .., t): the deepest block with data that each ray (ray, o0 .., v0 ..) meets first."""
+        return rays.pick(asked, tree.build(self.coefs, self.spec), self.spec)
+
     def coef_sparse(self, levels: tuple[int, ...], place: tuple[int, ...]) -> DataFrame:
         return wavelet.coef_sparse(self.coefs, levels, place)
 
