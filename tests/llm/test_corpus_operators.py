@@ -248,6 +248,43 @@ def test_search_skips_blocks():
         shares.append(searcher.decoded / searcher.postings)
     print("share of postings decoded:", shares)
     assert shares[1] <= shares[0] < 0.5
+    # where all terms together can't reach the threshold there is no pivot term, and no block is looked at
+    queries.floor = np.full(50, 1e12)
+    searcher = bm25.Searcher(queries, 3, 60.0, count=True)
+    searcher.add(shard)
+    assert searcher.skipped == searcher.blocks > 0 and searcher.decoded == 0 and not searcher.scores.any()
+
+
+def test_search_with_thresholds_against_all_scores():
+    """Random shards and queries of rare and common words: the k best are those of all documents, with thresholds from nothing, from others, and just at the k-th best."""
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    for case in range(30):
+        n_docs = int(rng.integers(1, 400))
+        sizes = rng.integers(0, 30, n_docs)
+        words = rng.zipf(1.2, int(sizes.sum())).astype(np.uint64) % np.uint64(300)
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        shard = bm25.build_shard(np.arange(n_docs), words, at)
+        shard = {k: np.asarray(shard[k]).astype(kind) for k, kind in bm25._KINDS.items()}
+        if not len(shard["terms"]):
+            continue
+        query = np.repeat(np.arange(8), 5)
+        term = np.concatenate([rng.choice(300, 5, replace=False) for _ in range(8)]).astype(np.int64)
+        idf, times = rng.uniform(0.1, 6, 300), rng.integers(1, 4, 40).astype(float)
+        mean, own = max(1.0, float(sizes.mean())), [dict(zip(*np.unique(words[a:b], return_counts=True))) for a, b in zip(at, at[1:])]
+        share = lambda doc, t: bm25.shares(np.array([float(own[doc].get(t, 0))]), np.array([float(sizes[doc])]), np.array([idf[t]]), mean)[0] if t in own[doc] else 0
+        score = np.array([[sum(c * share(d, np.uint64(t)) for t, c in zip(term[5 * q : 5 * q + 5], times[5 * q : 5 * q + 5])) for d in range(n_docs)] for q in range(8)])
+        best = -np.sort(-score, axis=1)[:, :3] if n_docs >= 3 else None
+        for floor in (np.zeros(8), best[:, 2] if best is not None else np.zeros(8)):
+            queries = bm25.Queries(query, term, times, idf[term])
+            queries.floor = floor.copy()
+            searcher = bm25.Searcher(queries, 3, mean)
+            searcher.add(shard)
+            for q in range(8):
+                want = sorted(((-s, d) for d, s in enumerate(score[q]) if s > 0))[:3]
+                got = [(-s, d) for s, d in zip(searcher.scores[q].tolist(), searcher.docs[q].tolist()) if s > 0]
+                assert got == want, (case, q)
 
 
 def check_packing(rows, capacity, documents):
