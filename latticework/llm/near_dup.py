@@ -331,19 +331,56 @@ def _confirmed_groups(members: DataFrame, docs: DataFrame, percent: int, name: s
     return links
 
 
-def _shingle_rows(texts: DataFrame) -> DataFrame:
-    """(id, comp, shingle) of (id, comp, text): a row for each distinct shingle."""
+def _spots(shingles: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The word of a bit table that a shingle has, and its three bits there."""
+    h, one = _text.mix(shingles ^ np.uint64(0x5851F42D4C957F2D)), np.uint64(1)
+    mask = one << (h & np.uint64(63)) | one << (h >> np.uint64(6) & np.uint64(63)) | one << (h >> np.uint64(12) & np.uint64(63))
+    return (h >> np.uint64(40) & np.uint64(words - 1)).astype(np.int64), mask
+
+
+def _bit_table(shingles: DataFrame) -> np.ndarray:
+    """A table of bits that all these shingles (a written table) are in, and few others while they are not many millions: 2^20 words (8 MB) at most."""
+    words = min(1 << 20, max(64, 1 << (shingles.count() // 4).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(words, np.uint64)
+        for batch in batches:
+            np.bitwise_or.at(table, *_spots(batch.column(0).to_numpy().view(np.uint64), words))
+        used = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(table[used].view(np.int64))], names=["word", "bits"])
+
+    found = shared.mapped(shingles.select("shingle"), run, "word long, bits long").groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
+    table = np.zeros(words, np.uint64)
+    table[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return table
+
+
+def _in_table(table: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    word, mask = _spots(shingles, len(table))
+    return table[word] & mask == mask
+
+
+def _over_sets(texts: DataFrame, made, schema: str) -> DataFrame:
+    """Rows that made(ids, comps, sets, offsets) gives of chunks of texts (id, comp, text), as a dict of columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ids, comps = (batch.column(k).to_numpy() for k in (0, 1))
             data, offs = _text.text_bytes(batch.column(2))
             for i, j, d, o in _text.chunks(data, offs):
-                sets, at = shingle_sets(d, o)
-                own = pa.array(_text.owners(at))
-                columns = [batch.column(k).slice(i, j - i).take(own) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(sets.view(np.int64))], names=["id", "comp", "shingle"])
+                columns = made(ids[i:j], comps[i:j], *shingle_sets(d, o))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
 
-    return shared.mapped(texts, run, "id long, comp long, shingle long")
+    return shared.mapped(texts, run, schema)
+
+
+def _counted(ids: np.ndarray, comps: np.ndarray, sets: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
+    """Of each shingle of a chunk its documents, and their smallest and largest component."""
+    order = np.argsort(sets, kind="stable")
+    first = np.flatnonzero(np.append(True, sets[order][1:] != sets[order][:-1])) if len(sets) else np.zeros(0, np.int64)
+    comp = comps[_text.owners(at)][order]
+    lo, hi = (f.reduceat(comp, first) if len(first) else comp for f in (np.minimum, np.maximum))
+    return {"shingle": sets[order][first].view(np.int64), "members": np.diff(np.append(first, len(sets))), "lo": lo, "hi": hi}
 
 
 def _meeting(rows: DataFrame) -> DataFrame:
@@ -371,29 +408,40 @@ def _meeting(rows: DataFrame) -> DataFrame:
 def _resolved(members: DataFrame, docs: DataFrame, percent: int, rare: int, most: int, name: str) -> tuple[DataFrame, DataFrame]:
     """Of large nodes (node, id, comp, n, s0 .. s3): links (a, b) across components, and the (node, id) that are still to be compared.
 
-    Only shingles that two components have can make a link; call those that more than ``rare`` members have common. Two linked members either share a rare one, and
-    such pairs are found by it (at most ``rare`` a shingle, then by sizes, sketches and whole sets); or their common shingles alone are enough, so both have so
-    many that for sizes x and y, common >= percent / (100 + percent) * (x + y). Members with fewer are done. Of those with the very same common shingles the smallest
-    is linked to all that can be linked to any of them; the others go on only if their node has a member small enough for the bound. So nothing is missed.
+    Only shingles that two components have can make a link; call those that more than ``rare`` members have common (and a few others, which a bit table of bounded
+    size takes for such). Two linked members either share a shingle that isn't common, and such pairs are found by it (at most ``rare`` members a shingle, then by sizes,
+    sketches and whole sets); or their common shingles alone are enough, so both have so many that for sizes x and y, common >= percent / (100 + percent) * (x + y).
+    Members with fewer are done. Of those with the very same common shingles the smallest is linked to all that can be linked to any of them; the others go on only if
+    their node has a member small enough for the bound. So nothing is missed. Of the members' words only counts of shingles are shuffled, summed by chunk, and the rare ones.
     """
     ids = shared.written(members.select(F.col("id").alias("doc_id"), "comp", *_CARRY).distinct(), f"{name}-ids")
     some = _marked(docs, ids.select("doc_id")).filter("nd_maybe").select("doc_id", "text")
     texts = some.join(ids.select("doc_id", "comp"), "doc_id").select(F.col("doc_id").alias("id"), "comp", "text")
-    shingles = shared.written(_shingle_rows(texts), f"{name}-shingles")
-    counts = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    counts = shared.written(counts.filter("lo <> hi").select("shingle", "members"), f"{name}-counts")
-    held = shared.written(shingles.join(counts, "shingle"), f"{name}-held")
-    shared.drop(shingles)
-
-    pairs = _meeting(held.filter(F.col("members") <= rare))
+    texts = shared.written(texts, f"{name}-texts")
+    counts = _over_sets(texts, _counted, "shingle long, members long, lo long, hi long").groupBy("shingle")
+    counts = counts.agg(F.sum("members").alias("members"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo <> hi").select("shingle", "members")
+    counts = shared.written(counts, f"{name}-counts")
+    spark = docs.sparkSession
+    tables = spark.sparkContext.broadcast([_bit_table(counts.filter(F.col("members") > rare)), _bit_table(counts.filter(F.col("members") <= rare))])
+
+    def sparse(own: np.ndarray, comps: np.ndarray, sets: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
+        use = _in_table(tables.value[1], sets) & ~_in_table(tables.value[0], sets)
+        row = _text.owners(at)[use]
+        return {"shingle": sets[use].view(np.int64), "id": own[row], "comp": comps[row]}
+
+    def known(own: np.ndarray, comps: np.ndarray, sets: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
+        use = _in_table(tables.value[0], sets)
+        cuts = np.concatenate([[0], np.cumsum(use)])[at]
+        c1, c2 = _set_keys(sets[use], cuts)
+        return {"id": own, "comp": comps, "n": np.diff(at), "common": np.diff(cuts), "c1": c1, "c2": c2}
+
+    pairs = _meeting(_over_sets(texts, sparse, "shingle long, id long, comp long"))
     for side in "ab":
         pairs = pairs.join(ids.select(F.col("doc_id").alias(side), *(F.col(c).alias(f"{side}{c}") for c in _CARRY)), side)
     sketches_ = ([f"{side}{c}" for c in _SKETCH] for side in "ab")
     pairs = pairs.filter(_alike("an", "bn", percent) & (_disagree(*sketches_) <= most)).select("a", "b")
 
-    common = held.filter(F.col("members") > rare).groupBy("id", "comp")
-    common = common.agg(F.count(F.lit(1)).alias("common"), F.expr("bit_xor(xxhash64(shingle))").alias("c1"), F.expr("bit_xor(xxhash64(shingle, 1))").alias("c2"))
-    common = common.join(ids.select(F.col("doc_id").alias("id"), "n"), "id").filter(100 * F.col("common") >= percent * F.col("n"))
+    common = _over_sets(texts, known, "id long, comp long, n long, common long, c1 long, c2 long").filter(100 * F.col("common") >= percent * F.col("n"))
     common = shared.written(common, f"{name}-common")
     first = common.groupBy("c1", "c2").agg(F.min(F.struct("n", "id", "comp")).alias("first"))
     told = common.join(first, ["c1", "c2"]).select("id", "comp", "common", "n", "first")
@@ -406,7 +454,8 @@ def _resolved(members: DataFrame, docs: DataFrame, percent: int, rare: int, most
     there = members.select("node", "id").join(left, "id")
     least = there.groupBy("node").agg(F.min("n").alias("least"))
     keep = shared.written(there.join(least, "node").filter((100 + percent) * F.col("common") >= percent * (F.col("n") + F.col("least"))).select("node", "id"), f"{name}-left")
-    shared.drop(ids, counts, held, common, told)
+    tables.destroy()
+    shared.drop(ids, counts, texts, common, told)
     return links, keep
 
 
@@ -438,7 +487,7 @@ def near_duplicates(
     trees: int = 6,
     leaf: int = 1024,
     block: int = 512,
-    dense: int = 512,
+    dense: int = 1024,
     rare: int = 32,
     nearest: int = 1,
     depth: int = 16,
