@@ -130,6 +130,8 @@ class Templates:
     """Bigram sets of templates."""
 
     def __init__(self, texts: dict[str, str], threshold: float):
+        if not 0.5 < threshold <= 1:
+            raise ValueError("the threshold must be above one half: windows end where dice is below it")
         self.threshold, self.names = threshold, sorted(texts)
         self.sets = []
         for name in self.names:
@@ -233,7 +235,7 @@ def licence_scan(docs: DataFrame, text: str = "text", templates: dict[str, str]
     """docs with licences: an array of (template, dice, start, end) of every template that a unit or a window of the text matches, in order of template.
 
     start and end are bytes of the best unit, or of the best window where no unit matches (the first, if several are), in the text. A short notice within a longer
-    text that matches counts too. Null, empty and wordless texts match nothing; a unit needs two words.
+    text that matches counts too. Null, empty and wordless texts match nothing; a unit needs two words. The threshold must be above one half.
     One pass, no shuffle; whole texts are scanned. Repeated rows are each scanned; an empty table gives an empty one. Columns of docs named licences are replaced.
     """
     own = Templates(every_template() if templates is None else templates, threshold)

@@ -176,7 +176,7 @@ def test_licences_in_long_texts(spark):
 
 def test_all_templates(spark):
     every = licences.every_template()
-    assert len(every) == 31 and set(licences.TEMPLATES) < set(every)
+    assert len(every) == 38 and set(licences.TEMPLATES) < set(every)
     rows = [(name, f"x y z\n\n{body}\n\nu v w") for name, body in every.items()] + [("planted", "Some words of a text.\nAll rights reserved."), ("none", "all of these rights are reserved")]
     found = {r["name"]: {m["template"]: m["dice"] for m in r["licences"]} for r in licences.licence_scan(spark.createDataFrame(rows, "name string, text string")).collect()}
     assert all(found[name][name] > 0.94 for name in every)
@@ -296,6 +296,12 @@ def mixture_of(drawn, model):
         langid.trigrams = real
 
 
+def test_low_thresholds_are_refused():
+    for wrong in (0.3, 0.5, 1.1):
+        with pytest.raises(ValueError):
+            licences.Templates({"a": "one two three"}, wrong)
+
+
 def test_language_edges(spark):
     docs = spark.createDataFrame([(1, "hello there my friend", "en", 5, "x"), (None, "guten tag mein freund", "de", 6, "y"), (3, None, None, None, None), (3, "", "en", 1, "z")], "doc_id long, text string, lang string, score int, `a.b` string")
     with pytest.raises(ValueError, match="more than 1"):
