@@ -9,7 +9,7 @@ Documents are sets of five-word shingles. Equal sets are one class, joined by on
   from the same 128 functions, so they are independent only nearly; recall is measured against brute force.
 * First every member of a first-level node is compared with the node's pivot, its smallest id. Confirmed links join most copies to one component at once.
 * Then only nodes that still hold two components matter. ``nearest`` times every member of a first-level node is compared with the most similar member of
-  another component in its block of the node, which joins what is left of large groups of copies.
+  another component in its block (of 2 * ``block`` members) of the node, which joins what is left of large groups of copies.
 * Nodes of more than ``dense`` members that still hold two components are mostly documents around something common, a passage or a template, just too unlike to
   be linked; branching such a node by similarity hardly makes it smaller, and its pairs grow with its square. They are resolved by their rare shingles first
   (``_resolved``), in work that grows with their words, and of their members only those stay that could be linked by common shingles alone.
@@ -486,7 +486,7 @@ def near_duplicates(
     percent: int = 75,
     trees: int = 6,
     leaf: int = 1024,
-    block: int = 512,
+    block: int = 256,
     dense: int = 1024,
     rare: int = 32,
     nearest: int = 1,
@@ -549,7 +549,7 @@ def near_duplicates(
     small: list[DataFrame] = []
     first_level = shared_nodes.select("node", "id", *_CARRY)
     for turn in range(nearest):
-        near = shared.written(_compared(in_blocks(mixed(labelled(first_level)), block, False), most, percent, True).select("a", "b").distinct(), f"nd-near{turn}")
+        near = shared.written(_compared(in_blocks(mixed(labelled(first_level)), 2 * block, False), most, percent, True).select("a", "b").distinct(), f"nd-near{turn}")
         links = links.union(confirmed(near, rows, percent, f"nd-near{turn}"))
         shared.drop(near, labels)
         labels = components(links, f"nd-near{turn}")
