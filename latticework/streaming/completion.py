@@ -97,12 +97,13 @@ class _Final(StatefulProcessor):
         pass
 
 
-def final_coefficients(cells: DataFrame, spec: GridSpec) -> DataFrame:
+def final_coefficients(cells: DataFrame, spec: GridSpec, repeats: bool = False) -> DataFrame:
     """A stream of (l.., k.., bin, ic), in append mode: every coefficient that isn't 0 once, when its last cell has come. cells: a stream of whole_cells.
 
     Cells beyond the data count as having come. A cell must come once: one that comes again before its coefficients are final is an error, and after that it begins
-    coefficients anew that never become final. State is as large as what is open: a coefficient's bins, at most all of them. Start it with ``rocks``.
+    coefficients anew that never become final. With repeats the first of a cell's rows counts and others are passed over, for a state of one row a cell that stays. State is as large as what is open: a coefficient's bins, at most all of them. Start it with ``rocks``.
     """
+    cells = cells.dropDuplicates(spec.axes) if repeats else cells
     out = partial_sums(cells, spec).groupBy("address").transformWithStateInPandas(_Final(spec), "address long, bin int, ic long", "append", "none")
     return out.select(*packed.place_columns("address", spec, 1), "bin", "ic")
 
@@ -118,8 +119,8 @@ def rocks(spark: SparkSession):
         spark.conf.set(_PROVIDER, before) if before else spark.conf.unset(_PROVIDER)
 
 
-def store_final(cells: DataFrame, spec: GridSpec, path: str, checkpoint: str):
+def store_final(cells: DataFrame, spec: GridSpec, path: str, checkpoint: str, repeats: bool = False):
     """Starts a query that appends final coefficients to Parquet at ``path``, each exactly once over restarts (the sink's log and the checkpoint), and returns it."""
     with rocks(cells.sparkSession):
-        sink = final_coefficients(cells, spec).writeStream.outputMode("append").format("parquet").option("path", path)
+        sink = final_coefficients(cells, spec, repeats).writeStream.outputMode("append").format("parquet").option("path", path)
         return sink.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -54,6 +54,16 @@ def test_a_cell_that_comes_twice_is_an_error(spark, tmp_path):
         completion.store_final(spark.readStream.schema(whole.schema).parquet(str(tmp_path / "in")), SPEC, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
 
 
+def test_cells_that_come_again_are_passed_over(spark, tmp_path):
+    hist = cells.cell_histogram(points(spark), SPEC.axes, F.col("bin"))
+    whole, where = completion.whole_cells(hist, SPEC), str(tmp_path / "in")
+    for condition in ("x0 < 6", "x0 > 2", "x0 < 9"):  # overlapping parts, the last without anything new
+        whole.filter(condition).coalesce(1).write.mode("append").parquet(where)
+        completion.store_final(spark.readStream.schema(whole.schema).parquet(where), SPEC, str(tmp_path / "out"), str(tmp_path / "state"), True).awaitTermination()
+    got = spark.read.schema(", ".join(f"{k} int" for k in [*SPEC.keys, "bin"]) + ", ic long").parquet(str(tmp_path / "out"))
+    assert rows(got) == rows(wavelet.encode(hist, SPEC))
+
+
 def test_the_sessions_state_store_setting_returns(spark):
     key = completion._PROVIDER
     before = spark.conf.get(key, None)
