@@ -76,13 +76,14 @@ def url_verdicts(pages: DataFrame, listed: DataFrame, url: str = "url", page_id:
 
     The verdict is that of the longest fitting rule; else block if the canonical URL is one of ``listed`` (a column canonical_url), else allow.
     A blocked Bloom filter of the list (12 bits a URL; a URL sets one bit in each of the eight words of one block) lets through all listed URLs and few others; only these
-    meet the list in an exact join. A list of up to SMALL_LIST URLs goes to all tasks, so that pages are read once and not shuffled; of a longer one only the rows that the
+    meet the list in an exact join. A list of up to SMALL_LIST URLs and BROADCAST_BYTES goes to all tasks, so that pages are read once and not shuffled; of a longer one only the rows that the
     filter lets through are shuffled, and a URL that very many pages have is split by Spark's skew join.
     Null or unparsable URLs: empty host and path, no rule, allow. Repeated rows are each judged; nulls and repeats in the list count once; an empty
     list lists nothing, an empty table of pages gives an empty one. Other columns are ignored. The list is written to the shared folder.
     """
     known = shared.written(listed.select(F.col("canonical_url").cast("string").alias("canonical_url")).filter("canonical_url is not null").distinct(), "url-list")
-    count = known.count()
+    held = known.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("canonical_url")), F.lit(0)).alias("bytes")).first()
+    count, small = held["n"], held["n"] <= SMALL_LIST and held["bytes"] <= BROADCAST_BYTES
     blocks = max(1, -(-count * BITS_PER_URL // (32 * WORDS)))
     bloom = build_filter(known, "canonical_url", blocks)
     if blocks * 8 * (WORDS + 1) <= BROADCAST_BYTES:
@@ -99,7 +100,7 @@ def url_verdicts(pages: DataFrame, listed: DataFrame, url: str = "url", page_id:
     probed = rows.join(bloom, "block", "left").withColumn("maybe", c.isNotNull() & F.coalesce(hit, F.lit(False)))
     columns = ["page_id", "host", "path", "rule", "ruled", "canonical_url"]
     exact = known.select(F.col("canonical_url").alias("found"))
-    if count <= SMALL_LIST:
+    if small:
         met = probed.join(F.broadcast(exact), F.when(F.col("maybe"), c) == F.col("found"), "left")
     else:
         met = probed.filter("maybe").join(exact, c == F.col("found"), "left").unionByName(probed.filter("not maybe").withColumn("found", F.lit(None).cast("string")))
