@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -97,8 +98,9 @@ class GridStore:
         """Boxes of one edge at places that are the same every time."""
         return sat.random_boxes(self.spark, self.spec, window, count)
 
+    @cached_property
     def tiered(self) -> tiers.TieredStore:
-        """The coefficients in two tiers, of a store that was encoded with a budget; close it after use."""
+        """The coefficients in two tiers, of a store that was encoded with a budget; the hot one stays in memory until ``tiered.close()``."""
         return tiers.TieredStore(self.spark, f"{self.path}/tiers", self.spec)
 
     def region_histogram(self, boxes: DataFrame, route: str = "coefs") -> DataFrame:
@@ -110,7 +112,7 @@ class GridStore:
             found = store.lookup(self.coefs, wavelet.wanted(boxes, self.spec))
             return found.groupBy("qid", "bin").agg(F.sum(F.col("ic") * F.col("s")).alias("h")).filter("h <> 0")
         if route == "tiers":
-            return self.tiered().region_sums(boxes)
+            return self.tiered.region_sums(boxes)
         return sat.region_sums(self.sat, boxes, self.spec) if route == "sat" else sat.region_brute(self.bins, boxes, self.spec)
 
     def region_intervals(self, boxes: DataFrame) -> DataFrame:

@@ -154,7 +154,10 @@ def test_dense_route_on_the_main_grid(spark):
 
 
 def test_contour_spectrum_of_the_whole_volume(spark):
-    assert queries.contour_spectrum_3d(spark, DATA).agg(F.sum("w")).first()[0] == pytest.approx(63**3)
+    """Each unit cell's shares add up to 1: of lineitem's volume, and of a cube of balls."""
+    assert queries.contour_spectrum_3d(spark, DATA).agg(F.sum("w")).first()[0] == pytest.approx(49 * 10 * 6)
+    balls = cells.corners(store.spheres(store.five_balls(spark)), 3)
+    assert binning.contour_spectrum(balls, 3, 8, 0.0, 1.5).agg(F.sum("w")).first()[0] == pytest.approx(63**3)
 
 
 def test_values_without_a_bin(spark):
