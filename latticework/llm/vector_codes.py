@@ -5,7 +5,7 @@ from coarse to fine. A run of n components with sums X and Y is at least (X - Y)
 of the difference of the two remainders' norms. Both are known before the components are looked at:
 
 * with one run for the whole part, every entry gets a bound; the entry with the least one gets its exact distance, and entries whose bound lies above it go;
-* each further level halves the runs and bounds the entries that are left;
+* each further level halves the runs and bounds the entries that are left; the one with the least bound gets its exact distance, and more entries go;
 * those that survive all levels get exact integer distances; of equal ones the lower index wins.
 
 Bounds are lowered by more than their rounding error, so no entry that could win is ever dropped. Rows stay where they are: a round is one pass that gives every task's
@@ -58,28 +58,51 @@ class Codebook:
         self.outlines = [outlines(entries, k) for k in self.levels]
         self.norm = float((entries.astype(float) ** 2).sum(axis=1).max(initial=0))
 
-    def _bound(self, level: int, sums: np.ndarray, rest: np.ndarray, own: tuple[np.ndarray, np.ndarray], slack: np.ndarray) -> np.ndarray:
-        """Lower bounds of squared distances; the last axis of sums is that of runs."""
-        n = self.entries.shape[1] // self.levels[level]
-        return ((sums - own[0]) ** 2).sum(axis=-1) / n + (rest - own[1]) ** 2 - slack
+    def _bound(self, level: int, sums: list[np.ndarray], rest: np.ndarray, own: tuple[list[np.ndarray], np.ndarray], slack: np.ndarray) -> np.ndarray:
+        """Lower bounds of squared distances; sums are given run by run."""
+        out = (rest - own[1]) ** 2 - slack
+        for x, y in zip(sums, own[0], strict=True):
+            out += (x - y) ** 2 * (self.levels[level] / self.entries.shape[1])
+        return out
+
+    def _far(self, rows: np.ndarray, entry: np.ndarray) -> np.ndarray:
+        """Exact squared distances of rows and entries."""
+        apart = rows - self.entries[entry]
+        return np.einsum("ij,ij->i", apart, apart)
 
     def nearest(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of each row's nearest entry, the lowest if several are, and the squared distance."""
+        if not len(rows):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         own = [outlines(rows, k) for k in self.levels]
         # The sums are exact below 2^53; what is squared, divided and rooted from them is wrong by some 2^-50 of the squares' sizes, its roots by 2^-25.
-        slack = ((rows.astype(float) ** 2).sum(axis=1) + self.norm) * 1e-6 + 1e-6
-        sums, rest = self.outlines[0]
-        coarse = self._bound(0, own[0][0][:, None, :], own[0][1][:, None], (sums[None], rest[None]), slack[:, None])
-        guess = coarse.argmin(axis=1)
-        most = ((rows - self.entries[guess]) ** 2).sum(axis=1)
-        row, entry = np.nonzero(coarse <= most[:, None])
-        for level in range(1, len(self.levels)):
+        squares = (rows.astype(float) ** 2).sum(axis=1)
+        slack = (squares + self.norm) * 1e-6 + 1e-6
+        most = np.full(len(rows), np.iinfo(np.int64).max)
+        left = np.ones((len(rows), len(self.entries)), bool)
+        for level, runs in enumerate(self.levels):
             sums, rest = self.outlines[level]
-            low = self._bound(level, own[level][0][row], own[level][1][row], (sums[entry], rest[entry]), slack[row])
+            if level and left.sum() * 8 < left.size:
+                break
+            low = self._bound(level, [own[level][0][:, [k]] for k in range(runs)], own[level][1][:, None], ([sums[:, k] for k in range(runs)], rest), slack[:, None])
+            low[~left] = np.inf
+            # the entry with the least bound of a row gets its exact distance, by which others go
+            most = np.minimum(most, self._far(rows, low.argmin(axis=1)))
+            left &= low <= most[:, None]
+        else:
+            level += 1
+        row, entry = np.nonzero(left)
+        for level in range(level, len(self.levels)):  # few are left: pair by pair
+            (sums, rest), runs = self.outlines[level], range(self.levels[level])
+            low = self._bound(level, [own[level][0][row, k] for k in runs], own[level][1][row], ([sums[entry, k] for k in runs], rest[entry]), slack[row])
             stay = low <= most[row]
             row, entry = row[stay], entry[stay]
-        exact = ((rows[row] - self.entries[entry]) ** 2).sum(axis=1)
-        first = np.searchsorted(row, np.arange(len(rows)))  # every row keeps the entry of its guess at least
+        if len(row) * 8 > left.size and max(squares.max(), self.norm) < 1 << 50:  # many are left: whole numbers below 2^53, so a product of matrices is exact
+            dots = (rows.astype(float) @ self.entries.T.astype(float))[row, entry]
+            exact = (squares[row] + (self.entries.astype(float) ** 2).sum(axis=1)[entry] - 2 * dots).astype(np.int64)
+        else:
+            exact = self._far(rows[row], entry)
+        first = np.searchsorted(row, np.arange(len(rows)))  # every row keeps the entry nearest so far
         least = np.minimum.reduceat(exact, first) if len(row) else exact
         best = np.flatnonzero(exact == least[row])
         best = best[np.append(True, row[best][1:] != row[best][:-1])] if len(best) else best
