@@ -7,8 +7,11 @@ another (no piece of a filling could be exchanged for a larger one that is left,
 First bins are completed once through: each with the fullest filling, used as often as the counts allow, so there are no more steps than a few for each
 length. Best-fit decreasing gives another packing; the better of both is the incumbent, and a packing that meets the lower bound ends the work. Otherwise branch and bound
 completes bins anew where an incumbent has waste: its most wasteful bins and some others, a few hundred pieces at a time, are searched over all their undominated
-fillings, each used any number of times, and a partial packing whose waste already costs as many bins as the incumbent is dropped. A packing is known to have
-the fewest bins when it meets lower_bound(); beyond that the search is bounded (steps, and partial fillings around a piece), so it proves nothing by ending.
+fillings, each used any number of times, and a partial packing whose waste already costs as many bins as the incumbent is dropped. An exchange that saves
+bins is made as often as the incumbent has its bins. Where waste is left, fractions() takes any share of a bin: rounding down leaves a rest of about a bin for
+each length, whatever the input's size, which is searched the same way. A packing is known to have the fewest bins when it meets lower_bound() or the bound of
+the fractions; beyond that the search is bounded (steps, partial fillings around a piece, pivots), so it proves nothing by ending. None of its bounds depends on
+the number of pieces.
 
 Pieces then get their places from the layout by their number within their length, which needs two small shuffles and no global order.
 """
@@ -30,11 +33,14 @@ from . import _text, bpe, shared
 
 CAPACITY = 1024
 END_ID = 2
-#: Branch and bound looks at bins of so many pieces together, so many times, goes on for so many steps from its last better packing on, and looks at so many
+#: Branch and bound looks at bins of so many pieces together, so many times in a row without a better packing, goes on for so many steps from its last better packing on, and looks at so many
 #: partial fillings around a piece. These bound the time on the driver; beyond them the best packing so far stands, with its distance from lower_bound().
 PIECES, TRIES, STEPS, LOOKS = 240, 8, 400, 300
-#: Steps of a search of all bins together: so many, fewer if all pieces times steps are more than WHOLE_PIECES.
-WHOLE, WHOLE_PIECES = 3_000, 5_000_000
+#: Steps of a search of all bins together.
+WHOLE = 3_000
+#: Pivots of the fractional packing, fewer for a capacity above CAPACITY; the shares of plain lengths in the worth of pieces by which it looks for patterns, one
+#: after the other until there are some; and by how much of their mean, at most, counts are changed at random, so that pivots don't stand still among equal counts.
+PIVOTS, SHARES, SHAKEN = 6_000, (0.95, 0.8, 0.5, 0.0), 1e-5
 #: Lengths that are tried as the first of three pieces when bins are completed once through.
 THIRDS = 64
 #: Times that bins are completed once through, with other choices among equal fillings each time; fewer for a capacity above CAPACITY.
@@ -210,22 +216,127 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return max(int(-(-sums[-1] // capacity)), int((alone + shared_ + np.maximum(0, -(-(small - room) // capacity))).max(initial=0)))
 
 
+def _richest(lengths: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every room the most that pieces within it are worth, of any number, and the place of the last of them in lengths (-1: one unit stays free)."""
+    most, last = np.zeros(capacity + 1, worth.dtype), np.full(capacity + 1, -1)
+    fit = np.searchsorted(lengths, np.arange(capacity + 1), "right")
+    for room in range(1, capacity + 1):
+        most[room] = most[room - 1]
+        if n := fit[room]:
+            sums = most[room - lengths[:n]] + worth[:n]
+            i = sums.argmax()
+            if sums[i] > most[room]:
+                most[room], last[room] = sums[i], i
+    return most, last
+
+
+def fractions(counts: dict[int, int], capacity: int, patterns: list[Pattern], pivots: int = PIVOTS) -> tuple[list[tuple[Pattern, float]], int]:
+    """(pattern, bins) of a packing with fractions of bins, and a lower bound for whole ones: linear programming on patterns, from the given ones on.
+
+    Column generation: a round takes the worth of pieces from the packing at hand and adds for each length the pattern of most worth that has it. Its work depends
+    on the number of lengths, not on counts. Fractions are those of the last basis and may miss counts by what SHAKEN changed; the bound is exact at any time.
+    """
+    lengths = np.array(sorted(counts))
+    need, m, at = np.array([counts[k] for k in lengths.tolist()], float), len(lengths), {k: i for i, k in enumerate(lengths.tolist())}
+    shaken = need + SHAKEN * need.mean() * np.random.default_rng(0).random(m)
+    basis, cost = np.diag((capacity // lengths).astype(float)), np.ones(m)  # a column a pattern; cost 0: a piece too many
+    pool = np.zeros((len(patterns), m))
+    for row, pattern in zip(pool, patterns, strict=True):
+        row[[at[k] for k, _ in pattern]] = [n for _, n in pattern]
+    while True:
+        inverse = np.linalg.inv(basis)
+        x, y = np.maximum(inverse @ shaken, 0), cost @ inverse
+        for share in SHARES if not len(pool) else ():
+            worth = share * lengths / capacity + (1 - share) * np.maximum(y, 0)
+            _, last = _richest(lengths, worth, capacity)
+            found = {}
+            for j, length in enumerate(lengths.tolist()):
+                column, room = np.zeros(m), capacity - length
+                column[j] = 1
+                while room > 0:
+                    if (i := last[room]) >= 0:
+                        column[i] += 1
+                    room -= int(lengths[i]) if i >= 0 else 1
+                if column @ y > 1 + 1e-9:
+                    found[column.tobytes()] = column
+            if found:
+                pool = np.array([*found.values()])
+                break
+        extra = np.flatnonzero(y < -1e-9)
+        if pivots <= 0 or not len(pool) + len(extra):
+            break
+        price = np.concatenate([np.ones(len(pool)), np.zeros(len(extra))])
+        pool = np.concatenate([pool, -np.eye(m)[extra]])
+        while pivots > 0:
+            gain = pool @ y - price
+            if gain[enter := int(gain.argmax())] <= 1e-9:
+                break
+            change = inverse @ pool[enter]
+            rows = np.flatnonzero(change > 1e-7)
+            ratio = x[rows] / change[rows]
+            step = ratio.min()
+            near = rows[ratio <= step * (1 + 1e-12)]
+            leave = near[change[near].argmax()]
+            x = np.maximum(x - step * change, 0)
+            x[leave] = step
+            row = inverse[leave] / change[leave]
+            rows = np.flatnonzero(change)
+            inverse[rows] -= np.outer(change[rows], row)
+            inverse[leave] = row
+            y = y - gain[enter] * row
+            basis[:, leave], cost[leave] = pool[enter], price[enter]
+            pivots -= 1
+        pool = pool[:0]
+    worth = (np.clip(np.nan_to_num(y), 0, 1) * 2.0**40).astype(np.int64)  # any worth gives a bound; whole numbers, so nothing is rounded in it
+    most = int(_richest(lengths, worth, capacity)[0][-1])
+    bound = -(-sum(w * counts[k] for w, k in zip(worth.tolist(), lengths.tolist(), strict=True)) // most) if most else 0
+    x = inverse @ need
+    shares = [(tuple((int(lengths[i]), int(basis[i, j])) for i in np.flatnonzero(basis[:, j])), float(x[j])) for j in np.flatnonzero((cost > 0) & (x > 0) & (x <= need.sum()))]
+    return shares, bound
+
+
+def _bins(packing: list[tuple[Pattern, int]]) -> int:
+    return sum(n for _, n in packing)
+
+
 def complete_bins(counts: dict[int, int], capacity: int, steps: int = STEPS, tries: int = TRIES) -> list[tuple[Pattern, int]]:
     """(pattern, bins) of the best packing found. Lengths run from 1 to capacity."""
     counts = {k: n for k, n in counts.items() if n}
-    bound, bins = lower_bound(counts, capacity), lambda packing: sum(n for _, n in packing)
+    best = _searched(counts, capacity, steps, tries, lower_bound(counts, capacity))
+    if _bins(best) <= lower_bound(counts, capacity):
+        return best
+    try:
+        shares, bound = fractions(counts, capacity, [p for p, _ in best], PIVOTS // max(1, capacity // CAPACITY))
+    except np.linalg.LinAlgError:  # rounding has made a basis singular
+        return best
+    if _bins(best) <= bound:
+        return best
+    left, whole = Counter(counts), []
+    for pattern, share in sorted(shares, key=lambda s: -s[1]):
+        times = int(share + 1e-6)
+        while times and (own := {k: min(n, left[k]) for k, n in pattern if left[k]}):  # a pattern may have a piece too many
+            now = min(times, *(left[k] // n for k, n in own.items()))
+            whole.append((tuple(own.items()), now))
+            left.subtract({k: n * now for k, n in own.items()})
+            times -= now
+    rest = {k: n for k, n in left.items() if n}
+    return min(best, whole + _searched(rest, capacity, steps, tries, bound - _bins(whole)), key=_bins)
+
+
+def _searched(counts: dict[int, int], capacity: int, steps: int, tries: int, bound: int) -> list[tuple[Pattern, int]]:
+    """The best packing that completing bins and branch and bound find; it ends at a packing of lower_bound() or bound."""
+    bound = max(bound, lower_bound(counts, capacity))
     best = best_fit(counts, capacity)
     rng, scale = random.Random(0), max(1, capacity // CAPACITY)
     for turn in range(max(1, ROUNDS // scale)):
-        if bins(best) <= bound:
+        if _bins(best) <= bound:
             break
-        best = min(best, completed(counts, capacity, rng if turn else None), key=bins)
-    if bins(best) > bound:  # all bins together, with fillings of larger pieces first
-        best = _search_all(counts, capacity, min(WHOLE, max(50, WHOLE_PIECES // sum(counts.values()))), bound, best, False)
+        best = min(best, completed(counts, capacity, rng if turn else None), key=_bins)
+    if _bins(best) > bound:  # all bins together, with fillings of larger pieces first
+        best = _search_all(counts, capacity, WHOLE, bound, best, False)
     steps = max(50, steps // scale)
-    for turn in range(tries):
-        if bins(best) <= bound:
-            break
+    turn = since = 0
+    while since < tries and _bins(best) > bound:
         # the most wasteful bins first; from the second turn on half of the pieces are of other bins, every other time those of many pieces above all
         waste = [capacity - sum(k * n for k, n in pattern) for pattern, _ in best]
         size = [sum(n for _, n in pattern) for pattern, _ in best]
@@ -237,16 +348,17 @@ def complete_bins(counts: dict[int, int], capacity: int, steps: int = STEPS, tri
                 if take := min(best[i][1] - taken[i], max(0, most - pieces) // size[i]):
                     taken[i] += take
                     pieces += take * size[i]
-        some = list(taken.items())
         part: Counter = Counter()
-        for i, take in some:
+        for i, take in taken.items():
             for k, n in best[i][0]:
                 part[k] += n * take
-        least, now = lower_bound(part, capacity), [(best[i][0], take) for i, take in some]
-        found = _search_all(dict(part), capacity, steps, least, now)
-        if bins(found) < bins(now):
-            rest = dict(some)
-            best = [(p, n - rest.get(i, 0)) for i, (p, n) in enumerate(best) if n > rest.get(i, 0)] + found
+        turn, since = turn + 1, since + 1
+        now = [(best[i][0], take) for i, take in taken.items()]
+        found = _search_all(dict(part), capacity, steps, lower_bound(part, capacity), now)
+        if _bins(found) < _bins(now):
+            times = min(best[i][1] // take for i, take in taken.items())  # the same exchange again, as often as there are such bins
+            best = [(p, n - taken[i] * times) for i, (p, n) in enumerate(best) if n > taken[i] * times] + [(p, n * times) for p, n in found]
+            since = 0
         elif pieces == sum(counts.values()):
             break  # all pieces were in this search, and another would be the same
     return best
