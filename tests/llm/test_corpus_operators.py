@@ -219,6 +219,25 @@ def test_search_in_tasks_of_several_shards(spark, monkeypatch):
     assert dict(got) == {q: v for q, v in brute_search(rows, asked, 5).items() if v}
 
 
+def test_index_files_hold_little_at_once(spark, monkeypatch, tmp_path):
+    """One task writes 40 shards of 0.35 MB: writers and readers hold a row group whole, and statistics of binary columns until a file is closed."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(bm25, "SHARD_DOCS", 10)
+    monkeypatch.setattr(shared, "drop", lambda *tables: None)
+    before = set(glob.glob(shared.folder(spark).removeprefix("file://") + "/bm25-index-*"))
+    words = "concat_ws(' ', transform(sequence(1, 1200), x -> cast(id * 1200 + x AS string)))"
+    spark.range(400).coalesce(1).selectExpr("id AS doc_id", f"{words} AS text").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {(r["query_id"], r["doc_id"]) for r in bm25.op1_bm25_search(spark, str(tmp_path)).collect()} == {(q, q) for q in range(0, 400, 100)}
+    (index,) = set(glob.glob(shared.folder(spark).removeprefix("file://") + "/bm25-index-*")) - before
+    files = [pq.ParquetFile(f).metadata for f in glob.glob(f"{index}/*.parquet")]
+    groups = [m.row_group(g) for m in files for g in range(m.num_row_groups)]
+    assert len(files) == 1 and files[0].num_rows >= 40
+    assert len(groups) >= 3 and max(g.total_byte_size for g in groups) < 5 << 20 and not any(g.column(c).is_stats_set for g in groups for c in range(g.num_columns))
+
+
 def test_search_skips_blocks():
     import numpy as np
 
